@@ -10,7 +10,7 @@ from ...functions.patterns import NAMED_PATTERNS
 from ...operators import gate as G, incidents as I
 from ...operators.checks import CheckPlan, check_status, evaluate, predicate_column, reference_keys
 from ...schemas import HIGHER_IS_BETTER, Rule
-from .registry import MONTH_SEQ, dirty, joined, query, table, with_views
+from .registry import MONTH_SEQ, dirty, joined, over, query, table, with_views
 
 AS_OF = "2002-01-01 00:00:00"
 TABLE = "shop.orders"
@@ -245,7 +245,7 @@ _MIXED = """select c_custkey, case when c_custkey % 5 = 0 then c_email when c_cu
     """select c_custkey, case when t in ('12d', '0x10') then null else try_cast(t as double) end as x from mixed""",
     "customer_dirty", mixed=_MIXED))
 def to_numeric_coerce(spark, sf_dir):
-    mixed = spark.sql(_MIXED.replace("from customer_dirty", "from {c}"), c=dirty(spark, sf_dir, "customer_dirty"))
+    mixed = over(spark, _MIXED, "customer_dirty", dirty(spark, sf_dir, "customer_dirty"))
     return mixed.select("c_custkey", coerce.to_number(F.col("t"), mixed.schema["t"].dataType).alias("x"))
 
 

@@ -31,6 +31,11 @@ DIRTY = {
                case when c_custkey % 7 = 0 then null else cast(c_acctbal as string) end as c_acctbal_text,
                c_acctbal, c_mktsegment
         from customer""",
+    "events_dirty": """
+        select event_id, user_id, event_type,
+               case when event_id % 23 = 0 then null when event_id % 47 = 0 then -1.0 * value else value end as value,
+               case when event_id % 31 = 0 then 'n/a' else concat('user', cast(user_id as string), '@example.com') end as email
+        from events""",
 }
 # Number of a month batch; 1995-01 is 0.
 MONTH_SEQ = "cast(substr(batch_id, 1, 4) as int) * 12 + cast(substr(batch_id, 6, 2) as int) - 23941"
@@ -51,9 +56,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def over(spark: SparkSession, text: str, name: str, df: DataFrame) -> DataFrame:
+    """Run a query text that reads the table `name` on `df`."""
+    escaped = text.replace("{", "{{").replace("}", "}}").replace(f"from {name}", "from {src}")
+    return spark.sql(escaped, src=df)
+
+
 def dirty(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    base = table(spark, sf_dir, name.split("_")[0])
-    return spark.sql(DIRTY[name].replace("from " + name.split("_")[0], "from {base}"), base=base)
+    base = name.removesuffix("_dirty")
+    return over(spark, DIRTY[name], base, table(spark, sf_dir, base))
 
 
 def with_views(body: str, *names: str, **extra: str) -> str:
