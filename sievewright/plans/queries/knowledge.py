@@ -99,7 +99,7 @@ def vector_upsert(spark, sf_dir):
         "doc_id", F.col("bucket").cast("long").alias("bucket"), "tf", F.round("weight", 9).alias("weight"))
 
 
-_HITS = """select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from (
+_HITS = """select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank from (
     select q.query_id, d.doc_id, round(sum(q.weight * d.weight), 9) as score from q join d using (bucket) group by 1, 2) where score > 0"""
 _QUERIES = postings_oracle("(select item_id as query_id, text from benchmark)", "query_id", "text")
 
@@ -123,7 +123,7 @@ def similarity_query(spark, sf_dir):
 
 
 @query("topk_similarity", """select source as query_id, doc_id, score, rank from (
-    select source, doc_id, n_chars / 1000 as score, row_number() over (partition by source order by n_chars / 1000 desc, doc_id) as rank
+    select source, doc_id, n_chars / 1000 as score, cast(row_number() over (partition by source order by n_chars / 1000 desc, doc_id) as int) as rank
     from documents) where rank <= 3""")
 def topk_similarity(spark, sf_dir):
     hits = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), "doc_id",
@@ -155,7 +155,7 @@ def search_exact(spark, sf_dir):
     return K.search(notes(spark, sf_dir), _asked(spark, sf_dir), 5, table="src.src3").select("query_id", "rank", "doc_id")
 
 
-@query("search_parity", search_oracle("""select query_id, row_number() over (partition by query_id order by rank) as rank, doc_id
+@query("search_parity", search_oracle("""select query_id, cast(row_number() over (partition by query_id order by rank) as int) as rank, doc_id
     from hits join notes using (doc_id) where rank <= 15 and table_fq_name = 'src.src3'
     qualify row_number() over (partition by query_id order by rank) <= 5"""))
 def search_parity(spark, sf_dir):
@@ -171,7 +171,7 @@ _LABEL_VECTORS = """select label, list(m order by i)::double[] as v from (
 
 @query("dense_similarity", with_views(
     """select query_id, doc_id, round(score, 6) as score from (
-         select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from (
+         select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank from (
            select l.label as query_id, e.vec_id as doc_id, round(list_cosine_similarity(l.v, e.embedding::double[]), 9) as score
            from centres l, embeddings e) where score > 0) where rank <= 5""", centres=_LABEL_VECTORS))
 def dense_similarity(spark, sf_dir):

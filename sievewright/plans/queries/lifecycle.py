@@ -128,7 +128,7 @@ def threshold_history(spark, sf_dir):
 
 
 @query("history_order", oracle(
-    "select rule_id, old_threshold, new_threshold, row_number() over (partition by rule_id order by changed_at) as position from history"))
+    "select rule_id, old_threshold, new_threshold, cast(row_number() over (partition by rule_id order by changed_at) as int) as position from history"))
 def history_order(spark, sf_dir):
     """The place of every change in its rule's trail; all of them count as recent here."""
     return adapt.recent_history(history(spark, sf_dir), last=1 << 30).select(
@@ -136,7 +136,7 @@ def history_order(spark, sf_dir):
 
 
 @query("recent_history", oracle("""
-    select rule_id, changed_at, new_threshold, row_number() over (partition by rule_id order by changed_at) as position
+    select rule_id, changed_at, new_threshold, cast(row_number() over (partition by rule_id order by changed_at) as int) as position
     from (select *, row_number() over (partition by rule_id order by changed_at desc) as age from history) where age <= 5"""))
 def recent_history(spark, sf_dir):
     return adapt.recent_history(history(spark, sf_dir)).select("rule_id", "changed_at", "new_threshold", "position")

@@ -123,7 +123,7 @@ def grain(spark, sf_dir):
 
 
 @query("top_values", with_views(
-    "select * from (select *, row_number() over (partition by position order by n desc, value) as rank from c) where rank <= 5",
+    "select * from (select *, cast(row_number() over (partition by position order by n desc, value) as int) as rank from c) where rank <= 5",
     c="""select 0 as position, l_quantity::varchar as value, count(*) as n from lineitem group by 2
          union all select 1, l_shipdate::varchar, count(*) from lineitem group by 2
          union all select 2, l_partkey::varchar, count(*) from lineitem group by 2"""))

@@ -18,6 +18,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
+SAME_TYPE = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def load_entry():
     spec = importlib.util.spec_from_file_location("__spark_entry__", f"{ROOT}/__spark_entry__.py")
     module = importlib.util.module_from_spec(spec)
@@ -59,6 +62,11 @@ def compare(spark, con, fn, sql, sf_dir):
     want = rel.fetchall()
     if sorted(df.columns) != sorted(rel.columns):
         return len(got), took, f"columns {sorted(df.columns)} != {sorted(rel.columns)}"
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    odd = [(f.name, f.dataType.simpleString(), duck_types[f.name]) for f in df.schema.fields
+           if SAME_TYPE.get(f.dataType.simpleString()) != duck_types[f.name]]
+    if odd:
+        return len(got), took, f"types {odd}"
     a, b = table_rows(df.columns, got), table_rows(rel.columns, want)
     if len(a) != len(b):
         return len(got), took, f"rows {len(a)} != {len(b)}: {str(a[:2])[:300]} // {str(b[:2])[:300]}"
