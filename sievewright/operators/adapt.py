@@ -7,6 +7,8 @@ pieces and in parallel, instead of as one list per rule.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,17 +140,22 @@ def change_reason() -> Column:
         F.lit("); relative_change="), percent(F.col("relative_change"), 1))
 
 
+def threshold_changes(state: DataFrame, rules: DataFrame, at: float,
+                      never_tighten: bool = False) -> DataFrame:
+    """History rows for the rules whose statistics ask for another threshold."""
+    moved = suggestions(state, rules, never_tighten).filter(F.col("change") != "none")
+    return moved.select(
+        "rule_id", F.col("threshold").alias("old_threshold"), F.col("suggested").alias("new_threshold"),
+        F.lit(at).cast("double").alias("changed_at"), change_reason().alias("reason"),
+        F.lit(True).alias("auto_adjusted"), (F.col("change") == "reapproval").alias("required_reapproval"))
+
+
 def adapt_step(results: DataFrame, rules: DataFrame, state: DataFrame | None, at: float,
                never_tighten: bool = False) -> tuple[DataFrame, DataFrame]:
     """(new state, threshold changes) after one batch of check results."""
     new_state = ewma_fold(observations(results), state)
     checked = rules.join(results.select("rule_id").distinct(), "rule_id", "left_semi")
-    moved = suggestions(new_state, checked, never_tighten).filter(F.col("change") != "none")
-    changes = moved.select(
-        "rule_id", F.col("threshold").alias("old_threshold"), F.col("suggested").alias("new_threshold"),
-        F.lit(at).cast("double").alias("changed_at"), change_reason().alias("reason"),
-        F.lit(True).alias("auto_adjusted"), (F.col("change") == "reapproval").alias("required_reapproval"))
-    return new_state, changes
+    return new_state, threshold_changes(new_state, checked, at, never_tighten)
 
 
 _REPLAY_SCHEMA = ("rule_id string, seq long, n long, mean double, var double, old_threshold double, "
@@ -156,35 +163,32 @@ _REPLAY_SCHEMA = ("rule_id string, seq long, n long, mean double, var double, ol
 REPLAY_BITS = 12
 
 
-def _replay_piece(rows: pd.DataFrame) -> pd.DataFrame:
-    """Step one rule through one bounded piece of its history."""
-    rows = rows.sort_values("seq")
-    first = rows.iloc[0]
-    seen = 0 if pd.isna(first["n0"]) else int(first["n0"])
-    mean, var = (first["mean0"], first["var0"]) if seen else (None, 0.0)
-    threshold, status = first["threshold0"], first["status0"]
-    upward, capped = first["rule_type"] in HIGHER_IS_BETTER, first["rule_type"] in CAPPED_AT_ONE
-    out = []
-    for seq, x in zip(rows["seq"], rows["x"]):
-        if mean is None:
-            mean = x
-        else:
-            delta = x - mean
+def _replay_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Step through rows sorted by rule and seq; only the state of the present rule is held."""
+    rule, seen, mean, var, threshold, status = None, 0, None, 0.0, 0.0, ""
+    for rows in batches:
+        out = []
+        for r in rows.itertuples(index=False):
+            if r.rule_id != rule:
+                rule, threshold, status = r.rule_id, r.threshold0, r.status0
+                seen = 0 if pd.isna(r.n0) else int(r.n0)
+                mean, var = (r.mean0, r.var0) if seen else (r.x, 0.0)
+            delta = r.x - mean
             mean += ALPHA * delta
             var = (1 - ALPHA) * (var + ALPHA * delta * delta)
-        seen = min(seen + 1, MAX_HISTORY)
-        before, suggested, change, kind = threshold, None, None, "none"
-        if first["adaptive"] and seen >= MIN_OBSERVATIONS:
-            spread = K_STDDEV * var ** 0.5
-            suggested = max(0.0, mean - spread) if upward else mean + spread
-            suggested = round(min(1.0, suggested) if capped else suggested, 6)
-            change = abs(suggested - threshold) / max(abs(threshold), 1e-9)
-            if change >= NO_CHANGE:
-                kind = "auto" if change <= AUTO_MAX_CHANGE else "reapproval"
-                threshold = suggested
-                status = "approved" if kind == "reapproval" else status
-        out.append((first["rule_id"], seq, seen, mean, var, before, suggested, change, kind, threshold, status))
-    return pd.DataFrame(out, columns=[part.split()[0] for part in _REPLAY_SCHEMA.split(", ")])
+            seen = min(seen + 1, MAX_HISTORY)
+            before, suggested, change, kind = threshold, None, None, "none"
+            if r.adaptive and seen >= MIN_OBSERVATIONS:
+                spread = K_STDDEV * var ** 0.5
+                suggested = max(0.0, mean - spread) if r.rule_type in HIGHER_IS_BETTER else mean + spread
+                suggested = round(min(1.0, suggested) if r.rule_type in CAPPED_AT_ONE else suggested, 6)
+                change = abs(suggested - threshold) / max(abs(threshold), 1e-9)
+                if change >= NO_CHANGE:
+                    kind = "auto" if change <= AUTO_MAX_CHANGE else "reapproval"
+                    threshold = suggested
+                    status = "approved" if kind == "reapproval" else status
+            out.append((rule, r.seq, seen, mean, var, before, suggested, change, kind, threshold, status))
+        yield pd.DataFrame(out, columns=[part.split()[0] for part in _REPLAY_SCHEMA.split(", ")])
 
 
 def adapt_replay(obs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -208,7 +212,8 @@ def adapt_replay(obs: DataFrame, rules: DataFrame) -> DataFrame:
                    .withColumn("threshold0", F.coalesce("last_threshold", "threshold0"))
                    .withColumn("status0", F.coalesce("last_status", "status0"))
                    .drop("last_threshold", "last_status"))
-        steps = now.groupBy("rule_id").applyInPandas(_replay_piece, _REPLAY_SCHEMA)
+        steps = (now.repartition("rule_id").sortWithinPartitions("rule_id", "seq")
+                 .mapInPandas(_replay_rows, _REPLAY_SCHEMA))
         if len(rounds) > 1:
             steps = cut_lineage(steps)
             last = steps.groupBy("rule_id").agg(F.max_by(F.struct(

@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import (
-    family, is_nested, is_missing, nan_to_null, present, to_number, to_timestamp, value_text,
+    family, is_missing, nan_to_null, present, to_number, to_timestamp, value_text,
 )
 from ..functions.names import decimals, percent, percent_literal
 from ..functions.patterns import NAMED_PATTERNS, matches
-from ..schemas import RULE_TYPES, Rule
+from ..schemas import CHECK_RESULTS, RULE_TYPES, Rule
+from ..session import cut_lineage, local_copy
 
 # Width of the warning zone on the failing side of a threshold.
 WARN_BUFFER = 0.15
@@ -465,7 +466,6 @@ class CheckPlan:
         """check_results rows from measures and, if given, samples."""
         measures = self.measures() if measures is None else measures
         if not self.rules:
-            from ..schemas import CHECK_RESULTS
             return self.spark.createDataFrame([], CHECK_RESULTS)
         long = measures
         if samples is not None:
@@ -498,18 +498,20 @@ def run_checks(df: DataFrame, rules: list[Rule], **kwargs) -> DataFrame:
     If a predicate fails while the job runs, each custom rule is tried alone and the
     ones that fail become ERROR rows, so one bad rule never takes the others with it.
     """
-    from ..session import cut_lineage
-
     options = {k: kwargs.pop(k) for k in ("batch_id", "seq") if k in kwargs}
 
+    def keep(frame: DataFrame) -> DataFrame:
+        # Without a batch column there is one row per rule.
+        return cut_lineage(frame) if kwargs.get("batch_col") else local_copy(frame)[0]
+
     def attempt(chosen: list[Rule]) -> DataFrame:
         plan = CheckPlan(df, chosen, **kwargs)
-        measured = cut_lineage(plan.measures())
+        measured = keep(plan.measures())
         # Ids of rules, not data: only these need a second look at the rows.
         dirty = {chosen[r.pos].rule_id
                  for r in measured.filter("violations > 0").select("pos").distinct().collect()}
         samples = plan.samples(dirty) if dirty else None
-        return cut_lineage(plan.results(measured, samples, **options))
+        return keep(plan.results(measured, samples, **options))
 
     try:
         return attempt(rules)
@@ -520,7 +522,7 @@ def run_checks(df: DataFrame, rules: list[Rule], **kwargs) -> DataFrame:
     failed: dict[str, str] = {}
     for rule in custom:
         try:
-            cut_lineage(CheckPlan(df, [rule], **kwargs).measures())
+            keep(CheckPlan(df, [rule], **kwargs).measures())
         except PySparkException as exc:
             failed[rule.rule_id] = _first_line(exc)
     if not failed:

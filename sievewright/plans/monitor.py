@@ -13,6 +13,7 @@ from ..operators import adapt, gate as G, incidents as I, knowledge as K, rules
 from ..operators.checks import run_checks
 from ..operators.profile import profile_table
 from ..schemas import CHECK_RESULTS, rules_from_rows
+from ..session import cut_lineage, local_copy
 from ..sources.base import Source
 from ..sources.quarantine import write_quarantine
 from ..sources.state import StateStore
@@ -69,7 +70,6 @@ class Monitor:
 
     def propose_rules(self, table: str, sample_rows: int | None = None) -> DataFrame:
         """Proposals now in the store; rules proposed before are not stored again."""
-        from ..session import cut_lineage
         _, profile = self.scan_table(table, sample_rows)
         profile = cut_lineage(profile)
         prompts = P.suggestion_prompts(profile, self.store.docs(), P.baseline_rules(profile))
@@ -130,60 +130,65 @@ class Monitor:
         return self.source.table(table)
 
     def _process(self, table: str, df: DataFrame, batch_id: str, store: StateStore) -> BatchReport:
+        """Check, adapt, gate, report. What the checks return is one row per rule, kept as local rows."""
         spark, now = df.sparkSession, self.clock()
-        rules_now = store.rules(before=batch_id).filter(
-            (F.col("table_fq_name") == table) & (F.col("status") == "active"))
+        rules_now, _ = local_copy(store.rules(before=batch_id).filter(
+            (F.col("table_fq_name") == table) & (F.col("status") == "active")))
         rules = rules_from_rows(rules_now)
         seq = store.next_seq(table)
         rows = df.count()
         results = spark.createDataFrame([], CHECK_RESULTS)
         if rules:
             results = run_checks(df, rules, batch_id=batch_id, seq=seq, resolve=self._resolve)
-        store.append("check_results", results, batch_id)
-
-        state, changes = adapt.adapt_step(results, rules_now, store.ewma(before=batch_id), now,
-                                          self.never_tighten)
-        state = state.join(results.select("rule_id").distinct(), "rule_id", "left_semi")
-        store.append("ewma_state", state, batch_id)
-        store.append("threshold_history", changes, batch_id)
-        changes = store.read("threshold_history").join(
-            results.select("rule_id").distinct(), "rule_id", "left_semi").filter(F.col("changed_at") == now)
-        store.append("rule_events", R.threshold_events(changes, F.lit(self._seq())), batch_id)
-
-        decisions = G.gate(results, self.error_blocks)
-        verdict = decisions.first()
-        decision = verdict.decision if verdict else "pass"
+            store.append("check_results", results, batch_id)
+
+        changes = self._adapt(store, results, rules_now, batch_id, now)
+        decisions, verdicts = local_copy(G.gate(results, self.error_blocks))
+        decision = decisions.first().decision if verdicts else "pass"
         held = 0
         if decision == "block":
             held = write_quarantine(df.withColumn("batch_id", F.lit(batch_id)), self.quarantine_root, table)
-        store.append("gate_results", decisions.withColumn("quarantined_rows", F.lit(held)), batch_id)
+        store.append("gate_results", decisions.withColumn("quarantined_rows", F.lit(held)), batch_id, verdicts)
 
-        tickets = self._tickets(store, results, batch_id, seq, now)
+        tickets = self._tickets(store, results, batch_id, now)
         done = spark.createDataFrame([(table, batch_id, seq, rows)],
                                      "table_fq_name string, batch_id string, seq long, row_count long")
         store.append("commits", done, batch_id)
         return BatchReport(table, batch_id, rows, decision, results, decisions, tickets, changes, held)
 
-    def _tickets(self, store: StateStore, results: DataFrame, batch_id: str, seq: int, now: float) -> DataFrame:
+    def _adapt(self, store: StateStore, results: DataFrame, rules_now: DataFrame, batch_id: str,
+               now: float) -> DataFrame:
+        """Record the batch in the statistics and log the threshold changes that follow."""
+        checked = results.select("rule_id").distinct()
+        before = store.ewma(before=batch_id).join(F.broadcast(checked), "rule_id", "left_semi")
+        state, tracked = local_copy(adapt.ewma_fold(adapt.observations(results), before))
+        store.append("ewma_state", state, batch_id, tracked)
+        changes, moved = local_copy(adapt.threshold_changes(state, rules_now, now, self.never_tighten))
+        store.append("threshold_history", changes, batch_id, moved)
+        store.append("rule_events", R.threshold_events(changes, F.lit(self._seq())), batch_id, moved)
+        return changes
+
+    def _tickets(self, store: StateStore, results: DataFrame, batch_id: str, now: float) -> DataFrame:
         """Open tickets of this batch's incident: a new one, or the one that already covers it."""
-        worst = I.worst_result(results)
-        docs = store.docs()
-        recent = adapt.recent_history(store.read("threshold_history"))
-        rca = P.explain_failures(worst, docs, recent, self.answer)
-        problems = results.filter(G.is_problem())
+        problems, count = local_copy(results.filter(G.is_problem()))
+        known = store.tickets(before=batch_id)
+        if not count:
+            return known.limit(0)
+        rca, _ = local_copy(P.explain_failures(
+            I.worst_result(problems), store.docs(), adapt.recent_history(store.read("threshold_history")),
+            self.answer))
         responses = self.answer(P.ticket_prompts(problems, rca))
-        tables = I.tables_named(results, ["table_fq_name", "batch_id"]).select(
+        tables = I.tables_named(problems, ["table_fq_name", "batch_id"]).select(
             F.concat_ws("|", "table_fq_name", "batch_id").alias("id"), "tables")
         texts = P.draft_ticket_text(responses, tables)
-        found = (I.incidents(results).withColumn("id", F.concat_ws("|", "table_fq_name", "batch_id"))
-                 .join(texts, "id").withColumn("created_at", F.lit(now)))
-        known = store.tickets(before=batch_id)
-        fresh = I.create_tickets(found, known).withColumn("seq", F.lit(self._seq()))
-        store.append("tickets", fresh, batch_id)
-        current = store.tickets()
-        store.append("outbox", I.webhook_payload(current.join(
-            fresh.select("ticket_id"), "ticket_id", "left_semi")), batch_id)
-        return I.match_open(found.select("table_fq_name", "batch_id", "rule_ids"), current)
+        found, _ = local_copy(
+            I.incidents(problems).withColumn("id", F.concat_ws("|", "table_fq_name", "batch_id"))
+            .join(texts, "id").withColumn("created_at", F.lit(now)))
+        fresh, opened = local_copy(I.create_tickets(found, known).withColumn("seq", F.lit(self._seq())))
+        store.append("tickets", fresh, batch_id, opened)
+        store.append("outbox", I.webhook_payload(fresh), batch_id, opened)
+        return I.match_open(found.select("table_fq_name", "batch_id", "rule_ids"),
+                            known.unionByName(fresh.drop("seq")))
 
     def resolve_tickets(self, ticket_ids: DataFrame) -> None:
         current = self.store.tickets()

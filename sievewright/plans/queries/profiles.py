@@ -10,7 +10,7 @@ from ...operators.profile import candidate_grain, profile_columns, profile_table
 from ...sources.base import table_metadata
 from ...session import cut_lineage
 from ..monitor import scan_report
-from .registry import dirty, query, table, with_views
+from .registry import DIRTY, dirty, over, query, spread_table, table, with_views
 
 # Profiled inputs: name -> columns as (name, kind), kind n(umber), i(nteger), s(tring), t(ime).
 COLUMNS = {
@@ -28,7 +28,9 @@ TABLES = list(COLUMNS)
 
 
 def frame(spark, sf_dir, name):
-    return (dirty if name.endswith("_dirty") else table)(spark, sf_dir, name)
+    base = name.removesuffix("_dirty")
+    wide = spread_table(spark, sf_dir, base)
+    return over(spark, DIRTY[name], base, wide) if name in DIRTY else wide
 
 
 def profiles(spark, sf_dir, names=None):

@@ -69,15 +69,19 @@ def _chunk_files(spark, sf_dir, size: int = SIZE):
 
 
 def _collected(spark, sf_dir, step, size: int = SIZE, repeat: int = 1):
-    """Stream the chunk files through `step(batch) -> frame`; an epoch's output replaces itself."""
+    """Stream the chunk files through `step(batch) -> frame`; an epoch's output replaces itself.
+
+    A trigger takes a quarter of the files, and results stay per chunk.
+    """
     path, schema = _chunk_files(spark, sf_dir, size)
+    chunk_count = spark.read.schema(schema).parquet(path).agg(F.max("chunk")).first()[0] + 1
     out, mark = scratch_path(spark, "out"), scratch_path(spark, "mark")
 
     def each(batch, epoch):
         for _ in range(repeat):
             step(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    run_micro_batches(file_stream(spark, path, schema), mark, each)
+    run_micro_batches(file_stream(spark, path, schema, files_per_batch=-(-chunk_count // 4)), mark, each)
     return spark.read.parquet(out)
 
 

@@ -17,6 +17,8 @@ def build_session(master: str | None = None, app: str = "sievewright", **conf) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # Call-site capture for every column costs more than building the column.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     builder = SparkSession.builder.appName(app)
@@ -47,7 +49,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df):
+    """Give a plain scan of few, unsplittable pieces one partition per core; leave any other alone.
+
+    At scale a scan has far more splits than cores, and this does nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df):
-    """Reliable checkpoint in the shared folder; survives lost executors."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a frame to the shared folder and go on from there; survives lost executors.
+
+    A written table keeps its size known, so small ones are still broadcast.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def local_copy(df):
+    """A frame of configuration size (rules of a table, results of one batch) as local rows."""
+    rows = df.toArrow()
+    return df.sparkSession.createDataFrame(rows, schema=df.schema), rows.num_rows

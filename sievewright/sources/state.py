@@ -47,7 +47,10 @@ class StateStore:
     def path(self, log: str) -> str:
         return f"{self.root}/{log}"
 
-    def append(self, log: str, rows: DataFrame, epoch: str) -> None:
+    def append(self, log: str, rows: DataFrame, epoch: str, count: int | None = None) -> None:
+        """Write the rows of an epoch; `count=0` says that there are none."""
+        if count == 0 and not path_exists(self.spark, f"{self.path(log)}/epoch={epoch}"):
+            return
         schema = LOGS[log]
         have = set(rows.columns)
         shaped = rows.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
