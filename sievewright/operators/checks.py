@@ -316,52 +316,49 @@ class CheckPlan:
             frames.append(wide.select(*self._keys(), F.inline(F.array(*structs))))
         return frames
 
-    def _value_groups(self) -> DataFrame:
-        """(batch, pos, value, n) of every uniqueness column, one shuffle for all."""
-        cells = [
-            F.struct(F.lit(c.pos).alias("pos"),
-                     value_text(field(c.rule.column), self.df.schema[c.rule.column].dataType).alias("value"))
-            for c in self.unique_checks
-        ]
-        groups = (self.df.select(*self._batch(), F.inline(F.array(*cells)))
-                  .groupBy(*self._keys(), "pos", "value").agg(F.count(F.lit(1)).alias("n")))
-        return self._with_seed(groups, [c.pos for c in self.unique_checks], "string", "value")
+    def _value_groups(self) -> list[tuple[list[_ValueCheck], DataFrame]]:
+        """Uniqueness rules with their (batch, pos, value, n), one shuffle for all rules on whole
+        numbers and one for all others, whose common type is text."""
+        def whole(check: _ValueCheck) -> bool:
+            return isinstance(self.df.schema[check.rule.column].dataType, T.IntegralType)
+
+        out = []
+        for integral in (True, False):
+            checks = [c for c in self.unique_checks if whole(c) == integral]
+            if not checks:
+                continue
+            cells = [F.struct(F.lit(c.pos).alias("pos"), self._value(c, integral).alias("value")) for c in checks]
+            out.append((checks, self.df.select(*self._batch(), F.inline(F.array(*cells)))
+                        .groupBy(*self._keys(), "pos", "value").agg(F.count(F.lit(1)).alias("n"))))
+        return out
 
-    def _with_seed(self, groups: DataFrame, positions: list[int], dtype, name: str) -> DataFrame:
-        """An empty table still has results, so every rule gets a zero row."""
-        if self.batch_col:
-            return groups
-        seed = self.spark.range(1).select(
-            F.explode(F.array(*[F.lit(p) for p in positions])).alias("pos"),
-            F.lit(None).cast(dtype).alias(name), F.lit(0).cast("long").alias("n"))
-        return groups.unionByName(seed)
-
-    def _pick(self, checks: list[_ValueCheck], total: Column, hits: Column) -> Column:
-        """The measure struct of the check whose position the row carries."""
-        picked = None
-        for check in checks:
-            cell = self._measured(check, total, hits)
-            picked = F.when(F.col("pos") == check.pos, cell) if picked is None else picked.when(
-                F.col("pos") == check.pos, cell)
-        return picked
+    def _value(self, check: _ValueCheck, integral: bool) -> Column:
+        c = field(check.rule.column)
+        return c.cast("long") if integral else value_text(c, self.df.schema[check.rule.column].dataType)
 
     def _unique_measures(self) -> list[DataFrame]:
-        if not self.unique_checks:
-            return []
-        per_rule = self._value_groups().groupBy(*self._keys(), "pos").agg(
-            F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("total"),
-            F.count("value").alias("hits"))
-        cell = self._pick(self.unique_checks, F.col("total"), F.col("hits"))
-        return [per_rule.select(*self._keys(), cell.alias("m")).select(*self._keys(), "m.*")]
+        """One row per batch with the counts of all rules, so an empty table has results too."""
+        frames = []
+        for checks, groups in self._value_groups():
+            aggs = []
+            for check in checks:
+                mine = (F.col("pos") == check.pos) & F.col("value").isNotNull()
+                aggs.append(F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)).alias(f"t{check.pos}"))
+                aggs.append(F.count_if(mine).alias(f"h{check.pos}"))
+            wide = groups.groupBy(*self._keys()).agg(*aggs)
+            cells = [self._measured(c, F.col(f"t{c.pos}"), F.col(f"h{c.pos}")) for c in checks]
+            frames.append(wide.select(*self._keys(), F.inline(F.array(*cells))))
+        return frames
 
     def _reference_groups(self, check: _ValueCheck) -> DataFrame:
-        """(batch, value, n, found): the grouped column against the distinct keys."""
+        """(batch, value, n, found): the grouped column against the distinct keys.
+
+        Without batches both sides are partitioned by the value already, so the join adds no shuffle.
+        """
         dtype = self.df.schema[check.rule.column].dataType
         value = nan_to_null(field(check.rule.column), dtype)
         groups = (self.df.select(*self._batch(), value.alias("value"))
-                  .groupBy(*self._keys(), "value").agg(F.count(F.lit(1)).alias("n"))
-                  .withColumn("pos", F.lit(check.pos)))
-        groups = self._with_seed(groups, [check.pos], dtype, "value")
+                  .groupBy(*self._keys(), "value").agg(F.count(F.lit(1)).alias("n")))
         keys = check.keys.withColumn("found", F.lit(True))
         return groups.join(keys, F.col("value") == F.col("ref"), "left")
 
@@ -369,11 +366,11 @@ class CheckPlan:
         frames = []
         for check in self.ref_checks:
             live = F.col("value").isNotNull()
-            per_rule = self._reference_groups(check).groupBy(*self._keys(), "pos").agg(
+            wide = self._reference_groups(check).groupBy(*self._keys()).agg(
                 F.coalesce(F.sum(F.when(live, F.col("n"))), F.lit(0)).alias("total"),
                 F.coalesce(F.sum(F.when(live & F.col("found").isNull(), F.col("n"))), F.lit(0)).alias("hits"))
             cell = self._measured(check, F.col("total"), F.col("hits"))
-            frames.append(per_rule.select(*self._keys(), cell.alias("m")).select(*self._keys(), "m.*"))
+            frames.append(wide.select(*self._keys(), F.inline(F.array(cell))))
         return frames
 
     def _broken_measures(self) -> list[DataFrame]:
@@ -424,18 +421,19 @@ class CheckPlan:
                 found = (self.df.select(*self._batch(), F.inline(cells))
                          .filter(F.col("value").isNotNull()))
                 frames.append(found.distinct() if distinct else found)
-        unique = [c for c in self.unique_checks if wanted(c)]
-        if unique:
-            frames.append(self._value_groups()
-                          .filter((F.col("n") > 1) & F.col("value").isNotNull()
-                                  & F.col("pos").isin([c.pos for c in unique]))
-                          .select(*self._keys(), "pos", "value"))
+        for checks, groups in self._value_groups():
+            chosen = [c.pos for c in checks if wanted(c)]
+            if chosen:
+                frames.append(groups.filter((F.col("n") > 1) & F.col("value").isNotNull()
+                                            & F.col("pos").isin(chosen))
+                              .select(*self._keys(), "pos", F.col("value").cast("string").alias("value")))
         for check in self.ref_checks:
             if wanted(check):
                 dtype = self.df.schema[check.rule.column].dataType
                 frames.append(self._reference_groups(check)
                               .filter(F.col("value").isNotNull() & F.col("found").isNull())
-                              .select(*self._keys(), "pos", value_text(F.col("value"), dtype).alias("value")))
+                              .select(*self._keys(), F.lit(check.pos).alias("pos"),
+                                      value_text(F.col("value"), dtype).alias("value")))
         if not frames:
             cols = ", ".join([*(["batch_id string"] if self.batch_col else []),
                               "pos int, sample_violations array<string>"])

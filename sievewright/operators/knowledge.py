@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BUCKETS, term_bucket, tokens
+from ..functions.text import BUCKETS, TOKEN, term_bucket, tokens
 
 # Queries scored per pass; their matrix is what a task holds (QUERY_BLOCK x BUCKETS doubles).
 QUERY_BLOCK = 1024
@@ -39,24 +39,29 @@ def docs_for_tables(tables: DataFrame, docs: DataFrame) -> DataFrame:
     return tables.join(docs, "table_fq_name", "left")
 
 
-def embed(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, bucket, tf, weight): hashed bag of words with unit length.
+def vectors(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, buckets, tfs, norm): hashed bag of words of each text.
 
-    The tokens of a document meet in one task before the shuffle, so what moves is at most one
-    row per document and bucket.
+    A text is one row, so its terms are counted in place: sorted buckets, the places where a
+    new bucket begins, and the distances between them. Nothing is shuffled. Texts without
+    terms have no vector.
     """
-    counts = (texts.select(key, F.explode(tokens(F.col(text))).alias("term"))
-              .groupBy(key, term_bucket(F.col("term")).alias("bucket")).agg(F.count(F.lit(1)).alias("tf")))
-    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(key)))
-    return counts.withColumn("weight", F.col("tf") / norm)
+    buckets = F.sort_array(F.transform(tokens(F.col(text)), term_bucket))
+    hashed = texts.filter(F.col(text).rlike(TOKEN)).select(key, buckets.alias("b"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("b") - 1),
+                      lambda i: ~F.get("b", i).eqNullSafe(F.get("b", i - 1)))
+    counted = hashed.withColumn("at", starts).select(
+        key, F.transform("at", lambda s: F.get("b", s)).alias("buckets"),
+        F.transform("at", lambda s, j: (F.coalesce(F.get("at", j + 1), F.size("b")) - s).cast("long")).alias("tfs"))
+    squares = F.aggregate("tfs", F.lit(0.0), lambda s, n: s + n * n)
+    return counted.select(key, "buckets", "tfs", F.sqrt(squares).alias("norm"))
 
 
-def vectors(postings: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, buckets, weights): one row per document, no longer than the number of buckets."""
-    packed = F.array_sort(F.collect_list(F.struct("bucket", "weight")))
-    return postings.groupBy(key).agg(packed.alias("v")).select(
-        key, F.transform("v", lambda p: p["bucket"]).alias("buckets"),
-        F.transform("v", lambda p: p["weight"]).alias("weights"))
+def embed(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, bucket, tf, weight): the same vectors as postings of unit length."""
+    return vectors(texts, key, text).select(key, "norm", F.inline(F.arrays_zip("buckets", "tfs"))).select(
+        key, F.col("buckets").alias("bucket"), F.col("tfs").alias("tf"),
+        (F.col("tfs") / F.col("norm")).alias("weight"))
 
 
 def upsert_postings(postings: DataFrame, changed: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -130,7 +135,8 @@ def _sparse_matrix(rows: pd.DataFrame, dims: int) -> np.ndarray:
     sizes = [len(b) for b in rows["buckets"]]
     if sum(sizes):
         at = np.repeat(np.arange(len(rows)), sizes)
-        out[at, np.concatenate(list(rows["buckets"])).astype(int)] = np.concatenate(list(rows["weights"]))
+        weights = np.concatenate(list(rows["tfs"])) / np.repeat(rows["norm"].to_numpy(), sizes)
+        out[at, np.concatenate(list(rows["buckets"])).astype(int)] = weights
     return out
 
 
@@ -164,8 +170,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 5, table: str | None =
     """
     chosen = docs if table is None or overfetch else docs.filter(F.col("table_fq_name") == table)
     fetch = k * 3 if table is not None and overfetch else k
-    index = vectors(embed(indexed_text(chosen)))
-    asked = vectors(embed(queries, "query_id"), "query_id")
+    index, asked = vectors(indexed_text(chosen)), vectors(queries, "query_id")
     hits = hits_to_docs(similar_texts(index, asked, fetch), chosen)
     if table is not None and overfetch:
         again = Window.partitionBy("query_id").orderBy("rank")

@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,7 +121,12 @@ class Monitor:
             store = StateStore(batch.sparkSession, self.store.root)
             if store.committed(batch_id):
                 return
-            report = self._process(fq, batch, batch_id, store)
+            # The checks pass over a micro-batch several times; the source is read once.
+            kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                report = self._process(fq, kept, batch_id, store)
+            finally:
+                kept.unpersist()
             if on_report:
                 on_report(report)
 

@@ -109,8 +109,8 @@ def _asked(spark, sf_dir):
 
 
 def _hits(spark, sf_dir, k=5):
-    docs = K.vectors(K.embed(spread_table(spark, sf_dir, "documents", "doc_id", "text")))
-    return K.similar_texts(docs, K.vectors(K.embed(_asked(spark, sf_dir), "query_id"), "query_id"), k)
+    docs = K.vectors(spread_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return K.similar_texts(docs, K.vectors(_asked(spark, sf_dir), "query_id"), k)
 
 
 def hit_oracle(body: str) -> str:

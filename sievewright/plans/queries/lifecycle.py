@@ -19,11 +19,9 @@ _RULE_COLUMNS = """concat('rule_', cast(c_custkey as string)) as rule_id, concat
     cast(0.02 as double) as threshold, 'warn' as severity, 'proposed' as status"""
 _CHANGES = f"""select o_orderkey + 1 as seq, concat('rule_', cast(o_custkey as string)) as rule_id,
     {_STATUS} as new_status, cast(o_orderkey as double) as stamp from orders where o_orderpriority <> '5-LOW'"""
-_HISTORY = """select rule_id, lag(new_threshold, 1, cast(0.02 as double)) over (partition by rule_id order by changed_at) as old_threshold,
-    new_threshold, changed_at, 'drift' as reason, true as auto_adjusted, required_reapproval
-    from (select concat('rule_', cast(o_custkey as string)) as rule_id, o_totalprice / 1000000 as new_threshold,
-            cast(o_orderkey as double) as changed_at, o_totalprice > 250000 as required_reapproval
-          from orders where o_orderpriority = '5-LOW')"""
+_HISTORY = """select concat('rule_', cast(o_custkey as string)) as rule_id, (o_totalprice - 1000) / 1000000 as old_threshold,
+    o_totalprice / 1000000 as new_threshold, cast(o_orderkey as double) as changed_at, 'drift' as reason, true as auto_adjusted,
+    o_totalprice > 250000 as required_reapproval from orders where o_orderpriority = '5-LOW'"""
 _CURRENT = """
     select r.rule_id, table_fq_name, "column", rule_type, coalesce(e.last_threshold, r.threshold) as threshold, severity,
       coalesce(e.last_status, r.status) as status, coalesce(e.updated_at, 0::double) as updated_at,
@@ -127,12 +125,11 @@ def threshold_history(spark, sf_dir):
     return R.threshold_history(history(spark, sf_dir))
 
 
-@query("history_order", oracle(
-    "select rule_id, old_threshold, new_threshold, cast(row_number() over (partition by rule_id order by changed_at) as int) as position from history"))
+@query("history_order", oracle("select rule_id, changed_at, new_threshold, required_reapproval from history"))
 def history_order(spark, sf_dir):
-    """The place of every change in its rule's trail; all of them count as recent here."""
-    return adapt.recent_history(history(spark, sf_dir), last=1 << 30).select(
-        "rule_id", "old_threshold", "new_threshold", "position")
+    """One range-partitioned sort by rule and time, so a rule with many changes spans tasks."""
+    return R.threshold_history(history(spark, sf_dir)).select(
+        "rule_id", "changed_at", "new_threshold", "required_reapproval")
 
 
 @query("recent_history", oracle("""
@@ -224,14 +221,14 @@ def webhook_payload(spark, sf_dir):
 
 
 @query("set_equality", """
-    select a.o_orderkey, a.parts = b.parts as same from
-      (select l_orderkey as o_orderkey, list_sort(list(distinct l_suppkey)) as parts from lineitem where l_linenumber <= 3 group by 1) a
-      join (select l_orderkey as o_orderkey, list_sort(list(distinct l_suppkey)) as parts from lineitem where l_quantity > 10 group by 1) b
-      using (o_orderkey)""")
+    select a.l_suppkey, a.flags = b.flags as same from
+      (select l_suppkey, list_sort(list(distinct l_returnflag || l_linestatus)) as flags from lineitem where l_linenumber = 6 group by 1) a
+      join (select l_suppkey, list_sort(list(distinct l_returnflag || l_linestatus)) as flags from lineitem where l_quantity > 40 group by 1) b
+      using (l_suppkey)""")
 def set_equality(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").withColumn("s", F.col("l_suppkey").cast("string"))
-    # Line numbers of one order: a bounded group.
-    early = lines.filter("l_linenumber <= 3").groupBy("l_orderkey").agg(F.collect_list("s").alias("a"))
-    large = lines.filter("l_quantity > 10").groupBy("l_orderkey").agg(F.collect_list("s").alias("b"))
-    return early.join(large, "l_orderkey").select(
-        F.col("l_orderkey").alias("o_orderkey"), (I.rule_key(F.col("a")) == I.rule_key(F.col("b"))).alias("same"))
+    """Sets of flags per supplier; a set has six members at most, however many rows there are."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("s", F.concat("l_returnflag", "l_linestatus"))
+    late = lines.filter("l_linenumber = 6").groupBy("l_suppkey").agg(F.collect_set("s").alias("a"))
+    large = lines.filter("l_quantity > 40").groupBy("l_suppkey").agg(F.collect_set("s").alias("b"))
+    return late.join(large, "l_suppkey").select(
+        "l_suppkey", (I.rule_key(F.col("a")) == I.rule_key(F.col("b"))).alias("same"))

@@ -98,14 +98,14 @@ def json_values(spark, sf_dir):
         F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("dumped"))
 
 
-@query("array_ops", """select l_orderkey, list_aggregate(list_slice(list_sort(list(distinct l_suppkey)), 1, 3)::varchar[], 'string_agg', ',') as first_three,
-    len(list(distinct l_suppkey)) as suppliers from lineitem group by 1""")
+@query("array_ops", """select l_orderkey, array_to_string(list_slice(list_sort(list(distinct l_returnflag || l_linestatus)), 1, 2), ',') as first_two,
+    count(distinct l_returnflag || l_linestatus) as flags from lineitem group by 1""")
 def array_ops(spark, sf_dir):
-    # Lines of one order: a bounded group.
-    parts = F.array_sort(F.array_distinct(F.collect_list("l_suppkey")))
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(parts.alias("s")).select(
-        "l_orderkey", F.array_join(F.slice("s", 1, 3).cast("array<string>"), ",").alias("first_three"),
-        F.size("s").cast("long").alias("suppliers"))
+    """Sorted, distinct and sliced arrays of a set that has six members at most."""
+    flags = F.array_sort(F.array_distinct(F.collect_set(F.concat("l_returnflag", "l_linestatus"))))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(flags.alias("s")).select(
+        "l_orderkey", F.array_join(F.slice("s", 1, 2), ",").alias("first_two"),
+        F.size("s").cast("long").alias("flags"))
 
 
 @query("defaults", with_views(

@@ -10,7 +10,7 @@ from ...session import cut_lineage
 from .checks import _PROBLEM, _WORST, monthly_results, oracle as results_oracle
 from .knowledge import notes, NOTES
 from .profiles import oracle as profile_oracle, proposal_columns, profiles
-from .registry import over, query, table, with_views
+from .registry import over, query, spread_table, table, with_views
 
 # An answer per order: valid and invalid items in between prose.
 _ANSWERS = """select o_orderkey, concat('Here you are:', chr(10), '[{"column": "c', cast(o_custkey as string), '", "rule_type": "',
@@ -24,7 +24,7 @@ _ANSWERS = """select o_orderkey, concat('Here you are:', chr(10), '[{"column": "
 
 
 def _answers(spark, sf_dir):
-    return over(spark, _ANSWERS, "orders", table(spark, sf_dir, "orders"))
+    return over(spark, _ANSWERS, "orders", spread_table(spark, sf_dir, "orders"))
 
 
 _PARSED = """

@@ -39,7 +39,7 @@ def test_scores_agree_with_brute_force(spark):
     asked = {q: " ".join(random.choices(words, k=8)) for q in range(5)}
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     queries = spark.createDataFrame(list(asked.items()), "query_id long, text string")
-    got = K.similar_texts(K.vectors(K.embed(frame)), K.vectors(K.embed(queries, "query_id"), "query_id"), 7)
+    got = K.similar_texts(K.vectors(frame), K.vectors(queries, "query_id"), 7)
     bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in words], "w string").select(
         "w", X.term_bucket(F.col("w")).alias("b")).collect()}
 
@@ -61,7 +61,7 @@ def test_query_blocks(spark, monkeypatch):
     monkeypatch.setattr(K, "QUERY_BLOCK", 3)
     frame = spark.createDataFrame([(i, f"common word{i}") for i in range(10)], "doc_id long, text string")
     asked = frame.selectExpr("doc_id as query_id", "text")
-    got = K.similar_texts(K.vectors(K.embed(frame)), K.vectors(K.embed(asked, "query_id"), "query_id"), 1)
+    got = K.similar_texts(K.vectors(frame), K.vectors(asked, "query_id"), 1)
     assert sorted((r.query_id, r.doc_id) for r in got.collect()) == [(i, i) for i in range(10)]
 
 
