@@ -72,6 +72,14 @@ def value_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
+def pattern_text(c: Column, dtype: T.DataType) -> Column:
+    """The text a pattern is tested on: timestamps at midnight read as bare dates."""
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        day = c.cast("date")
+        return F.when(day.cast(dtype) == c, day.cast("string")).otherwise(c.cast("string"))
+    return value_text(c, dtype)
+
+
 def family(dtype: T.DataType) -> str:
     """Types whose values can be equal share a family; '1' never equals 1."""
     if is_numeric(dtype):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import (
-    family, is_missing, nan_to_null, present, to_number, to_timestamp, value_text,
+    family, is_missing, nan_to_null, pattern_text, to_number, to_timestamp, value_text,
 )
 from ..functions.names import decimals, percent, percent_literal
 from ..functions.patterns import NAMED_PATTERNS, matches
@@ -191,7 +191,7 @@ class CheckPlan:
         self.row_checks.append(_RowCheck(rule, pos, total, hits, violation))
 
     def _compile_pattern(self, pos, rule, c, dtype) -> None:
-        text = value_text(c, dtype)
+        text = pattern_text(c, dtype)
         regex = rule.params.get("regex") or NAMED_PATTERNS.get(rule.params.get("pattern_name") or "")
         if regex is None:
             self._row(pos, rule, F.count(text), F.lit(None).cast("long"), None)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..functions.text import BUCKETS, TOKEN, term_bucket, tokens
 
 # Queries scored per pass; their matrix is what a task holds (QUERY_BLOCK x BUCKETS doubles).
@@ -93,6 +94,9 @@ def _scored(docs: DataFrame, queries: DataFrame, k: int, to_matrix, dims: int) -
     schema = f"query_id {qtype}, doc_id {dtype}, score double"
     total = queries.count()
     blocks = max(1, -(-total // QUERY_BLOCK))
+    if blocks > 1:
+        # Each block passes over the vectors; they are made once.
+        docs = cut_lineage(docs)
     block_of = F.pmod(F.xxhash64(F.col("query_id")), F.lit(blocks))
     out = None
     for number in range(blocks):

@@ -17,6 +17,8 @@ def build_session(master: str | None = None, app: str = "sievewright", **conf) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # Rows with long texts or vectors must not add up to huge batches for Python.
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
         # Call-site capture for every column costs more than building the column.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,

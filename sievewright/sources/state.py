@@ -6,13 +6,15 @@ epoch left there, so a replayed micro-batch writes nothing twice. One writer at
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..operators.knowledge import latest
-from .base import path_exists
+from .base import hadoop_path, path_exists
 
 _SEQ = T.StructField("seq", T.LongType())
 
@@ -69,7 +71,40 @@ class StateStore:
         return rows.drop("epoch")
 
     def committed(self, batch_id: str) -> bool:
-        return path_exists(self.spark, f"{self.path('commits')}/epoch={batch_id}/_SUCCESS")
+        return self.read("commits").filter(F.col("batch_id") == batch_id).limit(1).count() > 0
+
+    def compact(self, log: str) -> int:
+        """Rewrite the epochs of a log as one, between batches; returns how many there were.
+
+        The merged copy is complete before any epoch is dropped, and a hidden copy left by an
+        interrupted run is finished first, so rows are neither lost nor doubled.
+        """
+        self._finish_compaction(log)
+        fs, root = hadoop_path(self.spark, self.path(log))
+        if not fs.exists(root):
+            return 0
+        epochs = [s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("epoch=")]
+        if len(epochs) > 1:
+            merged = self._merged(log)
+            self.spark.createDataFrame([(e,) for e in epochs], "value string").write.mode("overwrite").text(
+                f"{merged}/epochs")
+            self.read(log).coalesce(1).write.mode("overwrite").parquet(f"{merged}/rows")
+            self._finish_compaction(log)
+        return len(epochs)
+
+    def _merged(self, log: str) -> str:
+        # A leading underscore hides the folder from readers of the log.
+        return f"{self.path(log)}/_merged"
+
+    def _finish_compaction(self, log: str) -> None:
+        merged = self._merged(log)
+        if not path_exists(self.spark, f"{merged}/rows/_SUCCESS"):
+            return
+        for row in self.spark.read.text(f"{merged}/epochs").collect():
+            fs, old = hadoop_path(self.spark, f"{self.path(log)}/{row.value}")
+            fs.delete(old, True)
+        fs, rows = hadoop_path(self.spark, f"{merged}/rows")
+        fs.rename(rows, hadoop_path(self.spark, f"{self.path(log)}/epoch=compacted_{uuid.uuid4().hex[:8]}")[1])
 
     def next_seq(self, table: str) -> int:
         last = self.read("commits").filter(F.col("table_fq_name") == table).agg(F.max("seq")).first()[0]

@@ -70,6 +70,11 @@ def test_pattern(spark):
     assert one(column(spark, [None]), "pattern", threshold=0.9).status == "pass"
 
 
+def test_dates_in_timestamps(spark):
+    df = column(spark, [dt.datetime(2024, 5, 1), dt.datetime(2024, 5, 1, 7)], "timestamp")
+    assert one(df, "pattern", threshold=0.9, params={"pattern_name": "date_iso"}).metric_value == 0.5
+
+
 def test_freshness(spark):
     now = dt.datetime(2024, 5, 1, 12)
     df = column(spark, [now - dt.timedelta(hours=1), now - dt.timedelta(hours=9)], "timestamp")
