@@ -316,7 +316,7 @@ class CheckPlan:
             frames.append(wide.select(*self._keys(), F.inline(F.array(*structs))))
         return frames
 
-    def _value_groups(self) -> list[tuple[list[_ValueCheck], DataFrame]]:
+    def _value_groups(self, wanted: list[_ValueCheck]) -> list[tuple[list[_ValueCheck], DataFrame]]:
         """Uniqueness rules with their (batch, pos, value, n), one shuffle for all rules on whole
         numbers and one for all others, whose common type is text."""
         def whole(check: _ValueCheck) -> bool:
@@ -324,7 +324,7 @@ class CheckPlan:
 
         out = []
         for integral in (True, False):
-            checks = [c for c in self.unique_checks if whole(c) == integral]
+            checks = [c for c in wanted if whole(c) == integral]
             if not checks:
                 continue
             cells = [F.struct(F.lit(c.pos).alias("pos"), self._value(c, integral).alias("value")) for c in checks]
@@ -339,7 +339,7 @@ class CheckPlan:
     def _unique_measures(self) -> list[DataFrame]:
         """One row per batch with the counts of all rules, so an empty table has results too."""
         frames = []
-        for checks, groups in self._value_groups():
+        for checks, groups in self._value_groups(self.unique_checks):
             aggs = []
             for check in checks:
                 mine = (F.col("pos") == check.pos) & F.col("value").isNotNull()
@@ -421,19 +421,18 @@ class CheckPlan:
                 found = (self.df.select(*self._batch(), F.inline(cells))
                          .filter(F.col("value").isNotNull()))
                 frames.append(found.distinct() if distinct else found)
-        for checks, groups in self._value_groups():
-            chosen = [c.pos for c in checks if wanted(c)]
-            if chosen:
-                frames.append(groups.filter((F.col("n") > 1) & F.col("value").isNotNull()
-                                            & F.col("pos").isin(chosen))
-                              .select(*self._keys(), "pos", F.col("value").cast("string").alias("value")))
+        # The predicates below involve `n`, so they stay above the grouping and its shuffle is the one
+        # the measures use.
+        for _, groups in self._value_groups([c for c in self.unique_checks if wanted(c)]):
+            repeated = F.when(F.col("value").isNotNull(), F.col("n")) > 1
+            frames.append(groups.filter(repeated).select(
+                *self._keys(), "pos", F.col("value").cast("string").alias("value")))
         for check in self.ref_checks:
             if wanted(check):
                 dtype = self.df.schema[check.rule.column].dataType
-                frames.append(self._reference_groups(check)
-                              .filter(F.col("value").isNotNull() & F.col("found").isNull())
-                              .select(*self._keys(), F.lit(check.pos).alias("pos"),
-                                      value_text(F.col("value"), dtype).alias("value")))
+                absent = F.when(F.col("value").isNotNull() & F.col("found").isNull(), F.col("n")) > 0
+                frames.append(self._reference_groups(check).filter(absent).select(
+                    *self._keys(), F.lit(check.pos).alias("pos"), value_text(F.col("value"), dtype).alias("value")))
         if not frames:
             cols = ", ".join([*(["batch_id string"] if self.batch_col else []),
                               "pos int, sample_violations array<string>"])
@@ -467,7 +466,13 @@ class CheckPlan:
             return self.spark.createDataFrame([], CHECK_RESULTS)
         long = measures
         if samples is not None:
-            long = long.join(samples, [*self._keys(), "pos"], "left")
+            found = samples.withColumnsRenamed({"pos": "__pos", "batch_id": "__batch"})
+            same = F.col("pos") == F.col("__pos")
+            if self.batch_col:
+                # Null-safe: a batch may lack a name, and no filter on it reaches one side only,
+                # so both sides go on sharing their shuffles.
+                same = same & F.col("batch_id").eqNullSafe(F.col("__batch"))
+            long = long.join(found, same, "left")
         else:
             long = long.withColumn("sample_violations", F.lit(None).cast("array<string>"))
         long = long.withColumn("rule", self._rule_record())
