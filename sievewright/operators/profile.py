@@ -1,6 +1,6 @@
 """Column and table profiles.
 
-One aggregate gives the moments and null counts of every column. Everything that
+Aggregates without a shuffle give the moments and null counts. Everything that
 depends on single values (distinct counts, the five top values, pattern shares) comes
 from one shuffle of (column, value) groups; patterns are tested once per distinct value.
 """
@@ -26,9 +26,16 @@ def head_sample(df: DataFrame, limit: int, order_by: list[str] | None = None) ->
 
 
 def _moments(df: DataFrame, columns: list[tuple[int, str, T.DataType]]) -> DataFrame:
+    """One row per column with counts, extremes, mean and deviation.
+
+    Extremes of variable-length values would keep the whole aggregate out of generated code, so
+    columns of fixed width are aggregated apart from the others.
+    """
+    flexible = [c for c in columns if isinstance(c[2], (T.StringType, T.BinaryType)) or is_nested(c[2])]
+    fixed = [c for c in columns if c not in flexible]
     frames = []
-    for start in range(0, max(len(columns), 1), COLUMNS_PER_PASS):
-        part = columns[start:start + COLUMNS_PER_PASS]
+    for part in [group[at:at + COLUMNS_PER_PASS] for group in (fixed, flexible)
+                 for at in range(0, len(group), COLUMNS_PER_PASS)]:
         aggs, cells = [F.count(F.lit(1)).alias("rows")], []
         for pos, name, dtype in part:
             c = field(name)
@@ -54,9 +61,7 @@ def _moments(df: DataFrame, columns: list[tuple[int, str, T.DataType]]) -> DataF
                 F.col("rows").alias("row_count"), F.col(f"nulls{pos}").alias("null_count"),
                 lo.alias("min_value"), hi.alias("max_value"), mean.alias("mean"), dev.alias("stddev"),
                 lo_text.alias("min_text"), hi_text.alias("max_text")))
-        wide = df.agg(*aggs)
-        if cells:
-            frames.append(wide.select(F.inline(F.array(*cells))))
+        frames.append(df.agg(*aggs).select(F.inline(F.array(*cells))))
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)

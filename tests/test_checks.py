@@ -195,3 +195,15 @@ def test_plans_stay_cheap(spark, tmp_path):
     text = plan.results(samples=plan.samples())._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "unused" not in text
     assert "WindowGroupLimit" in text
+
+
+def test_measures_and_samples_share_their_shuffles(spark, tmp_path):
+    path = str(tmp_path / "keys.parquet")
+    spark.range(2000).selectExpr("id % 900 as c", "cast(id % 3 as string) as b").write.parquet(path)
+    rules = [Rule("u", "t", "c", "uniqueness", 0.9),
+             Rule("f", "t", "c", "referential", 0.1, "warn", {"ref_table": "k", "ref_column": "id"})]
+    df = evaluate(spark.read.parquet(path), rules, batch_col="b", resolve=lambda t: spark.range(500))
+    assert df.count() == 6
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("ReusedExchange") >= 2
