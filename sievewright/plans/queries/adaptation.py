@@ -133,8 +133,8 @@ _REPLAY = (_STEP.format(source="""select o.rule_id, o.seq, o.rn, o.x as mean, 0:
 
 
 @query("adapt_replay", oracle(
-    "select rule_id, seq, n, round(mean, 6) as mean, threshold, kind as change, status from rp", rp=_REPLAY))
+    "select rule_id, seq, n, mean, threshold, kind as change, status from rp", rp=_REPLAY))
 def adapt_replay(spark, sf_dir):
     return A.adapt_replay(observations(spark, sf_dir), rules(spark, sf_dir)).select(
-        "rule_id", "seq", "n", F.round("mean", 6).alias("mean"), "threshold", "change",
+        "rule_id", "seq", "n", "mean", "threshold", "change",
         "status")
