@@ -13,8 +13,8 @@ from sievewright import build_session  # noqa: E402
 from sievewright.plans.queries import QUERIES  # noqa: E402
 
 HEADLINE = [
-    "profile_table", "check_all", "check_completeness", "check_uniqueness", "check_range", "check_pattern",
-    "check_referential", "check_custom", "sample_violations", "gate", "incident", "create_ticket", "propose_rules",
+    "check_completeness", "check_uniqueness", "check_range", "check_pattern", "check_referential", "check_custom",
+    "check_all", "sample_violations", "profile_table", "gate", "incident", "create_ticket", "propose_rules",
     "top_values", "ewma_fold", "adapt_replay", "apply_rule_events", "embed", "similarity_query", "search",
     "chunked_table", "per_batch_metrics", "stream_check", "scan_csv", "lineage_edges", "parse_rule_suggestions",
     "run_batch",
