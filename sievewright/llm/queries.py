@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, packing, token_count
+from . import exact_dedup, minhash, mixing, packing, quality_model, quality_rules, token_count
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,39 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+@query("op2_quality_model")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality_model.quality_scores(documents(spark, sf_dir), labels)
+
+
+RULES_SQL = r"""
+    with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+    w as (select r, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+                 list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+    win as (select r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] || ' ' || ws[i + 4] as k
+            from w, unnest(range(1, len(ws) - 3)) as u(i)),
+    twice as (select r, i from (select r, i, count(*) over (partition by r, k) as n from win) where n > 1),
+    covered as (select r, count(distinct i + j) as n from twice, unnest(range(0, 5)) as v(j) group by r),
+    s as (select w.doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
+                 length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols,
+                 (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words,
+                 len(ls) as n_lines, len(list_intersect(ws, [STOPS])) as n_stop
+          from w left join covered c using (r)),
+    b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from s)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           not (base_failed or 100 * n_symbols > 25 * n_words or 100 * word_chars > 2000 * n_words
+                or (100 * n_words > 60 * word_chars and n_words >= 50) or 100 * n_dup_lines > 50 * n_lines
+                or (n_stop < 2 and n_words >= 80)) as kept
+    from b""".replace("STOPS", ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS))
+
+
+@query("op4_quality_rules", RULES_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.assess(documents(spark, sf_dir, "doc_id", "text")).select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op5_near_duplicates")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
