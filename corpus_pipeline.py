@@ -8,6 +8,7 @@ stages, so there is no ORACLE_SQL; tests/llm/test_pipeline.py holds the stages a
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievewright.llm import line_dedup, minhash, mixing, packing, quality_rules
 from sievewright.llm.common import settle
@@ -22,8 +23,11 @@ def pass_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without lines that stand on many sources."""
-    return line_dedup.cleaned_documents(docs)
+    """All documents, their texts (and n_chars) without lines that stand on many sources."""
+    cleaned = line_dedup.clean_lines(docs)
+    chars = F.length("row.text").cast(docs.schema["n_chars"].dataType)
+    return cleaned.select(F.when(F.col("n_removed") > 0, F.col("row").withField("n_chars", chars))
+                          .otherwise(F.col("row")).alias("row")).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,8 +86,3 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, most_share: int = M
     return judged.select(
         F.col("__row").withField("text", F.when(F.col("__cut"), cleaned).otherwise(F.col("text"))).alias("row"), "n_lines",
         "n_boilerplate", F.when(F.col("__cut"), F.col("n_boilerplate")).otherwise(0).cast("long").alias("n_removed"))
-
-
-def cleaned_documents(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with cleaned texts and their other columns as they are."""
-    return clean_lines(docs).select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap_of, bounded_batches, discard, passes, settle, slot_of, text_slices, worker_cache
@@ -18,10 +18,16 @@ ROWS, BANDS = 4, 40
 BINS = ROWS * BANDS
 # Percent of similarity that makes a link.
 NEEDED = 75
-# Rest pairs of a bucket are listed at once while they are at most so many times the rows of the rest.
-REST_FACTOR = 4
+# Pairs that agree in fewer bins are not looked at on full sets: 0.75 less six standard deviations. Sets of fewer than
+# SMALL shingles are looked at in any case.
+LEAST_BINS = int(BINS * (NEEDED / 100 - 6 * (0.75 * 0.25 / BINS) ** 0.5))
+SMALL = 16
+# Leftover pairs are listed for buckets of at most LISTED members. Larger ones are divided by a second band; those that
+# are still larger give so many new hubs a round.
+LISTED = 128
+HUBS = 64
 
-SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>, bins binary"
 
 
 def _hashing():
@@ -33,8 +39,8 @@ def _hashing():
     return edges, order, keys
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """The band hashes of a sorted set: the least value of each bin, empty bins filled by optimal densification.
+def one_permutation(shingles: np.ndarray) -> np.ndarray:
+    """The least value of each bin of a sorted set, empty bins filled by optimal densification.
 
     An empty bin copies the first occupied one of its own random order of all bins, the same order for every set.
     """
@@ -47,7 +53,11 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
         empty = np.flatnonzero(~full)
         source[empty] = order[empty, full[order[empty]].argmax(axis=1)]
         at = at[source]
-    values = mixed(shingles[at] * keys)
+    return mixed(shingles[at] * keys)
+
+
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """Bucket names of the bands of a signature; a band's number is part of the name."""
     return mixed(values.reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
                  + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
 
@@ -55,16 +65,18 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         sets = shingle_sets(batch.column("text"))
+        values = [one_permutation(s) if len(s) else None for s in sets]
         yield pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id"),
             "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
             "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                                 for s in sets], pa.binary()),
-            "bands": pa.array([band_keys(s) if len(s) else None for s in sets], pa.list_(pa.int64()))})
+            "bands": pa.array([None if v is None else band_keys(v) for v in values], pa.list_(pa.int64())),
+            "bins": pa.array([None if v is None else v.astype(np.uint8).tobytes() for v in values], pa.binary())})
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """Number of shingles, digest of the shingle set and band hashes of each document (doc_id, text)."""
+    """Number of shingles, digest of the set, bucket names and one byte of each bin of documents (doc_id, text)."""
     bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_sketches, SKETCH)
 
@@ -99,11 +111,23 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets are similar enough."""
-    both = (pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("set_a")), "u")
-            .join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("set_b")), "v"))
-    return both.select("u", "v", "set_a", "set_b").mapInArrow(_similar, "u long, v long").distinct()
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("bins_u", "bins_v"))
+        keep = ((a == b).sum(axis=1) >= LEAST_BINS) | (batch.column("least").to_numpy() < SMALL)
+        yield batch.select(["u", "v"]).filter(pa.array(keep))
+
+
+def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose full shingle sets are similar enough; signatures spare most others the look."""
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}"))
+    likely = (pairs.join(side("u"), "u").join(side("v"), "v")
+              .select("u", "v", F.least("n_u", "n_v").alias("least"), "bins_u", "bins_v")
+              .mapInArrow(_promising, "u long, v long"))
+    full = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
+    both = likely.join(full("u"), "u").join(full("v"), "v")
+    return both.select("u", "v", F.col("set_u").alias("set_a"), F.col("set_v").alias("set_b")).mapInArrow(
+        _similar, "u long, v long").distinct()
 
 
 def _fits(a: str, b: str):
@@ -120,69 +144,83 @@ def star_edges(members: DataFrame) -> DataFrame:
 
 
 def _rest(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that still hold several components (key, rep, n, comp, hub)."""
+    """Members of buckets that still hold several components: key, rep, n, comp, and the size of the bucket."""
     named = members.join(labels, members.rep == labels.node, "left").select(
         "key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    torn = (named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("rep").alias("hub"))
-            .where("low < high").select("key", "hub"))
+    torn = (named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+            .where("low < high").select("key", "size"))
     return named.join(torn, "key")
 
 
-def _cross_pairs(rest: DataFrame) -> DataFrame:
-    """All pairs of different components within the buckets of the rest, except those with the hub."""
-    a = rest.where("rep <> hub").select("key", F.col("rep").alias("u"), F.col("n").alias("n_u"), F.col("comp").alias("c_u"))
-    b = rest.where("rep <> hub").select("key", F.col("rep").alias("v"), F.col("n").alias("n_v"), F.col("comp").alias("c_v"))
-    return a.join(b, "key").where("u < v and c_u <> c_v").where(_fits("n_u", "n_v")).select("u", "v").distinct()
+def _cross_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of different components within a bucket, one side from each table."""
+    left = a.select("key", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("c_x"))
+    right = b.select("key", F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("c_y"))
+    return left.join(right, "key").where("c_x <> c_y").where(_fits("n_x", "n_y")).select(
+        F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
-def _next_star(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges from one new hub a bucket, of its smallest component, to the other components; the rows left then."""
-    sizes = rest.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("first"))
-    hubs = sizes.groupBy("key").agg(F.min(F.struct("size", "comp", "first")).alias("best")).select(
-        "key", F.col("best.first.rep").alias("star"), F.col("best.first.n").alias("star_n"), F.col("best.comp").alias("star_c"))
-    joined = rest.join(hubs, "key")
-    edges = joined.where("comp <> star_c").where(_fits("n", "star_n")).select(
-        F.least("rep", "star").alias("u"), F.greatest("rep", "star").alias("v")).distinct()
-    return edges, joined.where("rep <> star").select("key", "rep", "n")
+def _hubs(large: DataFrame) -> DataFrame:
+    """The next hubs of each large bucket: members of its smallest components."""
+    sizes = large.groupBy("key", "comp").agg(F.count("*").alias("own"))
+    order = Window.partitionBy("key").orderBy("own", "comp", "rep")
+    return large.join(sizes, ["key", "comp"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= HUBS)
 
 
-def link_classes(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(node, component) of the linked classes; `reps` has one row a class: rep, n, bands.
+def _divided(large: DataFrame, reps: DataFrame) -> DataFrame:
+    """Members of large buckets by each later band as well: only pairs that share two bands still meet.
 
-    First every bucket gives a star around its least member; the links confirmed on full sets give components.
-    A bucket whose members then lie in one component needs nothing more. For the rest every pair of different
-    components is looked at too: all at once while they are few, else star by star, one new hub a bucket and round
-    until nothing is left. So no pair that shares a bucket is lost, and no round lists more pairs than a fixed
-    multiple of its rows.
+    A pair at the threshold shares 12 of 40 bands on average and fewer than two in 5 of a million cases.
+    """
+    other = F.posexplode("bands").alias("later", "name")
+    both = large.select("key", "rep", "n").join(reps.select(F.col("rep").alias("of"), "bands"), F.col("rep") == F.col("of"))
+    at = F.array_position("bands", F.col("key"))
+    named = both.select("key", "rep", "n", at.alias("at"), other).where("later >= at").select(
+        F.xxhash64("key", "name").alias("key"), "rep", "n")
+    shared = (named.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+              .where("low < high").select("key"))
+    return named.join(shared, "key", "left_semi")
+
+
+def link_classes(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, component) of the linked classes; `reps` has one row a class: rep, n, bands, bins.
+
+    First every bucket gives a star around its least member; the links confirmed on full sets give components. A
+    bucket whose members then lie in one component needs nothing more. In the others every pair of different
+    components is looked at too: all at once in buckets of at most LISTED members, which is a fixed multiple of the
+    rows. Larger ones, such as those of a passage that very many documents quote, are divided by a second band first;
+    what is still larger goes star by star, HUBS new hubs a bucket and round, until nothing is left. So no round lists
+    more pairs than a fixed multiple of its rows, and there is no limit on partners.
     """
     members = reps.select(F.explode("bands").alias("key"), "rep", "n")
     shared = (members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
               .where("low < high").select("key"))
     members = settle(members.join(shared, "key", "left_semi"), "buckets")
     nodes = settle(members.select(F.col("rep").alias("node")).distinct(), "nodes")
+    reps = settle(reps.join(nodes, F.col("rep") == F.col("node"), "left_semi"), "nodes")
     sets = settle(chosen_sets(docs, nodes), "sets")
-    links = settle(verified(star_edges(members), sets), "links")
+    links = settle(verified(star_edges(members), reps, sets), "links")
     labels = settle(connected_components(links), "labels")
+    divided = False
     while True:
         rest = settle(_rest(members, labels), "rest")
-        per_key = rest.where("rep <> hub").groupBy("key", "comp").agg(F.count("*").alias("k")) \
-            .groupBy("key").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("own"))
-        rows, pairs = per_key.agg(F.coalesce(F.sum("all"), F.lit(0)),
-                                  F.coalesce(F.sum((F.col("all").cast("double") * F.col("all") - F.col("own")) / 2),
-                                             F.lit(0.0))).first()
-        if not pairs:
+        if not rest.limit(1).count():
             break
-        once = pairs <= REST_FACTOR * rows
-        edges, members = (_cross_pairs(rest), None) if once else _next_star(rest)
-        more = settle(verified(edges, sets), "links")
-        if not once:
-            members = settle(members, "buckets")
+        small, large = rest.where(F.col("size") <= LISTED), rest.where(F.col("size") > LISTED)
+        pairs = _cross_pairs(small, small)
+        if divided:
+            hubs = settle(_hubs(large), "hubs")
+            pairs = pairs.unionByName(_cross_pairs(hubs, large)).distinct()
+            left = large.join(hubs, ["key", "rep"], "left_anti").select("key", "rep", "n")
+        else:
+            left = _divided(large, reps)
+        more = settle(verified(pairs, reps, sets), "links")
+        discard(members)
+        members, divided = settle(left, "buckets"), True
         if more.limit(1).count():
             links = settle(links.unionByName(more), "links")
             labels = settle(connected_components(links), "labels")
         discard(rest)
-        if once:
-            break
     return labels
 
 
@@ -198,7 +236,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = settle(sketch(docs), "sketches")
     known = sketches.where("digest is not null and doc_id is not null")
     reps = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"),
-                                       F.first("bands").alias("bands"))
+                                       F.first("bands").alias("bands"), F.first("bins").alias("bins"))
     reps = settle(reps, "classes")
     labels = link_classes(docs, reps)
     classes = reps.select("digest", "rep").join(labels, reps.rep == labels.node, "left").select(
