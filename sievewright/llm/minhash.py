@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap_of, bounded_batches, discard, passes, settle, slot_of, text_slices, worker_cache
@@ -22,10 +22,10 @@ NEEDED = 75
 # SMALL shingles are looked at in any case.
 LEAST_BINS = int(BINS * (NEEDED / 100 - 6 * (0.75 * 0.25 / BINS) ** 0.5))
 SMALL = 16
-# Leftover pairs are listed for buckets of at most LISTED members. Larger ones are divided by a second band; those that
-# are still larger give so many new hubs a round.
-LISTED = 128
-HUBS = 64
+# Leftover pairs are listed for buckets of at most LISTED members. Larger ones are divided by the rarest shingles of their
+# members; those that are still larger give so many new hubs a round.
+LISTED = 16
+HUBS = 16
 
 SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>, bins binary"
 
@@ -144,42 +144,77 @@ def star_edges(members: DataFrame) -> DataFrame:
 
 
 def _rest(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that still hold several components: key, rep, n, comp, and the size of the bucket."""
+    """Members that may still have a link to another component of their bucket: key, rep, n, most, comp, size.
+
+    A member stays if it could reach enough with the shortest member of any other component.
+    """
     named = members.join(labels, members.rep == labels.node, "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    torn = (named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-            .where("low < high").select("key", "size"))
-    return named.join(torn, "key")
+        "key", "rep", "n", "most", F.coalesce("component", "rep").alias("comp"))
+    parts = named.groupBy("key", "comp").agg(F.min("n").alias("least"), F.count("*").alias("own"))
+    first = (parts.groupBy("key").agg(F.min(F.struct("least", "comp")).alias("first"), F.sum("own").alias("size"),
+                                      F.min("comp").alias("low"), F.max("comp").alias("high"))
+             .where("low < high").select("key", "first", "size"))
+    second = (parts.join(first, "key").where("comp <> first.comp").groupBy("key", "first", "size")
+              .agg(F.min("least").alias("second")))
+    other = F.when(F.col("comp") == F.col("first.comp"), F.col("second")).otherwise(F.col("first.least"))
+    return named.join(second, "key").where(_reaches(F.col("most"), F.col("n") + other)).select(
+        "key", "rep", "n", "most", "comp", "size")
 
 
 def _cross_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of different components within a bucket, one side from each table."""
-    left = a.select("key", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("c_x"))
-    right = b.select("key", F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("c_y"))
-    return left.join(right, "key").where("c_x <> c_y").where(_fits("n_x", "n_y")).select(
+    """Pairs of different components within a bucket, one side from each table, that may share enough there."""
+    side = lambda t, x: t.select("key", F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("most").alias(f"m_{x}"),
+                                 F.col("comp").alias(f"c_{x}"))
+    fits = _reaches(F.least("m_x", "m_y"), F.col("n_x") + F.col("n_y"))
+    return side(a, "x").join(side(b, "y"), "key").where("c_x <> c_y").where(fits).select(
         F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
+def _reaches(common: Column, sizes: Column) -> Column:
+    """So many common shingles are enough for two sets whose sizes add up to `sizes`."""
+    return F.lit(100 + NEEDED) * common >= F.lit(NEEDED) * sizes
+
+
 def _hubs(large: DataFrame) -> DataFrame:
-    """The next hubs of each large bucket: members of its smallest components."""
+    """The next hubs of each large bucket: its shortest members, and members of its smallest components."""
     sizes = large.groupBy("key", "comp").agg(F.count("*").alias("own"))
-    order = Window.partitionBy("key").orderBy("own", "comp", "rep")
-    return large.join(sizes, ["key", "comp"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= HUBS)
+    short = F.row_number().over(Window.partitionBy("key").orderBy("n", "rep"))
+    apart = F.row_number().over(Window.partitionBy("key").orderBy("own", "comp", "rep"))
+    return large.join(sizes, ["key", "comp"]).withColumns({"short": short, "apart": apart}).where(
+        F.least("short", "apart") <= HUBS // 2).drop("own", "short", "apart")
 
 
-def _divided(large: DataFrame, reps: DataFrame) -> DataFrame:
-    """Members of large buckets by each later band as well: only pairs that share two bands still meet.
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, one in enumerate(batch.column("shingles")):
+            values = np.frombuffer(one.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(values), batch.column("rep")[i].as_py())), pa.array(values)], names=["rep", "key"])
+
 
-    A pair at the threshold shares 12 of 40 bands on average and fewer than two in 5 of a million cases.
+def _divided(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of large buckets by the shingles of their prefix: key, rep, n, most.
+
+    Shingles are ranked by how many of these members have them, then by hash. The prefix of a set of n shingles holds
+    its n - ceil(0.75 n) + 1 first ones; two sets that are similar enough share one of those. If the shingle of a bucket
+    is the first that two sets share, they share at most `most` of them, those from it on. A member that could not
+    reach enough even with the shortest one of its bucket leaves it: where members have only a common passage in
+    common, those remain that the passage fills.
     """
-    other = F.posexplode("bands").alias("later", "name")
-    both = large.select("key", "rep", "n").join(reps.select(F.col("rep").alias("of"), "bands"), F.col("rep") == F.col("of"))
-    at = F.array_position("bands", F.col("key"))
-    named = both.select("key", "rep", "n", at.alias("at"), other).where("later >= at").select(
-        F.xxhash64("key", "name").alias("key"), "rep", "n")
-    shared = (named.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-              .where("low < high").select("key"))
-    return named.join(shared, "key", "left_semi")
+    nodes = large.select("rep", "n").distinct()
+    held = settle(sets.join(nodes, F.col("doc_id") == F.col("rep")).select("rep", "shingles").mapInArrow(
+        _exploded, "rep long, key long"), "shingles")
+    common = held.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    shared = held.join(common, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("shared"))
+    # Shingles that only one member has come first in its ranking and meet nobody.
+    alone = F.col("n") - F.size("shared")
+    prefix = F.greatest(F.col("n") - F.ceil(F.col("n") * F.lit(NEEDED) / 100) + 1 - alone, F.lit(0)).cast("int")
+    placed = shared.join(nodes, "rep").select("rep", "n", alone.alias("alone"), F.posexplode(
+        F.slice("shared", F.lit(1), prefix)).alias("at", "one")).select(
+            F.col("one.key").alias("key"), "rep", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("most"))
+    shortest = placed.groupBy("key").agg(F.min("n").alias("least"))
+    return placed.join(shortest, "key").where(_reaches(F.col("most"), F.col("n") + F.col("least"))).select(
+        "key", "rep", "n", "most")
 
 
 def link_classes(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -188,11 +223,11 @@ def link_classes(docs: DataFrame, reps: DataFrame) -> DataFrame:
     First every bucket gives a star around its least member; the links confirmed on full sets give components. A
     bucket whose members then lie in one component needs nothing more. In the others every pair of different
     components is looked at too: all at once in buckets of at most LISTED members, which is a fixed multiple of the
-    rows. Larger ones, such as those of a passage that very many documents quote, are divided by a second band first;
-    what is still larger goes star by star, HUBS new hubs a bucket and round, until nothing is left. So no round lists
-    more pairs than a fixed multiple of its rows, and there is no limit on partners.
+    rows. Larger ones, such as those of a passage that very many documents quote, are divided by their members' rarest
+    shingles first, which loses no link; what is still larger goes star by star, HUBS new hubs a bucket and round, until
+    nothing is left. So no round lists more pairs than a fixed multiple of its rows, and there is no limit on partners.
     """
-    members = reps.select(F.explode("bands").alias("key"), "rep", "n")
+    members = reps.select(F.explode("bands").alias("key"), "rep", "n", F.col("n").alias("most"))
     shared = (members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
               .where("low < high").select("key"))
     members = settle(members.join(shared, "key", "left_semi"), "buckets")
@@ -211,9 +246,9 @@ def link_classes(docs: DataFrame, reps: DataFrame) -> DataFrame:
         if divided:
             hubs = settle(_hubs(large), "hubs")
             pairs = pairs.unionByName(_cross_pairs(hubs, large)).distinct()
-            left = large.join(hubs, ["key", "rep"], "left_anti").select("key", "rep", "n")
+            left = large.join(hubs, ["key", "rep"], "left_anti").select("key", "rep", "n", "most")
         else:
-            left = _divided(large, reps)
+            left = _divided(large, sets)
         more = settle(verified(pairs, reps, sets), "links")
         discard(members)
         members, divided = settle(left, "buckets"), True
