@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -22,15 +23,17 @@ END_ID = 2
 WORTH = 1.0002
 REMEMBERED = 1_000_000
 KEEP = 64
+# Signs that may follow a word without joining it (fixed values; no apostrophe, which starts contractions).
+SIGNS = ".,;:!?)#$%&*|"
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, class int, local long")
 
 
-class ChunkEncoder:
-    """Ids of a text as little-endian 32-bit numbers, chunk by chunk between white space.
+class ChunkCodes:
+    """Ids of texts as little-endian 32-bit numbers, chunk by chunk between white space.
 
     The vocabulary's own splitting drops white space, so chunks are encoded independently; those met before are
-    looked up.
+    looked up. It also parts letters from signs and folds case: a word with signs after it is the word and the signs.
     """
 
     def __init__(self, path: str):
@@ -38,48 +41,55 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Encode unknown chunks; long ones are returned instead of being remembered."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        order = list(chunks)
-        coded = self.tokenizer.encode_batch_fast([c.decode() for c in order], add_special_tokens=False)
-        once = {}
-        for chunk, one in zip(order, coded):
-            (self.known if len(chunk) <= KEEP else once)[chunk] = np.array(one.ids, "<u4").tobytes()
-        return once
-
-    def encode(self, text: str) -> bytes:
-        known = self.known
-        chunks = text.encode().split()
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        once = self.learn({c for c in chunks if c not in known})
-        if not once:
-            return b"".join([known[c] if c in known else self.learn_one(c) for c in chunks])
-        return b"".join([once[c] if c in once else known[c] if c in known else self.learn_one(c) for c in chunks])
-
-    def learn_one(self, chunk: bytes) -> bytes:
-        """A chunk that was forgotten in between."""
-        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-        coded = self.known[chunk] = np.array(ids, "<u4").tobytes()
-        return coded
+        self.parts: dict[str, bytes] = {}
+
+    def _new(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Codes of chunks that are not known; short ones are remembered."""
+        cut = {}
+        for chunk in chunks:
+            text = chunk.decode()
+            word = text.rstrip(SIGNS)
+            cut[chunk] = (word.lower() if word.isascii() else word, text[len(word):]) if word.isalpha() else (text, "")
+        texts = list({p for pair in cut.values() for p in pair if p not in self.parts})
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        fresh = {t: struct.pack(f"<{len(ids)}I", *ids) for t, ids in zip(texts, [c.ids for c in coded])}
+        code = lambda p: fresh[p] if p in fresh else self.parts[p]
+        found = {chunk: code(word) + code(tail) for chunk, (word, tail) in cut.items()}
+        for known, some in ((self.known, found), (self.parts, fresh)):
+            if len(known) > REMEMBERED:
+                known.clear()
+            known.update((k, ids) for k, ids in some.items() if len(k) <= KEEP)
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        rows, gaps, unknown = [], [], set()
+        for text in texts:
+            chunks = text.encode().split()
+            codes = list(map(self.known.get, chunks))
+            rows.append(codes)
+            if None in codes:
+                at = [i for i, code in enumerate(codes) if code is None]
+                gaps.append((codes, at, [chunks[i] for i in at]))
+                unknown.update(gaps[-1][2])
+        found = self._new(unknown) if unknown else {}
+        for codes, at, chunks in gaps:
+            for i, chunk in zip(at, chunks):
+                codes[i] = found[chunk]
+        return [b"".join(codes) for codes in rows]
 
 
 def _pieces(path: str, capacity: int, step: int):
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_cache(f"chunks:{path}", lambda: ChunkEncoder(path))
+        codes = worker_cache(f"chunks:{path}", lambda: ChunkCodes(path))
         part = TaskContext.get().partitionId()
         ranks = [0] * (-(-capacity // step) + 1)
         for batch in text_slices(batches):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encoder.encode(text or "") + end
+            coded = codes.encode(batch.column("text").fill_null("").to_pylist())
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coded):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     stop = min(n, start + capacity)
