@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal, localcontext
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,14 +75,77 @@ def value_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
+def plain_number(c: Column) -> Column:
+    """A double as its shortest text, written out from 1e-4 up to below 1e16 and with an exponent elsewhere."""
+    text = c.cast("string")
+    size = F.abs(c)
+    # At most 17 digits are significant, so the decimal holds them all.
+    digits = F.regexp_replace(F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
+    power = F.regexp_extract(text, "E(-?)", 1), F.regexp_extract(text, r"E-?(\d+)", 1)
+    sign = F.when(power[0] == "-", "-").otherwise("+")
+    short = F.concat(F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""), F.lit("e"), sign,
+                     F.when(F.length(power[1]) < 2, F.lpad(power[1], 2, "0")).otherwise(power[1]))
+    written = F.when(c == 0, "0.0").when((size >= 1e-4) & (size < 1e16), digits).when(text.contains("E"), short)
+    return F.when(~F.isnan(c), F.coalesce(written, F.lower(F.regexp_replace(text, "inity", ""))))
+
+
 def pattern_text(c: Column, dtype: T.DataType) -> Column:
-    """The text a pattern is tested on: timestamps at midnight read as bare dates."""
+    """The text a pattern is tested on: timestamps at midnight read as bare dates, numbers are written out."""
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         day = c.cast("date")
         return F.when(day.cast(dtype) == c, day.cast("string")).otherwise(c.cast("string"))
+    if isinstance(dtype, T.BooleanType):
+        return F.initcap(c.cast("string"))
+    if is_floating(dtype):
+        return plain_number(c)
     return value_text(c, dtype)
 
 
+def below(c: Column, dtype: T.DataType, bound: float | int) -> Column:
+    """c < bound in the column's own type; whole numbers and decimals never pass through doubles."""
+    return _beside(c, dtype, bound, "<")
+
+
+def above(c: Column, dtype: T.DataType, bound: float | int) -> Column:
+    return _beside(c, dtype, bound, ">")
+
+
+def _beside(c: Column, dtype: T.DataType, bound, side: str) -> Column:
+    number = float(bound)
+    if isinstance(dtype, T.IntegralType) and math.isfinite(number):
+        # The nearest whole bound on the passing side means the same.
+        whole = math.ceil(bound) if side == "<" else math.floor(bound)
+        if not -(2**63) <= whole < 2**63:
+            return c.isNotNull() & F.lit((whole > 0) == (side == "<"))
+        return c < F.lit(whole) if side == "<" else c > F.lit(whole)
+    if isinstance(dtype, T.DecimalType) and math.isfinite(number) and abs(number) < 1e18:
+        exact = F.lit(Decimal(repr(bound)))
+        return c < exact if side == "<" else c > exact
+    x = to_number(c, dtype)
+    return x < F.lit(number) if side == "<" else x > F.lit(number)
+
+
+def of_type(values: list, dtype: T.DataType) -> list:
+    """The listed values that a column of the type can equal, in that type; nothing is rounded on the way."""
+    if isinstance(dtype, T.StringType):
+        return list(dict.fromkeys(v for v in values if isinstance(v, str)))
+    numbers = [v for v in values if isinstance(v, (int, float, Decimal)) and v == v]
+    if isinstance(dtype, T.BooleanType):
+        return sorted({bool(v) for v in numbers if v in (0, 1)})
+    if isinstance(dtype, T.IntegralType):
+        whole = {int(v) for v in numbers if math.isfinite(v) and v == int(v)}
+        bits = 8 * {"tinyint": 1, "smallint": 2, "int": 4}.get(dtype.simpleString(), 8) - 1
+        return sorted(v for v in whole if -(2**bits) <= v < 2**bits)
+    if isinstance(dtype, T.DecimalType):
+        exact = {Decimal(repr(v) if isinstance(v, float) else int(v) if isinstance(v, bool) else v)
+                 for v in numbers if math.isfinite(v)}
+        step, top = Decimal(1).scaleb(-dtype.scale), Decimal(10) ** (dtype.precision - dtype.scale)
+        with localcontext() as context:
+            context.prec = 80
+            return sorted(v.quantize(step) for v in exact if abs(v) < top and v == v.quantize(step))
+    return sorted({float(v) for v in numbers}) if is_floating(dtype) else []
+
+
 def family(dtype: T.DataType) -> str:
     """Types whose values can be equal share a family; '1' never equals 1."""
     if is_numeric(dtype):

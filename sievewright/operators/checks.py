@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import (
-    family, is_missing, nan_to_null, pattern_text, to_number, to_timestamp, value_text,
+    above, below, family, is_missing, nan_to_null, of_type, pattern_text, to_number, to_timestamp, value_text,
 )
 from ..functions.names import decimals, percent, percent_literal
 from ..functions.patterns import NAMED_PATTERNS, matches
@@ -32,8 +32,6 @@ WARN_FLOOR = 0.01
 SAMPLE_SIZE = 10
 # Rules per aggregate, so that the generated code stays small.
 RULES_PER_PASS = 100
-# Longer inline reference lists become a join.
-INLINE_REFS = 500
 
 Resolver = Callable[[str], DataFrame]
 
@@ -109,10 +107,12 @@ def _regex_error(spark: SparkSession, regex: str) -> str | None:
 def predicate_column(df: DataFrame, expression: str) -> Column:
     """A row is valid where the Spark SQL expression is true; NULL counts as a violation."""
     with lenient_sql(df.sparkSession):
-        typed = df.select(F.expr(expression).alias("p")).schema["p"].dataType
+        typed = df.withColumn("__p", F.expr(expression)).schema["__p"].dataType
         if not isinstance(typed, (T.BooleanType, T.NullType)):
             raise ValueError(f"'{expression}' is {typed.simpleString()}, not a boolean")
-        return F.coalesce(F.expr(expression).cast("boolean"), F.lit(False))
+        valid = F.coalesce(F.expr(expression).cast("boolean"), F.lit(False))
+        # As it will be used, beside the row's columns: aggregates and generators fail here, for this rule alone.
+        return valid if df.withColumn("__p", valid).schema else valid
 
 
 def reference_keys(ref: DataFrame, column: str) -> DataFrame:
@@ -122,11 +122,6 @@ def reference_keys(ref: DataFrame, column: str) -> DataFrame:
             .filter(F.col("ref").isNotNull()).distinct())
 
 
-def _same_family(values: list, fam: str) -> list:
-    kinds = {"number": (int, float), "text": (str,)}.get(fam, ())
-    return [v for v in values if v is not None and isinstance(v, kinds)]
-
-
 class CheckPlan:
     """The compiled rules of one table, over one DataFrame."""
 
@@ -172,9 +167,9 @@ class CheckPlan:
             lo, hi = rule.params.get("min"), rule.params.get("max")
             bad = F.lit(False)
             if lo is not None:
-                bad = bad | (x < F.lit(lo))
+                bad = bad | below(c, dtype, lo)
             if hi is not None:
-                bad = bad | (x > F.lit(hi))
+                bad = bad | above(c, dtype, hi)
             shown = c.cast("string") if not isinstance(dtype, T.StringType) else x.cast("string")
             self._row(pos, rule, F.count(x), F.count_if(bad), F.when(bad, shown))
         elif rule.rule_type == "pattern":
@@ -220,18 +215,10 @@ class CheckPlan:
                 keys = keys.filter(F.lit(False)).select(F.lit(None).cast(dtype).alias("ref"))
             self.ref_checks.append(_ValueCheck(rule, pos, keys, note))
             return
-        values = _same_family(rule.params.get("ref_values") or [], family(dtype))
-        if len(values) > INLINE_REFS:
-            kind = "string" if family(dtype) == "text" else "double"
-            keys = self.spark.createDataFrame([(v if kind == "string" else float(v),) for v in values],
-                                              f"ref {kind}").distinct()
-            self.ref_checks.append(_ValueCheck(rule, pos, keys, note))
-            return
-        live = nan_to_null(c, dtype)
-        absent = live.isNotNull() & ~live.isin(*values) if values else live.isNotNull()
-        # Distinct missing values are sampled, so the sample comes from the grouped side.
-        self.row_checks.append(_RowCheck(rule, pos, F.count(live), F.count_if(absent),
-                                         F.when(absent, value_text(c, dtype)), note))
+        # A list is a reference like any other, in the column's own type.
+        values = of_type(rule.params.get("ref_values") or [], dtype)
+        ref = self.spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField("ref", dtype)]))
+        self.ref_checks.append(_ValueCheck(rule, pos, ref, note))
 
     def _load_reference(self, rule: Rule) -> tuple[DataFrame | None, str]:
         table, column = rule.params.get("ref_table"), rule.params.get("ref_column")
@@ -412,15 +399,9 @@ class CheckPlan:
 
         frames = []
         rows = [c for c in self.row_checks if c.violation is not None and wanted(c)]
-        plain = [c for c in rows if c.rule.rule_type != "referential"]
-        listed = [c for c in rows if c.rule.rule_type == "referential"]
-        for part, distinct in ((plain, False), (listed, True)):
-            if part:
-                cells = F.array(*[F.struct(F.lit(c.pos).alias("pos"), c.violation.alias("value"))
-                                  for c in part])
-                found = (self.df.select(*self._batch(), F.inline(cells))
-                         .filter(F.col("value").isNotNull()))
-                frames.append(found.distinct() if distinct else found)
+        if rows:
+            cells = F.array(*[F.struct(F.lit(c.pos).alias("pos"), c.violation.alias("value")) for c in rows])
+            frames.append(self.df.select(*self._batch(), F.inline(cells)).filter(F.col("value").isNotNull()))
         # The predicates below involve `n`, so they stay above the grouping and its shuffle is the one
         # the measures use.
         for _, groups in self._value_groups([c for c in self.unique_checks if wanted(c)]):

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import split_name
 from ..schemas import LINEAGE_EDGES
+from ..session import best_effort
 
 
 def _edges(rows: DataFrame, upstream: Column, downstream: Column, relationship: str, info: str) -> DataFrame:
@@ -56,10 +56,9 @@ def lineage_edges(spark: SparkSession, feeds: list[Callable[[], DataFrame]]) ->
     """One edge table over all feeds; a feed that cannot be read adds nothing."""
     out = no_edges(spark)
     for feed in feeds:
-        try:
-            out = out.unionByName(feed())
-        except AnalysisException:
-            continue
+        edges = best_effort(feed, None, "lineage")
+        if edges is not None:
+            out = out.unionByName(edges)
     return out
 
 

@@ -17,7 +17,7 @@ from ..schemas import CHECK_RESULTS, rules_from_rows
 from ..session import cut_lineage, local_copy
 from ..sources.base import Source
 from ..sources.quarantine import write_quarantine
-from ..sources.state import StateStore
+from ..sources.state import LOGS, StateStore, batch_key
 from ..streaming.stream import run_micro_batches
 
 Answerer = Callable[[DataFrame], DataFrame]
@@ -108,37 +108,46 @@ class Monitor:
 
     def run_dataframe(self, table: str, df: DataFrame, batch_id: str | None = None) -> BatchReport:
         fq = self.source.fq_name(table)
-        return self._process(fq, df, batch_id or self._epoch("batch"), self.store)
+        batch_id = batch_id or self._epoch("batch")
+        return self._process(fq, df, batch_id, batch_key(fq, batch_id), self.store)
 
     def run_stream(self, table: str, stream: DataFrame, checkpoint: str, query: str = "stream",
                    max_batches: int | None = None,
                    on_report: Callable[[BatchReport], None] | None = None) -> int:
-        """The same step on every micro-batch; rules are read anew each time."""
+        """The same step on every micro-batch; rules are read anew each time. Returns the batches processed.
+
+        A batch is known by its table, its id and the id that Spark keeps in the checkpoint: another stream, or the
+        same one from a new checkpoint, is never taken for a replay. A replayed batch is not processed or counted.
+        """
         fq = self.source.fq_name(table)
 
-        def step(batch: DataFrame, epoch: int) -> None:
+        def step(batch: DataFrame, epoch: int, stream_id: str) -> bool:
             batch_id = f"{query}_{epoch}"
             store = StateStore(batch.sparkSession, self.store.root)
-            if store.committed(batch_id):
-                return
+            if store.committed(fq, batch_id, stream_id):
+                return False
             # The checks pass over a micro-batch several times; the source is read once.
             kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
             try:
-                report = self._process(fq, kept, batch_id, store)
+                report = self._process(fq, kept, batch_id, batch_key(fq, batch_id, stream_id), store)
             finally:
                 kept.unpersist()
             if on_report:
                 on_report(report)
+            return True
 
         return run_micro_batches(stream, checkpoint, step, max_batches=max_batches)
 
     def _resolve(self, table: str) -> DataFrame:
         return self.source.table(table)
 
-    def _process(self, table: str, df: DataFrame, batch_id: str, store: StateStore) -> BatchReport:
-        """Check, adapt, gate, report. What the checks return is one row per rule, kept as local rows."""
+    def _process(self, table: str, df: DataFrame, batch_id: str, key: str, store: StateStore) -> BatchReport:
+        """Check, adapt, gate, report. What the checks return is one row per rule, kept as local rows.
+
+        `key` names the epochs of the batch in every log.
+        """
         spark, now = df.sparkSession, self.clock()
-        rules_now, _ = local_copy(store.rules(before=batch_id).filter(
+        rules_now, _ = local_copy(store.rules(before=key).filter(
             (F.col("table_fq_name") == table) & (F.col("status") == "active")))
         rules = rules_from_rows(rules_now)
         seq = store.next_seq(table)
@@ -146,38 +155,37 @@ class Monitor:
         results = spark.createDataFrame([], CHECK_RESULTS)
         if rules:
             results = run_checks(df, rules, batch_id=batch_id, seq=seq, resolve=self._resolve)
-            store.append("check_results", results, batch_id)
+            store.append("check_results", results, key)
 
-        changes = self._adapt(store, results, rules_now, batch_id, now)
+        changes = self._adapt(store, results, rules_now, key, now)
         decisions, verdicts = local_copy(G.gate(results, self.error_blocks))
         decision = decisions.first().decision if verdicts else "pass"
         held = 0
         if decision == "block":
             held = write_quarantine(df.withColumn("batch_id", F.lit(batch_id)), self.quarantine_root, table)
-        store.append("gate_results", decisions.withColumn("quarantined_rows", F.lit(held)), batch_id, verdicts)
+        store.append("gate_results", decisions.withColumn("quarantined_rows", F.lit(held)), key, verdicts)
 
-        tickets = self._tickets(store, results, batch_id, now)
-        done = spark.createDataFrame([(table, batch_id, seq, rows)],
-                                     "table_fq_name string, batch_id string, seq long, row_count long")
-        store.append("commits", done, batch_id)
+        tickets = self._tickets(store, results, key, now)
+        done = spark.createDataFrame([(table, batch_id, seq, rows, key)], LOGS["commits"])
+        store.append("commits", done, key)
         return BatchReport(table, batch_id, rows, decision, results, decisions, tickets, changes, held)
 
-    def _adapt(self, store: StateStore, results: DataFrame, rules_now: DataFrame, batch_id: str,
+    def _adapt(self, store: StateStore, results: DataFrame, rules_now: DataFrame, key: str,
                now: float) -> DataFrame:
         """Record the batch in the statistics and log the threshold changes that follow."""
         checked = results.select("rule_id").distinct()
-        before = store.ewma(before=batch_id).join(F.broadcast(checked), "rule_id", "left_semi")
+        before = store.ewma(before=key).join(F.broadcast(checked), "rule_id", "left_semi")
         state, tracked = local_copy(adapt.ewma_fold(adapt.observations(results), before))
-        store.append("ewma_state", state, batch_id, tracked)
+        store.append("ewma_state", state, key, tracked)
         changes, moved = local_copy(adapt.threshold_changes(state, rules_now, now, self.never_tighten))
-        store.append("threshold_history", changes, batch_id, moved)
-        store.append("rule_events", R.threshold_events(changes, F.lit(self._seq())), batch_id, moved)
+        store.append("threshold_history", changes, key, moved)
+        store.append("rule_events", R.threshold_events(changes, F.lit(self._seq())), key, moved)
         return changes
 
-    def _tickets(self, store: StateStore, results: DataFrame, batch_id: str, now: float) -> DataFrame:
+    def _tickets(self, store: StateStore, results: DataFrame, key: str, now: float) -> DataFrame:
         """Open tickets of this batch's incident: a new one, or the one that already covers it."""
         problems, count = local_copy(results.filter(G.is_problem()))
-        known = store.tickets(before=batch_id)
+        known = store.tickets(before=key)
         if not count:
             return known.limit(0)
         rca, _ = local_copy(P.explain_failures(
@@ -191,8 +199,8 @@ class Monitor:
             I.incidents(problems).withColumn("id", F.concat_ws("|", "table_fq_name", "batch_id"))
             .join(texts, "id").withColumn("created_at", F.lit(now)))
         fresh, opened = local_copy(I.create_tickets(found, known).withColumn("seq", F.lit(self._seq())))
-        store.append("tickets", fresh, batch_id, opened)
-        store.append("outbox", I.webhook_payload(fresh), batch_id, opened)
+        store.append("tickets", fresh, key, opened)
+        store.append("outbox", I.webhook_payload(fresh), key, opened)
         return I.match_open(found.select("table_fq_name", "batch_id", "rule_ids"),
                             known.unionByName(fresh.drop("seq")))
 

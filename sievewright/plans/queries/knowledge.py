@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...operators import knowledge as K
 from ...session import cut_lineage
 from .checks import monthly_results, oracle as results_oracle
-from .registry import over, query, spread_table, table, with_views
+from .registry import over, query, table, with_views
 
 # Every document is a note on the table named after its source.
 NOTES = """select cast(doc_id as string) as doc_id, concat('src.', source) as table_fq_name, concat('Note ', lang) as title,
@@ -21,7 +21,7 @@ _CURRENT = """select doc_id, table_fq_name, title, content, created_at from
 
 
 def notes(spark, sf_dir):
-    return over(spark, NOTES, "documents", spread_table(spark, sf_dir, "documents"))
+    return over(spark, NOTES, "documents", table(spark, sf_dir, "documents"))
 
 
 def _log(spark, sf_dir):
@@ -77,14 +77,14 @@ def postings_oracle(source: str, key: str, text: str) -> str:
 @query("embed", with_views("select doc_id, bucket, tf, round(weight, 9) as weight from e",
                            e=postings_oracle("documents", "doc_id", "text")))
 def embed(spark, sf_dir):
-    return K.embed(spread_table(spark, sf_dir, "documents", "doc_id", "text")).select(
+    return K.embed(table(spark, sf_dir, "documents", "doc_id", "text")).select(
         "doc_id", F.col("bucket").cast("long").alias("bucket"), "tf", F.round("weight", 9).alias("weight"))
 
 
 @query("l2_norms", with_views("select doc_id, round(sqrt(sum(weight * weight)), 9) as norm, count(*) as buckets from e group by 1",
                               e=postings_oracle("documents", "doc_id", "text")))
 def l2_norms(spark, sf_dir):
-    return K.embed(spread_table(spark, sf_dir, "documents", "doc_id", "text")).groupBy("doc_id").agg(
+    return K.embed(table(spark, sf_dir, "documents", "doc_id", "text")).groupBy("doc_id").agg(
         F.round(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 9).alias("norm"), F.count(F.lit(1)).alias("buckets"))
 
 
@@ -93,7 +93,7 @@ def l2_norms(spark, sf_dir):
     docs="select doc_id, case when lang = 'fr' then concat('neu ', text) else text end as text from documents",
     e=postings_oracle("docs", "doc_id", "text")))
 def vector_upsert(spark, sf_dir):
-    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     changed = docs.filter("lang = 'fr'").select("doc_id", F.concat(F.lit("neu "), "text").alias("text"))
     return K.upsert_postings(K.embed(docs), changed).select(
         "doc_id", F.col("bucket").cast("long").alias("bucket"), "tf", F.round("weight", 9).alias("weight"))
@@ -109,7 +109,7 @@ def _asked(spark, sf_dir):
 
 
 def _hits(spark, sf_dir, k=5):
-    docs = K.vectors(spread_table(spark, sf_dir, "documents", "doc_id", "text"))
+    docs = K.vectors(table(spark, sf_dir, "documents", "doc_id", "text"))
     return K.similar_texts(docs, K.vectors(_asked(spark, sf_dir), "query_id"), k)
 
 

@@ -10,7 +10,7 @@ from ...operators.profile import candidate_grain, profile_columns, profile_table
 from ...sources.base import table_metadata
 from ...session import cut_lineage
 from ..monitor import scan_report
-from .registry import DIRTY, dirty, over, query, spread_table, table, with_views
+from .registry import DIRTY, dirty, over, query, table, with_views
 
 # Profiled inputs: name -> columns as (name, kind), kind n(umber), i(nteger), s(tring), t(ime).
 COLUMNS = {
@@ -29,7 +29,7 @@ TABLES = list(COLUMNS)
 
 def frame(spark, sf_dir, name):
     base = name.removesuffix("_dirty")
-    wide = spread_table(spark, sf_dir, base)
+    wide = table(spark, sf_dir, base)
     return over(spark, DIRTY[name], base, wide) if name in DIRTY else wide
 
 
@@ -204,19 +204,16 @@ def metadata(spark, sf_dir):
     return table_metadata(dirty(spark, sf_dir, "customer_dirty"), keys=["c_custkey"])
 
 
-_HEAD = "(select * from customer_dirty order by c_custkey limit 5000)"
-
-
 @query("scan_table", with_views(
     f"select p.*, m.data_type, m.nullable from profile p join m on m.name = p.\"column\"", "customer_dirty",
     m=_metadata_oracle("customer_dirty"),
-    profile="\nunion all ".join(column_oracle("customer_dirty", i, c, k, _HEAD)
+    profile="\nunion all ".join(column_oracle("customer_dirty", i, c, k)
                                 for i, (c, k) in enumerate(COLUMNS["customer_dirty"]))))
 def scan_table(spark, sf_dir):
-    """Profile of the reference's head sample (a sampling operator) beside the metadata of the whole table."""
+    """Profile of the whole table beside its metadata."""
     df = dirty(spark, sf_dir, "customer_dirty")
     facts = table_metadata(df).select(F.col("name").alias("column"), "data_type", "nullable")
-    return flat(profile_table(df, "src.customer_dirty", sample_rows=5000, order_by=["c_custkey"])).join(facts, "column")
+    return flat(profile_table(df, "src.customer_dirty")).join(facts, "column")
 
 
 @query("scan_report", with_views(

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ...session import spread
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -53,15 +51,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The columns of a table for work that is heavy per row; the test files are single splits."""
-    base = table(spark, sf_dir, name)
-    return spread(base.select(*columns) if columns else base)
+    base = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return base.select(*columns) if columns else base
 
 
 def over(spark: SparkSession, text: str, name: str, df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ...operators import gate as G, lineage as L, rules as R
 from ...operators.profile import head_sample
 from ...session import scratch_path
 from ...sources import CatalogSource, DirectorySource, FileSource
-from ...sources.base import table_metadata
+from ...sources.base import hadoop_path, table_metadata
 from ...sources.catalog import tables_union_views
 from ...sources.files import read_file
 from ...sources.kafka import decode_values
@@ -22,14 +22,21 @@ from .checks import _GATE, monthly_results, oracle as results_oracle
 from .lifecycle import _SHOWN, _SHOWN_SQL, changes, history, oracle as rules_oracle, rule_rows
 from .registry import dirty, over, query, table, with_views
 
-_CUSTOMERS = "select c_custkey, c_email, c_acctbal_text::double as c_acctbal_text, c_acctbal, c_mktsegment from customer_dirty"
+_CUSTOMERS = """select c_custkey, c_email, c_acctbal_text::double as c_acctbal_text, c_acctbal, c_mktsegment, note
+    from customer_dirty left join (select doc_id as id, text || chr(10) || '"' || source || '",' || chr(9) as note from documents)
+      on c_custkey = id"""
 
 
 def _delimited(spark, sf_dir, suffix: str, sep: str):
-    """Faulty customers written with a missing-value word and read back without a schema."""
+    """Faulty customers with notes that hold line breaks, quotes and separators, written with a missing-value word and
+    read back without a schema."""
     path = scratch_path(spark, "customer") + suffix
-    dirty(spark, sf_dir, "customer_dirty").write.csv(path, header=True, sep=sep, nullValue="NA", escape='"')
-    return read_file(spark, path)
+    note = F.concat("text", F.lit('\n"'), "source", F.lit('",\t')).alias("note")
+    notes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("c_custkey"), note)
+    rows = dirty(spark, sf_dir, "customer_dirty").join(notes, "c_custkey", "left")
+    rows.write.csv(path, header=True, sep=sep, nullValue="NA", escape='"', ignoreTrailingWhiteSpace=False,
+                   ignoreLeadingWhiteSpace=False)
+    return FileSource(spark, "files", path).table()
 
 
 @query("scan_csv", with_views(_CUSTOMERS, "customer_dirty"))
@@ -101,12 +108,28 @@ def catalog_source(spark, sf_dir):
         F.count(F.lit(1)).alias("n"))
 
 
-@query("list_tables", """select distinct name from (select 'part_' || l_partkey as name from lineitem
-    union select 'supplier_' || l_suppkey from lineitem)""")
+def _kind_folder(spark, sf_dir):
+    """Part kinds as a folder with one file a brand; the tables of the source are the brands of the data."""
+    folder = scratch_path(spark, "kinds")
+    part = table(spark, sf_dir, "part").select(F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_")).alias("name"), "p_type")
+    part.repartition("name").write.partitionBy("name").json(f"{folder}/by")
+    fs, by = hadoop_path(spark, f"{folder}/by")
+    for one in fs.listStatus(by):
+        name = one.getPath().getName()
+        if name.startswith("name="):
+            fs.rename(one.getPath(), hadoop_path(spark, f"{folder}/{name.removeprefix('name=')}.jsonl")[1])
+    fs.delete(by, True)
+    return DirectorySource(spark, "kinds", folder)
+
+
+_BRANDS = "lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g'))"
+
+
+@query("list_tables", f"select distinct {_BRANDS} as name from part")
 def list_tables(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    return tables_union_views(lines.select(F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("name")),
-                              lines.select(F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string")).alias("name")))
+    """The tables that a folder source lists."""
+    names = _kind_folder(spark, sf_dir).list_tables()
+    return spark.createDataFrame([(n,) for n in names], "name string")
 
 
 @query("tables_union_views", "select p_brand as name from part union select p_type from part")
@@ -115,9 +138,12 @@ def union_views(spark, sf_dir):
     return tables_union_views(part.select(F.col("p_brand").alias("name")), part.select(F.col("p_type").alias("name")))
 
 
-@query("sorted_listing", "select distinct p_name as name from part")
+@query("sorted_listing", f"""select name, row_number() over (order by name) - 1 as place from
+    (select distinct {_BRANDS} as name from part)""")
 def sorted_listing(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().orderBy("name")
+    """Names in the order in which the source lists them."""
+    names = _kind_folder(spark, sf_dir).list_tables()
+    return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, place long")
 
 
 _COUNTED = ("lineitem", "orders", "events", "documents")
@@ -125,12 +151,8 @@ _COUNTED = ("lineitem", "orders", "events", "documents")
 
 @query("row_count", " union all ".join(f"select '{t}' as name, count(*) as n from {t}" for t in _COUNTED))
 def row_count(spark, sf_dir):
-    out = None
-    for name in _COUNTED:
-        one = table_metadata(table(spark, sf_dir, name), observed_nulls=False).select(
-            F.lit(name).alias("name"), F.col("row_count").alias("n")).limit(1)
-        out = one if out is None else out.unionByName(one)
-    return out
+    source = DirectorySource(spark, "files", sf_dir)
+    return spark.createDataFrame([(name, source.row_count(name)) for name in _COUNTED], "name string, n long")
 
 
 @query("fetch_sample", "select l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem order by l_orderkey, l_linenumber, l_partkey, l_quantity limit 5000")
@@ -215,11 +237,12 @@ def quarantine_sink(spark, sf_dir):
 
 @query("state_tables", rules_oracle(f"select {_SHOWN_SQL} from cur"))
 def state_tables(spark, sf_dir):
-    """The rule log through its Parquet form, with one epoch written twice."""
+    """The rule log through its Parquet form, with one epoch written twice and a compaction in the middle."""
     store = StateStore(spark, scratch_path(spark, "state"))
     store.append("rule_events", R.add_events(rule_rows(spark, sf_dir), F.lit(0)), "add_1")
     for _ in range(2):
         store.append("rule_events", R.status_events(changes(spark, sf_dir)), "status_1")
+    store.compact("rule_events")
     moves = R.threshold_events(history(spark, sf_dir), F.col("changed_at").cast("long") + 1)
     store.append("rule_events", moves, "moves_1")
     return store.rules().select(*_SHOWN)

@@ -9,6 +9,7 @@ from ...operators.chunks import chunked
 from ...schemas import RULES as RULE_SCHEMA, Rule, rules_to_rows
 from ...session import scratch_path
 from ...sources import CatalogSource
+from ...sources.base import hadoop_path
 from ...sources.state import StateStore
 from ...streaming.stream import file_stream, run_micro_batches
 from ..monitor import Monitor
@@ -43,14 +44,6 @@ def chunked_table(spark, sf_dir):
     return chunked(table(spark, sf_dir, "events").select("event_id", "user_id"), ["user_id", "event_id"], 500)
 
 
-@query("bounded_run", """select chunk, count(*) as n, min(event_id) as lo, max(event_id) as hi from (
-    select event_id, (row_number() over (order by event_id) - 1) // 500 as chunk from events) where chunk < 3 group by 1""")
-def bounded_run(spark, sf_dir):
-    """The first batches of a bounded run (the feature: max_batches)."""
-    return chunked(table(spark, sf_dir, "events").select("event_id"), ["event_id"], 500, max_chunks=3).groupBy("chunk").agg(
-        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
-
-
 _METRICS = ["batch_id", "rule_id", "status", "metric_value", "message"]
 
 
@@ -68,7 +61,7 @@ def _chunk_files(spark, sf_dir, size: int = SIZE):
     return path, df.schema
 
 
-def _collected(spark, sf_dir, step, size: int = SIZE, repeat: int = 1):
+def _collected(spark, sf_dir, step, size: int = SIZE):
     """Stream the chunk files through `step(batch) -> frame`; an epoch's output replaces itself.
 
     A trigger takes a quarter of the files, and results stay per chunk.
@@ -77,9 +70,8 @@ def _collected(spark, sf_dir, step, size: int = SIZE, repeat: int = 1):
     chunk_count = spark.read.schema(schema).parquet(path).agg(F.max("chunk")).first()[0] + 1
     out, mark = scratch_path(spark, "out"), scratch_path(spark, "mark")
 
-    def each(batch, epoch):
-        for _ in range(repeat):
-            step(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    def each(batch, epoch, stream_id):
+        step(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     run_micro_batches(file_stream(spark, path, schema, files_per_batch=-(-chunk_count // 4)), mark, each)
     return spark.read.parquet(out)
@@ -96,10 +88,19 @@ def stream_check(spark, sf_dir):
     return _collected(spark, sf_dir, _checked).select(*_METRICS)
 
 
-@query("idempotent_replay", oracle(f"select {', '.join(_METRICS)} from results"))
-def idempotent_replay(spark, sf_dir):
-    """Each micro-batch is delivered twice and counted once."""
-    return _collected(spark, sf_dir, _checked, repeat=2).select(*_METRICS)
+@query("bounded_run", """select chunk, count(*) as n, min(event_id) as lo, max(event_id) as hi, (count(*) over ())::int as batches from (
+    select event_id, (row_number() over (order by event_id) - 1) // 500 as chunk from events) where chunk < 3 group by 1""")
+def bounded_run(spark, sf_dir):
+    """The first batches of a bounded run (the feature: max_batches), as a table and as a stream of their files."""
+    rows = chunked(table(spark, sf_dir, "events").select("event_id"), ["event_id"], 500, max_chunks=3)
+    path, out = scratch_path(spark, "chunks"), scratch_path(spark, "out")
+    rows.repartition("chunk").write.partitionBy("chunk").parquet(path)
+    seen = run_micro_batches(
+        file_stream(spark, path, rows.schema), scratch_path(spark, "mark"),
+        lambda batch, epoch, stream_id: batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}"), max_batches=3)
+    return spark.read.parquet(out).groupBy(F.col("chunk").cast("long").alias("chunk")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"),
+        F.lit(seen).cast("int").alias("batches"))
 
 
 @query("file_stream_source", oracle("select chunk, count(*) as n, min(event_id) as lo, max(event_id) as hi from chunks group by 1"))
@@ -112,7 +113,8 @@ def file_stream_source(spark, sf_dir):
 @query("stream_totals", oracle("""select 'events' as run, count(distinct batch_id) as batches, count(*) as results,
     string_agg(distinct status, ',' order by status) as statuses from results"""))
 def stream_totals(spark, sf_dir):
-    return per_batch_metrics(spark, sf_dir).groupBy(F.lit("events").alias("run")).agg(
+    """Totals of a run over micro-batches."""
+    return _collected(spark, sf_dir, _checked).groupBy(F.lit("events").alias("run")).agg(
         F.count_distinct("batch_id").alias("batches"), F.count(F.lit(1)).alias("results"),
         F.array_join(F.array_sort(F.collect_set("status")), ",").alias("statuses"))
 
@@ -136,11 +138,14 @@ STREAM_RULES = [Rule(r.rule_id, "lake.events_dirty", r.column, r.rule_type, r.th
 _RUN_COLUMNS = ["rule_id", "status", "metric_value", "message"]
 
 
-def _run_oracle() -> str:
+def _run_oracle(twice: bool = False) -> str:
+    tables = "(values ('lake.orders_dirty'), ('lake.orders_more')) t(table_fq_name)"
     return with_views(
+        ("select t.table_fq_name, r.* from (" if twice else "") +
         """select rule_id, status, metric_value, message, case when bool_or(severity = 'critical' and status = 'fail') over ()
              then 'block' when bool_or(status in ('fail', 'warn')) over () then 'pass_with_warnings' else 'pass' end as decision,
-           (select count(*) from orders_dirty) as row_count from results""",
+           (select count(*) from orders_dirty) as row_count from results"""
+        + (f") r, {tables}" if twice else ""),
         "orders_dirty", results=results_oracle(RUN_RULES, "orders_dirty", "'all'"))
 
 
@@ -149,9 +154,20 @@ def _run_rows(report):
                                  F.lit(report.row_count).cast("long").alias("row_count"))
 
 
-@query("run_batch", _run_oracle())
+@query("run_batch", _run_oracle(twice=True))
 def run_batch(spark, sf_dir):
-    return _run_rows(monitor(spark, sf_dir, RUN_RULES).run_batch("orders_dirty", batch_id="first"))
+    """Two tables with the same batch id; both are in the log."""
+    more = [Rule("more_" + r.rule_id, "lake.orders_more", r.column, r.rule_type, r.threshold, r.severity, r.params)
+            for r in RUN_RULES]
+    agent = monitor(spark, sf_dir, RUN_RULES + more)
+    dirty(spark, sf_dir, "orders_dirty").createOrReplaceTempView("orders_more")
+    for name in ("orders_dirty", "orders_more"):
+        agent.run_batch(name, batch_id="first")
+    results, gates, done = (agent.store.read(log) for log in ("check_results", "gate_results", "commits"))
+    return (results.join(gates.select("table_fq_name", "batch_id", "decision"), ["table_fq_name", "batch_id"])
+            .join(done.select("table_fq_name", "batch_id", "row_count"), ["table_fq_name", "batch_id"])
+            .select("table_fq_name", F.regexp_replace("rule_id", "^more_", "").alias("rule_id"), *_RUN_COLUMNS[1:],
+                    "decision", "row_count"))
 
 
 @query("run_dataframe", _run_oracle())
@@ -159,14 +175,40 @@ def run_dataframe(spark, sf_dir):
     return _run_rows(monitor(spark, sf_dir, RUN_RULES).run_dataframe("orders_dirty", dirty(spark, sf_dir, "orders_dirty")))
 
 
-@query("run_stream", oracle("""select rule_id, status, metric_value, message,
+_STREAMED = """select rule_id, status, metric_value, message,
     case when bool_or(rule_id in ('v2', 'v4') and status = 'fail') over (partition by batch_id) then 'block'
          when bool_or(status in ('fail', 'warn')) over (partition by batch_id) then 'pass_with_warnings' else 'pass' end as decision
-    from results""", size=5000))
+    from results"""
+
+
+@query("run_stream", oracle(f"""select s.*, t.name as table_fq_name, count(*) over () as logged
+    from ({_STREAMED}) s, (values ('lake.events_dirty'), ('lake.events_dirty'), ('lake.events_more')) t(name)""", size=5000))
 def run_stream(spark, sf_dir):
-    """Micro-batches through rules, thresholds, gate and tickets, with the state in its logs."""
+    """Two tables under one stream name, and one of them again from a new checkpoint: nothing is skipped or replaced."""
+    path, schema = _chunk_files(spark, sf_dir, 5000)
+    more = [Rule(r.rule_id.replace("v", "w"), "lake.events_more", r.column, r.rule_type, r.threshold, r.severity, r.params,
+                 adaptive=False) for r in STREAM_RULES]
+    agent, rows = monitor(spark, sf_dir, STREAM_RULES + more), []
+    for name in ("events_dirty", "events_more", "events_dirty"):
+        agent.run_stream(name, file_stream(spark, path, schema), scratch_path(spark, "mark"), on_report=lambda r: rows.append(
+            r.results.select(*_RUN_COLUMNS, F.lit(r.decision).alias("decision"), F.lit(r.table_fq_name).alias("table_fq_name"))))
+    out = rows[0]
+    for frame in rows[1:]:
+        out = out.unionByName(frame)
+    return out.withColumns({"rule_id": F.translate("rule_id", "w", "v"),
+                            "logged": F.lit(agent.store.read("check_results").count()).cast("long")})
+
+
+@query("idempotent_replay", oracle(f"select *, 0 as replayed from ({_STREAMED})", size=5000))
+def idempotent_replay(spark, sf_dir):
+    """The last micro-batch is delivered again, as after a crash before its commit: it changes nothing."""
     path, schema = _chunk_files(spark, sf_dir, 5000)
-    agent = monitor(spark, sf_dir, STREAM_RULES)
-    agent.run_stream("events_dirty", file_stream(spark, path, schema), scratch_path(spark, "mark"))
+    agent, mark = monitor(spark, sf_dir, STREAM_RULES), scratch_path(spark, "mark")
+    agent.run_stream("events_dirty", file_stream(spark, path, schema), mark)
+    fs, commits = hadoop_path(spark, f"{mark}/commits")
+    done = [s.getPath() for s in fs.listStatus(commits) if s.getPath().getName().isdigit()]
+    fs.delete(max(done, key=lambda f: int(f.getName())), False)
+    again = agent.run_stream("events_dirty", file_stream(spark, path, schema), mark)
     results, gates = agent.store.read("check_results"), agent.store.read("gate_results")
-    return results.join(gates.select("batch_id", "decision"), "batch_id").select(*_RUN_COLUMNS, "decision")
+    return results.join(gates.select("batch_id", "decision"), "batch_id").select(
+        *_RUN_COLUMNS, "decision", F.lit(again).cast("int").alias("replayed"))

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import logging
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+T = TypeVar("T")
+_SCRATCH: list[str] = []
 
 
 def build_session(master: str | None = None, app: str = "sievewright", **conf) -> SparkSession:
@@ -47,17 +56,38 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def spread(df):
-    """Give a plain scan of few, unsplittable pieces one partition per core; leave any other alone.
-
-    At scale a scan has far more splits than cores, and this does nothing.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A fresh folder name below the shared folder; see `clean_scratch`."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if not _SCRATCH:
+        atexit.unregister(_clean_at_exit)
+        atexit.register(_clean_at_exit)
+    _SCRATCH.append(path)
+    return path
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete every folder that `scratch_path` has named in this session; frames that read them end with it."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _clean_at_exit() -> None:
+    """What a program leaves behind goes when it ends, if its session still runs."""
+    spark = SparkSession.getActiveSession() if _SCRATCH else None
+    if spark is not None:
+        with contextlib.suppress(Exception):
+            clean_scratch(spark)
+
+
+def best_effort(read: Callable[[], T], otherwise: T, what: str) -> T:
+    """The result of a read that may fail for want of a driver, a server or rights; failures are logged."""
+    try:
+        return read()
+    except (PySparkException, Py4JError, ValueError) as exc:
+        logging.getLogger(__name__).warning("%s: %s", what, str(exc).strip().splitlines()[0] if str(exc).strip() else exc)
+        return otherwise
 
 
 def cut_lineage(df):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from ..operators.checks import field
 from ..operators.chunks import chunked
 from ..operators.lineage import no_edges
 from ..operators.profile import head_sample
+from ..session import best_effort
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -82,10 +82,8 @@ class Source(ABC):
         return table_metadata(self.table(table), self.observed_nulls, self.primary_key(table))
 
     def row_count(self, table: str) -> int | None:
-        try:
-            return self.table(table).count()
-        except (AnalysisException, ValueError):
-            return None
+        """None where the table cannot be read."""
+        return best_effort(lambda: self.table(table).count(), None, f"row count of {table}")
 
     def sample(self, table: str, limit: int = 1000, order_by: list[str] | None = None) -> DataFrame:
         return head_sample(self.table(table), limit, order_by)

@@ -40,11 +40,11 @@ def _inferred_types(texts: DataFrame) -> T.StructType:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None,
-                   multiline: bool = False) -> DataFrame:
+                   multiline: bool = True) -> DataFrame:
     """Header row, quoted by doubled quotes, missing-value words as NULL.
 
-    Without a schema types are inferred after the missing-value words are gone. Fields with
-    line breaks need `multiline`, which keeps Spark from splitting files.
+    Without a schema types are inferred after the missing-value words are gone. Quoted fields may hold line
+    breaks; `multiline=False` says that none does, so that Spark can split large files.
     """
     reader = (spark.read.option("header", True).option("sep", sep).option("escape", '"')
               .option("multiLine", multiline))
@@ -58,11 +58,12 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", schema: T.Str
         else field(f.name).try_cast(f.dataType).alias(f.name) for f in typed.fields])
 
 
-def read_file(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read by extension."""
+def read_file(spark: SparkSession, path: str, schema: T.StructType | None = None,
+              multiline: bool = True) -> DataFrame:
+    """Read by extension; `multiline` concerns delimited files."""
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix in (".csv", ".tsv"):
-        return read_delimited(spark, path, "," if suffix == ".csv" else "\t", schema)
+        return read_delimited(spark, path, "," if suffix == ".csv" else "\t", schema, multiline)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if suffix == ".parquet":
         return reader.parquet(path)
@@ -77,12 +78,13 @@ class FileSource(Source):
     """One file as one table; every read ignores the table name, as there is only one."""
 
     def __init__(self, spark: SparkSession, name: str, path: str, logical_table: str | None = None,
-                 schema: T.StructType | None = None):
+                 schema: T.StructType | None = None, multiline: bool = True):
         super().__init__(spark, name)
         stem, suffix = os.path.splitext(os.path.basename(path.rstrip("/")))
         if suffix.lower() not in EXTENSIONS:
             raise ValueError(f"unsupported file extension '{suffix}'; supported: {list(EXTENSIONS)}")
         self.path, self.logical_table, self.file_schema = path, logical_table or stem, schema
+        self.multiline = multiline
         self._frame: DataFrame | None = None
 
     def list_tables(self) -> list[str]:
@@ -90,7 +92,7 @@ class FileSource(Source):
 
     def table(self, table: str | None = None) -> DataFrame:
         if self._frame is None:
-            self._frame = read_file(self.spark, self.path, self.file_schema)
+            self._frame = read_file(self.spark, self.path, self.file_schema, self.multiline)
         return self._frame
 
     def fq_name(self, table: str) -> str:
@@ -101,7 +103,7 @@ class DirectorySource(Source):
     """A folder of files, one table per file stem; on equal stems the last extension wins."""
 
     def __init__(self, spark: SparkSession, name: str, directory: str,
-                 schemas: dict[str, T.StructType] | None = None):
+                 schemas: dict[str, T.StructType] | None = None, multiline: bool = True):
         super().__init__(spark, name)
         fs, root = hadoop_path(spark, directory)
         if not fs.exists(root) or not fs.getFileStatus(root).isDirectory():
@@ -111,7 +113,7 @@ class DirectorySource(Source):
                       if os.path.splitext(n)[1].lower() in EXTENSIONS}
         if not self.files:
             raise ValueError(f"no supported files in {directory}; supported: {list(EXTENSIONS)}")
-        self.schemas = schemas or {}
+        self.schemas, self.multiline = schemas or {}, multiline
         self._frames: dict[str, DataFrame] = {}
 
     def list_tables(self) -> list[str]:
@@ -125,5 +127,5 @@ class DirectorySource(Source):
         if local not in self.files:
             raise ValueError(f"unknown table '{table}'; known: {self.list_tables()}")
         if local not in self._frames:
-            self._frames[local] = read_file(self.spark, self.files[local], self.schemas.get(local))
+            self._frames[local] = read_file(self.spark, self.files[local], self.schemas.get(local), self.multiline)
         return self._frames[local]

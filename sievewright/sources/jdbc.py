@@ -6,11 +6,11 @@ the table is read in parallel ranges; filters and column choices reach the datab
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lineage as L
+from ..session import best_effort
 from .base import Source
 
 # Supported dialects with driver class and key-column catalog query.
@@ -88,10 +88,8 @@ class JdbcSource(Source):
 
     def primary_key(self, table: str) -> list[str]:
         """Empty where the database does not tell."""
-        try:
-            return [r.name for r in self._read(self.primary_key_query(table)).collect()]
-        except Exception:
-            return []
+        return best_effort(lambda: [r.name for r in self._read(self.primary_key_query(table)).collect()], [],
+                           f"primary key of {table}")
 
     def lineage(self, table: str) -> DataFrame:
         """Best effort: catalogs may need rights the caller lacks."""
@@ -104,7 +102,4 @@ class JdbcSource(Source):
             rows = rows.select(*[F.col(c).alias(c.lower()) for c in rows.columns])
             return edges(rows, table) if self.dialect == "snowflake" else edges(rows, table, self.schema)
 
-        try:
-            return L.lineage_edges(self.spark, [feed])
-        except AnalysisException:
-            return L.no_edges(self.spark)
+        return L.lineage_edges(self.spark, [feed])

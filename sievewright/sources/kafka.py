@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Where a new consumer starts and how many records a micro-batch takes.
+# Fixed value: where a new consumer starts.
 START = "latest"
-MAX_RECORDS = 500
 
 
-def kafka_options(servers: str | list[str], topic: str, max_records: int = MAX_RECORDS,
+def kafka_options(servers: str | list[str], topic: str, max_records: int | None = None,
                   starting: str = START, **extra: str) -> dict[str, str]:
+    """Reader options; a micro-batch takes everything there is unless `max_records` limits it."""
     joined = servers if isinstance(servers, str) else ",".join(servers)
-    return {"kafka.bootstrap.servers": joined, "subscribe": topic, "startingOffsets": starting,
-            "maxOffsetsPerTrigger": str(max_records), **extra}
+    limit = {} if max_records is None else {"maxOffsetsPerTrigger": str(max_records)}
+    return {"kafka.bootstrap.servers": joined, "subscribe": topic, "startingOffsets": starting, **limit, **extra}
 
 
 def decode_values(records: DataFrame, schema: T.StructType) -> DataFrame:

@@ -1,11 +1,15 @@
 """Append-only state logs on Parquet.
 
 Each append goes to a folder of its own epoch and replaces what an earlier attempt of that
-epoch left there, so a replayed micro-batch writes nothing twice. One writer at a time.
+epoch left there, so a replayed micro-batch writes nothing twice. The epochs of a batch are named
+by its table, its id and what delivers it; a batch counts once its commit is written. One writer
+at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +40,16 @@ LOGS = {
     "ewma_state": S.EWMA_STATE,
     "outbox": S._struct(("ticket_id", T.StringType()), ("payload", T.StringType())),
     "commits": S._struct(("table_fq_name", T.StringType()), ("batch_id", T.StringType()),
-                         ("seq", T.LongType()), ("row_count", T.LongType())),
+                         ("seq", T.LongType()), ("row_count", T.LongType()), ("key", T.StringType())),
 }
+BATCH = "batch-"
+MERGED = "merged-"
+
+
+def batch_key(table: str, batch_id: str, writer: str = "") -> str:
+    """Name of the epochs of a batch: readable, and distinct by table, batch and writer."""
+    digest = hashlib.sha256("\0".join((table, batch_id, writer)).encode()).hexdigest()[:20]
+    return f"{BATCH}{re.sub('[^A-Za-z0-9_]+', '_', batch_id)[:40]}-{digest}"
 
 
 class StateStore:
@@ -61,50 +73,82 @@ class StateStore:
 
     def read(self, log: str, before: str | None = None) -> DataFrame:
         """All rows of a log; `before` leaves out an epoch that is being written."""
+        return self._rows(log, lambda epoch: epoch != before)
+
+    def _rows(self, log: str, wanted) -> DataFrame:
         schema = LOGS[log]
-        if not path_exists(self.spark, self.path(log)):
+        shown = [e for e in self._visible(log) if wanted(e)]
+        if not shown:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(
-            T.StructType([*schema.fields, T.StructField("epoch", T.StringType())])).parquet(self.path(log))
-        if before is not None:
-            rows = rows.filter(F.col("epoch") != before)
-        return rows.drop("epoch")
-
-    def committed(self, batch_id: str) -> bool:
-        return self.read("commits").filter(F.col("batch_id") == batch_id).limit(1).count() > 0
+        paths = [f"{self.path(log)}/epoch={e}" for e in shown]
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def _names(self, path: str) -> list[str]:
+        fs, root = hadoop_path(self.spark, path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
+
+    def _visible(self, log: str) -> list[str]:
+        """Epochs that count: those that no published merge replaces, and published merges."""
+        epochs = [n.removeprefix("epoch=") for n in self._names(self.path(log)) if n.startswith("epoch=")]
+        published = self._published(log)
+        replaced = {e for old in published.values() for e in old}
+        return [e for e in epochs if e not in replaced and (not e.startswith(MERGED) or e in published)]
+
+    def _published(self, log: str) -> dict[str, list[str]]:
+        """Merges whose list of replaced epochs is in place; its appearance is what publishes a merge."""
+        folder = f"{self.path(log)}/_replaced"
+        lists = [n for n in self._names(folder) if n.startswith(MERGED)]
+        return {n: [r.value for r in self.spark.read.text(f"{folder}/{n}").collect()] for n in lists}
+
+    def committed(self, table: str, batch_id: str, writer: str = "") -> bool:
+        key = batch_key(table, batch_id, writer)
+        return self.read("commits").filter(F.col("key") == key).limit(1).count() > 0
 
     def compact(self, log: str) -> int:
-        """Rewrite the epochs of a log as one, between batches; returns how many there were.
+        """Rewrite the finished epochs of a log as one, between batches; returns how many there were.
 
-        The merged copy is complete before any epoch is dropped, and a hidden copy left by an
-        interrupted run is finished first, so rows are neither lost nor doubled.
+        Epochs of batches without a commit stay apart, as a replay will replace them. The merged rows are written
+        first; then one rename publishes the list of what they replace, and from then on readers take the merge
+        and skip those; then the old epochs go. A stop at any point loses and doubles nothing: what is unpublished
+        is ignored, and what is left over is deleted by the next call.
         """
-        self._finish_compaction(log)
-        fs, root = hadoop_path(self.spark, self.path(log))
-        if not fs.exists(root):
-            return 0
-        epochs = [s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("epoch=")]
-        if len(epochs) > 1:
-            merged = self._merged(log)
-            self.spark.createDataFrame([(e,) for e in epochs], "value string").write.mode("overwrite").text(
-                f"{merged}/epochs")
-            self.read(log).coalesce(1).write.mode("overwrite").parquet(f"{merged}/rows")
-            self._finish_compaction(log)
+        self._sweep(log)
+        epochs = self._visible(log)
+        done = {r.key for r in self._keys_of(epochs).collect()} if log != "commits" else set(epochs)
+        finished = [e for e in epochs if e in done or (not e.startswith(BATCH) and path_exists(
+            self.spark, f"{self.path(log)}/epoch={e}/_SUCCESS"))]
+        if len(finished) > 1:
+            name = f"{MERGED}{uuid.uuid4().hex[:12]}"
+            keep = set(finished)
+            self._rows(log, keep.__contains__).write.parquet(f"{self.path(log)}/epoch={name}")
+            self._publish(log, name, finished)
+            self._sweep(log)
         return len(epochs)
 
-    def _merged(self, log: str) -> str:
-        # A leading underscore hides the folder from readers of the log.
-        return f"{self.path(log)}/_merged"
-
-    def _finish_compaction(self, log: str) -> None:
-        merged = self._merged(log)
-        if not path_exists(self.spark, f"{merged}/rows/_SUCCESS"):
-            return
-        for row in self.spark.read.text(f"{merged}/epochs").collect():
-            fs, old = hadoop_path(self.spark, f"{self.path(log)}/{row.value}")
-            fs.delete(old, True)
-        fs, rows = hadoop_path(self.spark, f"{merged}/rows")
-        fs.rename(rows, hadoop_path(self.spark, f"{self.path(log)}/epoch=compacted_{uuid.uuid4().hex[:8]}")[1])
+    def _keys_of(self, epochs: list[str]) -> DataFrame:
+        """Which of the epochs belong to committed batches."""
+        mine = self.spark.createDataFrame([(e,) for e in epochs], "key string")
+        return mine.join(self.read("commits").select("key"), "key", "left_semi")
+
+    def _publish(self, log: str, name: str, replaced: list[str]) -> None:
+        hidden = f"{self.path(log)}/_replaced/.{name}"
+        self.spark.createDataFrame([(e,) for e in replaced], "value string").coalesce(1).write.text(hidden)
+        fs, old = hadoop_path(self.spark, hidden)
+        fs.rename(old, hadoop_path(self.spark, f"{self.path(log)}/_replaced/{name}")[1])
+
+    def _sweep(self, log: str) -> None:
+        """Delete epochs that a published merge replaces, unpublished merges, and lists whose merge is gone."""
+        published = self._published(log)
+        replaced = {e for old in published.values() for e in old}
+        there = [n.removeprefix("epoch=") for n in self._names(self.path(log)) if n.startswith("epoch=")]
+        for epoch in there:
+            if epoch in replaced or (epoch.startswith(MERGED) and epoch not in published):
+                fs, old = hadoop_path(self.spark, f"{self.path(log)}/epoch={epoch}")
+                fs.delete(old, True)
+        for name in published:
+            if name in replaced:
+                fs, old = hadoop_path(self.spark, f"{self.path(log)}/_replaced/{name}")
+                fs.delete(old, True)
 
     def next_seq(self, table: str) -> int:
         last = self.read("commits").filter(F.col("table_fq_name") == table).agg(F.max("seq")).first()[0]

@@ -207,3 +207,43 @@ def test_measures_and_samples_share_their_shuffles(spark, tmp_path):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert final.count("ReusedExchange") >= 2
+
+
+BIG = 2 ** 53
+
+
+@pytest.mark.parametrize("extra", [0, 600])
+def test_lists_of_any_length_are_exact(spark, extra):
+    refs = [BIG] + [-n - 1 for n in range(extra)]
+    assert one(column(spark, [BIG + 1], "long"), "referential", params={"ref_values": refs}).metric_value == 1.0
+    assert one(column(spark, [BIG], "long"), "referential", params={"ref_values": refs}).metric_value == 0.0
+    mixed = [1, 2.0, 2.5, "3", True, None, float("nan"), 2 ** 70] + refs
+    r = one(column(spark, [1, 2, 3, None], "long"), "referential", params={"ref_values": mixed})
+    assert (round(r.metric_value, 4), r.sample_violations) == (0.3333, ["3"])
+
+
+def test_bounds_are_exact(spark):
+    assert one(column(spark, [BIG + 1], "long"), "range", params={"max": BIG}).metric_value == 1.0
+    assert one(column(spark, [BIG, 3, 4], "long"), "range", params={"min": 3.5, "max": float("inf")}).metric_value == pytest.approx(1 / 3)
+    assert one(column(spark, [5], "long"), "range", params={"max": 2 ** 80, "min": -2 ** 80}).metric_value == 0.0
+    df = spark.sql("select cast(v as decimal(30, 10)) as c from values ('9007199254740993.0000000001'), ('1') t(v)")
+    assert one(df, "range", params={"max": BIG + 1}).metric_value == 0.5
+
+
+def test_numbers_are_written_out_for_patterns(spark):
+    from sievewright.functions.coerce import pattern_text
+    values = [12345678.0, 1e15, 1e16, 1.5e20, 0.001, 0.00012345, 1e-5, 1.5e-7, 0.0, -0.0, -2.5, 123456789.125, 1 / 3, 1e100, float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "c double")
+    got = [r[0] for r in df.select(pattern_text(F.col("c"), df.schema["c"].dataType)).collect()]
+    assert got == [None if v is None else "0.0" if v == 0 else repr(v) for v in values]
+    flags = spark.createDataFrame([(True,), (False,)], "c boolean")
+    assert one(flags, "pattern", params={"regex": "True|False"}).metric_value == 1.0
+    assert one(column(spark, [12345678.0], "double"), "pattern", params={"regex": r"^\d+\.\d+$"}).metric_value == 1.0
+
+
+@pytest.mark.parametrize("bad", ["sum(v) > 0", "explode(array(true))", "count(*) > 1"])
+def test_one_bad_predicate_leaves_the_others(spark, bad):
+    df = spark.createDataFrame([(1,), (2,)], "v long")
+    rules = [Rule("a", "t", None, "custom_sql", 0.0, "warn", {"valid_expr": bad}), Rule("b", "t", "v", "completeness", 0.0, "warn")]
+    got = {r.rule_id: r.status for r in evaluate(df, rules).collect()}
+    assert got == {"a": "error", "b": "pass"}

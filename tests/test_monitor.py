@@ -89,13 +89,35 @@ def test_stream_restarts_without_duplicates(spark, agent, tmp_path):
     agent.add_rules(rules_to_rows(spark, [Rule("null", "lake.customers", "email", "completeness", 0.9, "warn")]))
     stream = lambda: file_stream(spark, folder, customers.schema)
     assert agent.run_stream("customers", stream(), mark, max_batches=1) == 1
-    agent.run_stream("customers", stream(), mark)
-    agent.run_stream("customers", stream(), mark)
+    assert agent.run_stream("customers", stream(), mark, max_batches=5) == 2
+    assert agent.run_stream("customers", stream(), mark) == 0
+    assert agent.run_stream("customers", stream(), mark, max_batches=1) == 0
     commits = agent.store.read("commits")
     assert commits.count() == 3 and commits.agg(F.sum("row_count")).first()[0] == 5
     assert agent.store.read("check_results").count() == 3
 
 
+def test_streams_do_not_shadow_each_other(spark, agent, tmp_path):
+    """Another table under the same stream name, and a new checkpoint, are streams of their own."""
+    folder = str(tmp_path / "in")
+    customers = spark.table("customers")
+    customers.coalesce(1).write.parquet(folder)
+    customers.createOrReplaceTempView("others")
+    for i, name in enumerate(("customers", "others", "customers")):
+        assert agent.run_stream(name, file_stream(spark, folder, customers.schema), str(tmp_path / f"mark{i}")) == 1
+    done = [(r.table_fq_name, r.batch_id, r.seq) for r in agent.store.read("commits").collect()]
+    assert sorted(done) == [("lake.customers", "stream_0", 0), ("lake.customers", "stream_0", 1), ("lake.others", "stream_0", 0)]
+
+
+def test_tables_share_a_batch_id(spark, agent):
+    rules = [Rule(f"n_{t}", f"lake.{t}", "customer_id", "completeness", 0.1, "warn") for t in ("customers", "orders")]
+    agent.add_rules(rules_to_rows(spark, rules))
+    for t in ("customers", "orders", "customers"):
+        agent.run_batch(t, batch_id="2024-01-01")
+    assert sorted(r.rule_id for r in agent.store.read("check_results").collect()) == ["n_customers", "n_orders"]
+    assert agent.store.next_seq("lake.orders") == 1
+
+
 def test_scan_report(agent):
     got = {r["name"]: r for r in agent.scan_report("customers").collect()}
     assert got["email"].null_rate == 0.2 and got["customer_id"].is_candidate_key and got["country"].row_count == 5

@@ -86,8 +86,8 @@ def test_jdbc_options(spark):
 
 def test_kafka(spark):
     got = kafka_options(["a:9092", "b:9092"], "orders")
-    assert got == {"kafka.bootstrap.servers": "a:9092,b:9092", "subscribe": "orders", "startingOffsets": "latest",
-                   "maxOffsetsPerTrigger": "500"}
+    assert got == {"kafka.bootstrap.servers": "a:9092,b:9092", "subscribe": "orders", "startingOffsets": "latest"}
+    assert kafka_options("a", "t", max_records=9)["maxOffsetsPerTrigger"] == "9"
     schema = T.StructType([T.StructField("id", T.LongType())])
     records = spark.createDataFrame([('{"id": 5}',), ("broken",)], "value string").select(F.col("value").cast("binary").alias("value"))
     assert sorted((r.id for r in decode_values(records, schema).collect()), key=str) == [5, None]
@@ -116,3 +116,30 @@ def test_bounded_chunks(spark):
     df = spark.range(10)
     assert chunked(df, ["id"], 3, max_chunks=2).count() == 6
     assert chunked(df, ["id"], 3, max_chunks=0).count() == 3
+
+
+def test_unreadable_sources_yield_nothing(spark):
+    """Without a driver on the classpath there is no count, no key and no lineage, and no error either."""
+    from sievewright.sources.jdbc import JdbcSource
+    source = JdbcSource(spark, "db", "postgresql", "jdbc:postgresql://127.0.0.1:1/none")
+    assert source.row_count("t") is None and source.primary_key("t") == []
+    assert source.lineage("public.t").count() == 0
+
+
+@pytest.mark.parametrize("multiline,rows", [(True, 2), (False, 3)])
+def test_quoted_line_breaks(spark, tmp_path, multiline, rows):
+    path = tmp_path / "t.csv"
+    path.write_text('id,note\n1,"two\nlines"\n2,plain\n')
+    df = FileSource(spark, "files", str(path), multiline=multiline).table()
+    assert df.count() == rows
+    if multiline:
+        assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, "two\nlines"), (2, "plain")]
+
+
+def test_scratch_folders_are_deleted(spark):
+    import os
+    from sievewright.session import clean_scratch, cut_lineage
+    folder = cut_lineage(spark.range(3)).inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    clean_scratch(spark)
+    assert not os.path.exists(folder)
