@@ -28,13 +28,15 @@ def main() -> None:
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
-    times = {}
+    times, again = {}, {}
     for name in sys.argv[1:] or HEADLINE:
-        start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
+        for run in (times, again):  # the first call of a query also compiles its code
+            start = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            run[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"metric": "headline queries, total wall clock", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+                      "unit": "sec", "queries": times, "again": again, "again_total": round(sum(again.values()), 3),
+                      "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
 
