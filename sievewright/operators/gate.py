@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def is_critical_failure(error_blocks: bool = False) -> Column:
     failed = F.col("status") == "fail"
@@ -56,4 +58,5 @@ def held(df: DataFrame, decisions: DataFrame, batch_col: str = "batch_id") -> Da
 
 
 def _blocked(decisions: DataFrame, batch_col: str) -> DataFrame:
-    return decisions.filter(F.col("decision") == "block").select(F.col("batch_id").alias(batch_col))
+    """Blocked batches, one row each; written out first, so their size is known and the data need not be shuffled."""
+    return cut_lineage(decisions.filter(F.col("decision") == "block").select(F.col("batch_id").alias(batch_col)).distinct())

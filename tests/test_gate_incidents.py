@@ -69,3 +69,15 @@ def test_payload(spark):
     ticket = spark.createDataFrame([("tkt_1", "src.t", "T", "D", "warn", ["r1"], "open", 1.0)], TICKETS)
     assert json.loads(I.webhook_payload(ticket).first().payload) == {
         "ticket_id": "tkt_1", "table": "src.t", "title": "T", "description": "D", "severity": "warn", "rule_ids": ["r1"]}
+
+
+def test_data_is_not_shuffled_by_batch(spark):
+    """The split by decisions broadcasts them, as their size is known."""
+    from sievewright.operators import gate as G
+    data = spark.range(100).selectExpr("id", "cast(id % 4 as string) as batch_id")
+    decisions = spark.createDataFrame([("t", "1", "block"), ("t", "2", "pass")], "table_fq_name string, batch_id string, decision string")
+    for split, rows in ((G.held, 25), (G.released, 75)):
+        out = split(data, decisions)
+        assert out.count() == rows
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
