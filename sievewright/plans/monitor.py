@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import adapt, gate as G, incidents as I, knowledge as K, rules as R, suggest as P
 from ..operators.checks import run_checks
-from ..operators.profile import profile_table
+from ..operators.profile import candidate_grain, profile_table
 from ..schemas import CHECK_RESULTS, rules_from_rows
 from ..session import cut_lineage, local_copy
 from ..sources.base import Source
@@ -216,13 +216,18 @@ class Monitor:
     # -- report ----------------------------------------------------------
     def scan_report(self, table: str) -> DataFrame:
         metadata, profile = self.scan_table(table)
-        return scan_report(metadata, profile)
+        return scan_report(metadata, profile, self.source.lineage(table))
 
 
-def scan_report(metadata: DataFrame, profile: DataFrame) -> DataFrame:
-    """One summary row per column."""
+def scan_report(metadata: DataFrame, profile: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """One summary row per column; the grain and the lineage of the table stand in each."""
     facts = profile.select(F.col("column").alias("name"), "null_rate", "distinct_rate", "inferred_pattern",
                            "is_candidate_key")
-    return metadata.join(facts, "name").select(
+    grain = candidate_grain(profile).select(F.array_join("candidate_grain", ", ").alias("candidate_grain"))
+    edge = F.concat("upstream", F.lit(" -> "), "downstream")
+    lines = (edges.agg(F.array_join(F.array_sort(F.collect_set(edge)), "; ").alias("lineage")) if edges is not None
+             else metadata.sparkSession.range(1).select(F.lit("").alias("lineage")))
+    # Both sides are one row.
+    return metadata.join(facts, "name").join(F.broadcast(grain)).join(F.broadcast(lines)).select(
         "position", "name", "data_type", "nullable", "is_primary_key", "null_rate", "distinct_rate",
-        "inferred_pattern", "is_candidate_key", "row_count")
+        "inferred_pattern", "is_candidate_key", "row_count", "candidate_grain", "lineage")

@@ -218,8 +218,13 @@ def scan_table(spark, sf_dir):
 
 @query("scan_report", with_views(
     """select m.position, m.name, m.data_type, m.nullable, m.is_primary_key, p.null_rate, p.distinct_rate,
-         p.inferred_pattern, p.is_candidate_key, m.row_count from m join profile p on m.name = p."column" """,
+         p.inferred_pattern, p.is_candidate_key, m.row_count,
+         (select coalesce(string_agg("column", ', ' order by position), '') from profile where is_candidate_key) as candidate_grain,
+         (select string_agg('raw.' || n_name || ' -> src.customer_dirty', '; ' order by n_name) from nation) as lineage
+       from m join profile p on m.name = p."column" """,
     "customer_dirty", "orders_dirty", m=_metadata_oracle("customer_dirty"), profile=profile_oracle(["customer_dirty"])))
 def report(spark, sf_dir):
     df = dirty(spark, sf_dir, "customer_dirty")
-    return scan_report(table_metadata(df, keys=["c_custkey"]), profile_columns(df))
+    edges = table(spark, sf_dir, "nation").select(F.concat(F.lit("raw."), "n_name").alias("upstream"),
+                                                  F.lit("src.customer_dirty").alias("downstream"))
+    return scan_report(table_metadata(df, keys=["c_custkey"]), profile_columns(df), edges)
