@@ -71,7 +71,8 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, most_share: int = M
     hits = (docs.select(F.col("doc_id").alias("__id"), F.explode(keys).alias("k")).select("__id", "k.*")
             .join(boilerplate, KEY).groupBy("__id").agg(F.collect_set(F.struct(*KEY)).alias("__hits")))
     rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__doc"), F.col("text"))
-    both = rows.join(settle(hits, "hits"), F.col("__doc").eqNullSafe(F.col("__id")), "left")
+    # One plan at every size: the hits grow with the table, so neither side is broadcast.
+    both = rows.join(hits.hint("merge"), F.col("__doc").eqNullSafe(F.col("__id")), "left")
     lines = F.transform(text_lines(), lambda x: F.struct(
         x.alias("line"), has_word(x).alias("word"),
         F.when(F.col("__hits").isNull() | ~has_word(x), False).otherwise(
