@@ -111,6 +111,21 @@ def assess(docs: DataFrame, base=BASE, rules=RULES) -> DataFrame:
         .withColumn("kept", F.size("failed") == 0)
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that pass every rule, with their columns as they are."""
-    return assess(docs).where("kept").select("row.*")
+def kept_documents(docs: DataFrame, base=BASE, rules=RULES) -> DataFrame:
+    """The rows of `docs` that pass every rule, with their columns as they are.
+
+    The verdict is one expression that computes the statistics once; a filter over separate columns would be pushed
+    below them and compute them anew for every rule.
+    """
+    stats = statistics(docs)
+
+    def passes(s: Column) -> Column:
+        places = {"n_symbols": s["n_symbols"]}
+        value = lambda name: places[name] if name in places else (
+            s["l" if name in ("n_lines", "n_dup_lines") else "w"][name])
+        good = F.lit(True)
+        for rule in (*base, *rules):
+            good = good & ~compiled(rule, value)
+        return good
+
+    return docs.where(bind(F.struct(*[v.alias(k) for k, v in stats.items()]), passes))
