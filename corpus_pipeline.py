@@ -23,8 +23,8 @@ def pass_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts (and n_chars) without lines that stand on many sources."""
-    cleaned = line_dedup.clean_lines(docs)
+    """All documents, their texts (and n_chars) without lines that stand on many sources; copies count as one."""
+    cleaned = line_dedup.clean_pages(docs)
     chars = F.length("row.text").cast(docs.schema["n_chars"].dataType)
     return cleaned.select(F.when(F.col("n_removed") > 0, F.col("row").withField("n_chars", chars))
                           .otherwise(F.col("row")).alias("row")).select("row.*")

@@ -14,6 +14,9 @@ SKETCH_BITS = 8
 ERROR = 0.2
 # Where boilerplate is more than this percentage of a text, the text is a copy and is left to other operators.
 MOST_SHARE = 50
+# Copies of a document are found by their runs of so many words, and so many least hashes of runs outside a line.
+RUN_WORDS = 3
+RUNS = 16
 
 KEY = ["h1", "h2"]
 
@@ -55,6 +58,62 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return settle(spread.where(F.col("sites") > high).select(*KEY).unionByName(exact), "boilerplate")
 
 
+def least_runs() -> Column:
+    """The 2 * RUNS least (h, h1) of a text: hashes of runs of words, each with the first hash of its line.
+
+    A line enters with RUNS hashes at most, so the RUNS least outside any one line are always among them.
+    """
+    bare = F.array_distinct(F.transform(F.filter(text_lines(), has_word), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r"))))
+    words = F.transform(bare, lambda x: F.struct(F.xxhash64(x).alias("h1"), F.split(x, "[\\x20\\x09-\\x0D]+").alias("w")))
+    runs = lambda w: F.transform(
+        F.slice(w, 1, F.greatest(F.size(w) - (RUN_WORDS - 1), F.lit(1))),
+        lambda x, i: F.xxhash64(x, *[F.get(w, i + n) for n in range(1, RUN_WORDS)]))
+    least = F.transform(words, lambda x: F.struct(
+        x["h1"].alias("h1"), F.slice(F.sort_array(F.array_distinct(runs(x["w"]))), 1, RUNS).alias("hs")))
+    tagged = F.flatten(F.transform(least, lambda x: F.transform(x["hs"], lambda h: F.struct(h.alias("h"), x["h1"].alias("h1")))))
+    return F.slice(F.sort_array(tagged), 1, 2 * RUNS)
+
+
+def copy_keys(outside: Column) -> Column:
+    """Keys of the sorted hashes of runs outside a line: pairs of near ones, of which copies share some."""
+    pairs = lambda gap: F.transform(
+        F.slice(outside, 1, F.greatest(F.size(outside) - gap, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(outside, i + gap)))
+    return F.when(F.size(outside) < 2, F.array(F.xxhash64(outside))).otherwise(F.array_distinct(F.concat(pairs(1), pairs(2))))
+
+
+def independent_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """(h1, h2) of the lines that stand on at least `min_sites` sites of documents that are not copies of each other.
+
+    Two documents with a line are copies if they also share what stands around it: a pair of near hashes among the
+    least ones of their runs of words outside the line, or nothing at all outside it. Copies of one document count
+    as one site. A document joins the least one it shares a pair with, and that one's in turn.
+    """
+    wide = boilerplate_lines(docs, min_sites)
+    keys = F.array_distinct(F.transform(F.filter(text_lines(), has_word), line_key))
+    row = F.xxhash64("doc_id", "text", "source").alias("r")
+    site = F.coalesce(F.col("source").cast("string"), F.lit("\x00none")).alias("site")
+    hits = (docs.select(row, F.explode(keys).alias("k")).select("r", "k.*").join(wide, KEY, "left_semi")
+            .groupBy("r").agg(F.collect_set(F.struct(*KEY)).alias("hits")))
+    # One plan at every size, as in cut_lines.
+    stands = (docs.select(row, site, least_runs().alias("runs")).join(hits.hint("merge"), "r")
+              .select("r", "site", "runs", F.explode("hits").alias("k")).select("r", "site", "runs", "k.*"))
+    outside = F.slice(F.transform(F.filter("runs", lambda x: x["h1"] != F.col("h1")), lambda x: x["h"]), 1, RUNS)
+    stands = settle(stands.select(*KEY, "r", "site", outside.alias("outside"))
+                    .select(*KEY, "r", "site", copy_keys(F.col("outside")).alias("keys")), "stands")
+    each = stands.select(*KEY, "r", "site", F.explode("keys").alias("key"))
+    first = each.groupBy(*KEY, "key").agg(F.min(F.struct("r", "site")).alias("first"))
+    joined = settle(each.join(first.hint("merge"), [*KEY, "key"]).groupBy(*KEY, "r").agg(F.min("first").alias("first")), "first")
+    heads = joined.select(*KEY, F.col("first.r").alias("r")).distinct()
+    sites = joined.join(heads.hint("merge"), [*KEY, "r"]).select(*KEY, "first.site").distinct()
+    return settle(sites.groupBy(*KEY).agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select(*KEY),
+                  "independent")
+
+
+def clean_pages(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """As `clean_lines`, but copies of a document count as one site."""
+    return cut_lines(docs, independent_lines(docs, min_sites), MOST_SHARE)
+
+
 def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, most_share: int = MOST_SHARE) -> DataFrame:
     """`docs` (doc_id, text, source) without boilerplate lines, as a struct column `row`, and what was removed.
 
@@ -66,7 +125,11 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, most_share: int = M
     documents are found again by doc_id, so rows that share one share their set of boilerplate lines, which changes
     nothing. Other columns are kept whatever their names; an empty table gives no rows.
     """
-    boilerplate = boilerplate_lines(docs, min_sites)
+    return cut_lines(docs, boilerplate_lines(docs, min_sites), most_share)
+
+
+def cut_lines(docs: DataFrame, boilerplate: DataFrame, most_share: int) -> DataFrame:
+    """`docs` without the lines of `boilerplate` (h1, h2); columns as in `clean_lines`."""
     keys = F.array_distinct(F.transform(F.filter(text_lines(), has_word), line_key))
     hits = (docs.select(F.col("doc_id").alias("__id"), F.explode(keys).alias("k")).select("__id", "k.*")
             .join(boilerplate, KEY).groupBy("__id").agg(F.collect_set(F.struct(*KEY)).alias("__hits")))
