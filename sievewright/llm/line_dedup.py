@@ -110,8 +110,11 @@ def independent_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def clean_pages(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """As `clean_lines`, but copies of a document count as one site."""
-    return cut_lines(docs, independent_lines(docs, min_sites), MOST_SHARE)
+    """As `clean_lines`, but copies of a document count as one site, and a line is removed wherever it stands.
+
+    No text is left whole for its share of boilerplate: the lines of copies are not boilerplate by their copies alone.
+    """
+    return cut_lines(docs, independent_lines(docs, min_sites), 100)
 
 
 def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, most_share: int = MOST_SHARE) -> DataFrame:

@@ -37,6 +37,23 @@ def test_edited_copies_keep_their_lines(spark):
         assert cleaned(spark, rows) == {i: t for i, t, _ in rows}
 
 
+def test_boilerplate_goes_from_copies_and_pages(spark):
+    """A line on many pages goes from a group of copies as well, whose own lines stay."""
+    r = random.Random(8)
+    copies = [(i, f"{t}\n{BAR}", s) for i, t, s in edited_copies(40, 0.6)]
+    pages = [(100 + i, f"{words(r, 30)}\n{BAR}\n{words(r, 30)}", f"s{i}") for i in range(7)]
+    got = cleaned(spark, copies + pages)
+    assert all(got[i] == "\n".join(x for x in t.split("\n") if x != BAR) for i, t, _ in copies + pages)
+
+
+def test_short_pages_lose_boilerplate(spark):
+    """Also where it is more than half of the page, and where it is all of it."""
+    r = random.Random(9)
+    rows = [(i, f"{words(r, 3)}\n  {BAR}", f"s{i}") for i in range(8)] + [(20, BAR, "s0"), (21, f"{BAR}\n\n{BAR}\n", "s1")]
+    got = cleaned(spark, rows)
+    assert all(got[i] == t.split("\n")[0] for i, t, _ in rows[:8]) and got[20] == "" and got[21] == "\n"
+
+
 def test_blocks_of_boilerplate_go(spark):
     """Lines that always stand together, in pages that are otherwise not alike."""
     r = random.Random(10)
