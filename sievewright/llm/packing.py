@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, settle, text_slices, worker_cache
 
 CAPACITY = 4096
-# Lengths are planned in steps of so many tokens: a piece leaves less than a step unused.
+# Lengths are planned in steps of so many tokens: a piece leaves less than a step unused. Pieces of up to SHORT steps
+# are classes of their exact length, planned in bundles of up to BUNDLE steps.
 STEP = 16
+SHORT = 4
+BUNDLE = 16
 END_ID = 2
 # The linear program stops when no pattern is worth more than this (1: optimal).
 WORTH = 1.0002
@@ -84,7 +87,7 @@ def _pieces(path: str, capacity: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = worker_cache(f"chunks:{path}", lambda: ChunkCodes(path))
         part = TaskContext.get().partitionId()
-        ranks = [0] * (-(-capacity // step) + 1)
+        ranks = [0] * (SHORT * step + -(-capacity // step) + 1)
         for batch in text_slices(batches):
             rows = []
             coded = codes.encode(batch.column("text").fill_null("").to_pylist())
@@ -93,7 +96,7 @@ def _pieces(path: str, capacity: int, step: int):
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     stop = min(n, start + capacity)
-                    kind = -(-(stop - start) // step)
+                    kind = stop - start if stop - start <= SHORT * step else SHORT * step + -(-(stop - start) // step)
                     rows.append((doc_id, start, stop - start, zlib.crc32(ids[4 * start:4 * stop]), n, part, kind,
                                  ranks[kind]))
                     ranks[kind] += 1
@@ -209,14 +212,49 @@ def plan_patterns(classes: np.ndarray, demand: np.ndarray, capacity: int) -> tup
     return classes, patterns[used], times[used]
 
 
+def bundle(length: int, step: int, capacity: int) -> tuple[int, int]:
+    """(pieces, steps) of the bundle of pieces of a short length that wastes the smallest part."""
+    steps = [u for u in range(1, min(BUNDLE, capacity // step) + 1) if u * step >= length]
+    best = max(steps, key=lambda u: (u * step // length * length / u, -u))
+    return best * step // length, best
+
+
+def plan_pieces(kinds: np.ndarray, demand: np.ndarray, capacity: int, step: int):
+    """The patterns over steps, and by kind of piece (pieces a bundle, bundles, their class and first, rest's class and first).
+
+    Short pieces of one length fill bundles, which are planned like a piece of their steps; those left over and long
+    pieces are planned alone. Ranks in a class of steps go kind by kind.
+    """
+    items, places = np.zeros(capacity // step + 1, np.int64), {}
+    for kind, n in zip(kinds.tolist(), demand.tolist()):
+        short = kind <= SHORT * step
+        each, steps = bundle(kind, step, capacity) if short else (1, kind - SHORT * step)
+        alone = -(-kind // step) if short else steps
+        whole, rest = divmod(n, each)
+        first = int(items[steps])
+        items[steps] += whole
+        places[kind] = (each, whole, steps, first, alone, int(items[alone]))
+        items[alone] += rest
+    classes = np.flatnonzero(items)
+    return plan_patterns(classes, items[classes], capacity // step), places
+
+
 def _assign(plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns, places = plan.value
         for batch in batches:
             kinds, ranks = batch.column("class").to_numpy(), batch.column("rank").to_numpy()
             sequence, place = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
             for kind in np.unique(kinds).tolist():
-                rows = kinds == kind
-                sequence[rows], place[rows] = slots(plan.value, kind, ranks[rows])
+                each, whole, steps, first, alone, first_alone = places[kind]
+                bundled = ranks < each * whole
+                for rows, size, item, spot in (
+                        (bundled, steps, first + ranks // each, ranks % each),
+                        (~bundled, alone, first_alone + ranks - each * whole, np.zeros_like(ranks))):
+                    rows = rows & (kinds == kind)
+                    if rows.any():
+                        sequence[rows], at = slots(patterns, size, item[rows])
+                        place[rows] = at * (1 << 32) + spot[rows]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
                 + [pa.array(sequence), pa.array(place)],
@@ -229,8 +267,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, step: i
 
     One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A document is its ids and
     the end id; a null or empty text is the end id alone. Documents longer than a sequence are cut into full ones
-    and a rest. Lengths in steps of `step` tokens form a histogram of at most capacity / step classes, the only
-    thing the driver sees; the patterns planned over it are dealt to the pieces by their rank in their class. Ranks
+    and a rest. Lengths, exact up to SHORT steps and in steps of `step` tokens above, form a histogram, the only thing
+    the driver sees; short pieces are planned in bundles, which keeps capacity / step classes; the patterns planned over it are dealt to the pieces by their rank in their class. Ranks
     come from counts by task, so no class passes through one task. Repeated rows and ids are packed as they come;
     other columns are ignored; an empty table gives no rows. `tokenizer_path` must exist on every executor.
     """
@@ -241,9 +279,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, step: i
     before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("part", "class", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     histogram = counts.groupBy("class").agg(F.sum("n").alias("n")).orderBy("class").toArrow()
-    plan = spark.sparkContext.broadcast(plan_patterns(
+    plan = spark.sparkContext.broadcast(plan_pieces(
         histogram.column("class").to_numpy().astype(np.int64), histogram.column("n").to_numpy().astype(np.int64),
-        capacity // step))
+        capacity, step))
     placed = (pieces.join(firsts, ["part", "class"])
               .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class",
                       (F.col("first") + F.col("local")).alias("rank"))
