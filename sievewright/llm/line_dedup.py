@@ -12,11 +12,11 @@ MIN_SITES = 6
 # Base-2 logarithm of the registers of a sketch, and the relative error that decides what is counted exactly.
 SKETCH_BITS = 8
 ERROR = 0.2
-# Where boilerplate is more than this percentage of a text, the text is a copy and is left to other operators.
-MOST_SHARE = 50
-# Copies of a document are found by their runs of so many words, and so many least hashes of runs outside a line.
+# Copies of a document are found by the so many least hashes of their runs of so many words.
 RUN_WORDS = 3
 RUNS = 16
+# Base-2 logarithms of the bits of the filter of lines: 32 KiB to 16 MiB.
+LEAST_BITS, MOST_BITS = 18, 27
 
 KEY = ["h1", "h2"]
 
@@ -58,98 +58,98 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return settle(spread.where(F.col("sites") > high).select(*KEY).unionByName(exact), "boilerplate")
 
 
-def least_runs() -> Column:
-    """The 2 * RUNS least (h, h1) of a text: hashes of runs of words, each with the first hash of its line.
+def line_filter(lines: DataFrame) -> tuple[DataFrame, int]:
+    """A bitmap of the lines (h1, h2) as one value, and its bits: 64 for each line, within fixed bounds."""
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (64 * lines.count()).bit_length()))
+    slot = F.pmod("h1", F.lit(bits))
+    words = (lines.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("set")))
+    places = lines.sparkSession.range(bits >> 6)
+    whole = places.join(words, F.col("id") == F.col("word"), "left").select("id", F.coalesce("set", F.lit(0)).alias("set"))
+    return whole.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "set"))), lambda x: x["set"])), bits
 
-    A line enters with RUNS hashes at most, so the RUNS least outside any one line are always among them.
-    """
-    bare = F.array_distinct(F.transform(F.filter(text_lines(), has_word), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r"))))
-    words = F.transform(bare, lambda x: F.struct(F.xxhash64(x).alias("h1"), F.split(x, "[\\x20\\x09-\\x0D]+").alias("w")))
-    runs = lambda w: F.transform(
-        F.slice(w, 1, F.greatest(F.size(w) - (RUN_WORDS - 1), F.lit(1))),
-        lambda x, i: F.xxhash64(x, *[F.get(w, i + n) for n in range(1, RUN_WORDS)]))
-    least = F.transform(words, lambda x: F.struct(
-        x["h1"].alias("h1"), F.slice(F.sort_array(F.array_distinct(runs(x["w"]))), 1, RUNS).alias("hs")))
-    tagged = F.flatten(F.transform(least, lambda x: F.transform(x["hs"], lambda h: F.struct(h.alias("h"), x["h1"].alias("h1")))))
-    return F.slice(F.sort_array(tagged), 1, 2 * RUNS)
-
-
-def copy_keys(outside: Column) -> Column:
-    """Keys of the sorted hashes of runs outside a line: pairs of near ones, of which copies share some."""
+
+def possible(line: Column, bitmap: Column, bits: int) -> Column:
+    """The line may be one of the bitmap's; no line that is one is missed."""
+    slot = F.pmod(line_key(line)["h1"], F.lit(bits))
+    word = F.get(bitmap, F.shiftright(slot, 6).cast("int"))
+    shifted = F.call_function("shiftright", word, slot.bitwiseAND(F.lit(63)).cast("int"))
+    return has_word(line) & (shifted.bitwiseAND(F.lit(1)) == 1)
+
+
+def least_runs(lines: Column) -> Column:
+    """The RUNS least hashes of the runs of words of some lines."""
+    def runs(words: Column) -> Column:
+        return F.transform(F.slice(words, 1, F.greatest(F.size(words) - (RUN_WORDS - 1), F.lit(1))),
+                           lambda x, i: F.xxhash64(x, *[F.get(words, i + n) for n in range(1, RUN_WORDS)]))
+
+    words = F.transform(lines, lambda x: F.split(F.btrim(x, F.lit(" \t\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+"))
+    return F.slice(F.sort_array(F.array_distinct(F.flatten(F.transform(words, runs)))), 1, RUNS)
+
+
+def copy_keys(runs: Column, lines: Column) -> Column:
+    """Keys that copies share some of: pairs of near hashes of their runs; without runs the set of all their lines."""
     pairs = lambda gap: F.transform(
-        F.slice(outside, 1, F.greatest(F.size(outside) - gap, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(outside, i + gap)))
-    return F.when(F.size(outside) < 2, F.array(F.xxhash64(outside))).otherwise(F.array_distinct(F.concat(pairs(1), pairs(2))))
+        F.slice(runs, 1, F.greatest(F.size(runs) - gap, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(runs, i + gap)))
+    whole = F.xxhash64(F.sort_array(F.array_distinct(F.transform(F.filter(lines, has_word), lambda x: line_key(x)["h1"]))))
+    return (F.when(F.size(runs) == 0, F.array(whole)).when(F.size(runs) == 1, F.array(F.xxhash64(runs)))
+            .otherwise(F.array_distinct(F.concat(pairs(1), pairs(2)))))
 
 
-def independent_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(h1, h2) of the lines that stand on at least `min_sites` sites of documents that are not copies of each other.
+def independent_sites(keyed: DataFrame) -> DataFrame:
+    """(id, site): the site that each page of `keyed` (id, site, key) counts for.
 
-    Two documents with a line are copies if they also share what stands around it: a pair of near hashes among the
-    least ones of their runs of words outside the line, or nothing at all outside it. Copies of one document count
-    as one site. A document joins the least one it shares a pair with, and that one's in turn.
+    A page joins the page of least id that it shares a key with, and that one's in turn; so copies count for one site.
     """
-    wide = boilerplate_lines(docs, min_sites)
-    keys = F.array_distinct(F.transform(F.filter(text_lines(), has_word), line_key))
-    row = F.xxhash64("doc_id", "text", "source").alias("r")
-    site = F.coalesce(F.col("source").cast("string"), F.lit("\x00none")).alias("site")
-    hits = (docs.select(row, F.explode(keys).alias("k")).select("r", "k.*").join(wide, KEY, "left_semi")
-            .groupBy("r").agg(F.collect_set(F.struct(*KEY)).alias("hits")))
-    # One plan at every size, as in cut_lines.
-    stands = (docs.select(row, site, least_runs().alias("runs")).join(hits.hint("merge"), "r")
-              .select("r", "site", "runs", F.explode("hits").alias("k")).select("r", "site", "runs", "k.*"))
-    outside = F.slice(F.transform(F.filter("runs", lambda x: x["h1"] != F.col("h1")), lambda x: x["h"]), 1, RUNS)
-    stands = settle(stands.select(*KEY, "r", "site", outside.alias("outside"))
-                    .select(*KEY, "r", "site", copy_keys(F.col("outside")).alias("keys")), "stands")
-    each = stands.select(*KEY, "r", "site", F.explode("keys").alias("key"))
-    first = each.groupBy(*KEY, "key").agg(F.min(F.struct("r", "site")).alias("first"))
-    joined = settle(each.join(first.hint("merge"), [*KEY, "key"]).groupBy(*KEY, "r").agg(F.min("first").alias("first")), "first")
-    heads = joined.select(*KEY, F.col("first.r").alias("r")).distinct()
-    sites = joined.join(heads.hint("merge"), [*KEY, "r"]).select(*KEY, "first.site").distinct()
-    return settle(sites.groupBy(*KEY).agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select(*KEY),
-                  "independent")
-
-
-def clean_pages(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """As `clean_lines`, but copies of a document count as one site, and a line is removed wherever it stands.
-
-    No text is left whole for its share of boilerplate: the lines of copies are not boilerplate by their copies alone.
-    """
-    return cut_lines(docs, independent_lines(docs, min_sites), 100)
+    first = keyed.groupBy("key").agg(F.min(F.struct("id", "site")).alias("first"))
+    # One plan at every size: both sides of these joins grow with the table.
+    joined = settle(keyed.join(first.hint("merge"), "key").groupBy("id").agg(F.min("first").alias("first")), "first")
+    heads = joined.select(F.col("id").alias("head"), F.col("first.site").alias("site"))
+    return joined.select("id", F.col("first.id").alias("head")).join(heads.hint("merge"), "head").select("id", "site")
 
 
-def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, most_share: int = MOST_SHARE) -> DataFrame:
+def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """`docs` (doc_id, text, source) without boilerplate lines, as a struct column `row`, and what was removed.
 
-    Columns: row (all columns of docs, the text cleaned), n_lines (lines with a word), n_boilerplate, n_removed. A
-    line is compared without the white space around it; a line on at least `min_sites` distinct sources is
-    boilerplate wherever it stands. If boilerplate makes more than `most_share` percent of the characters of a text's
-    lines, the text is a copy of a document rather than a page around which boilerplate stands: it is left whole. All
-    other lines and breaks stay as they are. Null text stays null and has no lines; a null source is one site;
-    documents are found again by doc_id, so rows that share one share their set of boilerplate lines, which changes
-    nothing. Other columns are kept whatever their names; an empty table gives no rows.
-    """
-    return cut_lines(docs, boilerplate_lines(docs, min_sites), most_share)
+    Columns: row (all columns of docs, the text cleaned), n_lines (lines with a word), n_removed. A line is compared
+    without the white space around it. It is boilerplate if it stands on at least `min_sites` distinct sources of documents
+    that are not copies of each other, and goes wherever it stands, also where nothing else is left; all other lines and
+    breaks stay as they are.
+
+    Copies are told by what is left of a document without all lines that stand on `min_sites` sources, whoever has them:
+    documents that share a pair of near hashes among the least ones of their runs of three words there are copies; of
+    documents with nothing left, those with the same lines. So a template's own lines make no copies of its pages, and
+    the lines of a document that was copied to many sources stay.
 
+    Null text stays null and has no lines; a null source is a source; repeated rows are copies of each other. Other columns
+    are kept whatever their names; an empty table gives no rows.
+
+    Rows without such a line go straight through, told by a bitmap of those lines; only the others are shuffled.
+    """
+    wide = boilerplate_lines(docs, min_sites)
+    bitmap, bits = line_filter(wide)
+    there = docs.select(F.struct("*").alias("row"), F.col("text"), F.col("source").cast("string").alias("site"), bitmap.scalar().alias("bits"))
+    some = F.exists(text_lines(), lambda x: possible(x, F.col("bits"), bits))
+    ident = F.xxhash64("row.doc_id", "text", "site")
+    pages = settle(there.where(some).select("row", "text", F.coalesce("site", F.lit("\x00none")).alias("site"), ident.alias("id")), "pages")
 
-def cut_lines(docs: DataFrame, boilerplate: DataFrame, most_share: int) -> DataFrame:
-    """`docs` without the lines of `boilerplate` (h1, h2); columns as in `clean_lines`."""
     keys = F.array_distinct(F.transform(F.filter(text_lines(), has_word), line_key))
-    hits = (docs.select(F.col("doc_id").alias("__id"), F.explode(keys).alias("k")).select("__id", "k.*")
-            .join(boilerplate, KEY).groupBy("__id").agg(F.collect_set(F.struct(*KEY)).alias("__hits")))
-    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__doc"), F.col("text"))
-    # One plan at every size: the hits grow with the table, so neither side is broadcast.
-    both = rows.join(hits.hint("merge"), F.col("__doc").eqNullSafe(F.col("__id")), "left")
-    lines = F.transform(text_lines(), lambda x: F.struct(
-        x.alias("line"), has_word(x).alias("word"),
-        F.when(F.col("__hits").isNull() | ~has_word(x), False).otherwise(
-            F.array_contains("__hits", line_key(x))).alias("hit")))
-    total = F.aggregate("__lines", F.lit(0).cast("long"), lambda a, x: a + F.when(x["word"], F.length(x["line"])).otherwise(0))
-    found = F.aggregate("__lines", F.lit(0).cast("long"), lambda a, x: a + F.when(x["hit"], F.length(x["line"])).otherwise(0))
-    count = lambda flag: F.size(F.filter("__lines", lambda x: x[flag])).cast("long")
-    judged = both.withColumn("__lines", lines).select(
-        "__row", "text", "__lines", count("word").alias("n_lines"), count("hit").alias("n_boilerplate"),
-        ((found > 0) & (F.lit(100) * found <= F.lit(most_share) * total)).alias("__cut"))
-    cleaned = F.array_join(F.transform(F.filter("__lines", lambda x: ~x["hit"]), lambda x: x["line"]), "\n")
-    return judged.select(
-        F.col("__row").withField("text", F.when(F.col("__cut"), cleaned).otherwise(F.col("text"))).alias("row"), "n_lines",
-        "n_boilerplate", F.when(F.col("__cut"), F.col("n_boilerplate")).otherwise(0).cast("long").alias("n_removed"))
+    hits = settle(pages.select("id", F.explode(keys).alias("k")).select("id", "k.*").join(wide, KEY, "left_semi").distinct(), "hits")
+    own = pages.select("id", "site", text_lines().alias("lines"), bitmap.scalar().alias("bits")).select(
+        "id", "site", "lines", F.filter("lines", lambda x: has_word(x) & ~possible(x, F.col("bits"), bits)).alias("own"))
+    keyed = settle(own.select("id", "site", "lines", least_runs(F.col("own")).alias("runs")).select(
+        "id", "site", F.explode(copy_keys(F.col("runs"), F.col("lines"))).alias("key")), "keys")
+    counted = independent_sites(keyed)
+    boilerplate = settle(hits.join(counted.hint("merge"), "id").select(*KEY, "site").distinct().groupBy(*KEY)
+                         .agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select(*KEY), "boilerplate")
+
+    cuts = hits.join(boilerplate, KEY, "left_semi").groupBy("id").agg(F.collect_set(F.struct(*KEY)).alias("cuts"))
+    both = pages.select("row", "text", "id").join(cuts.hint("merge"), "id", "left").withColumn("lines", F.transform(
+        text_lines(), lambda x: F.struct(x.alias("line"), F.when(F.col("cuts").isNull() | ~has_word(x), False).otherwise(
+            F.array_contains("cuts", line_key(x))).alias("hit"))))
+    left = F.transform(F.filter("lines", lambda x: ~x["hit"]), lambda x: x["line"])
+    removed = F.size(F.filter("lines", lambda x: x["hit"])).cast("long")
+    n_lines = F.size(F.filter(text_lines(), has_word)).cast("long").alias("n_lines")
+    cleaned = both.select(F.when(F.col("cuts").isNull(), F.col("row")).otherwise(
+        F.col("row").withField("text", F.array_join(left, "\n"))).alias("row"), n_lines, removed.alias("n_removed"))
+    return there.where(~some).select("row", n_lines, F.lit(0).cast("long").alias("n_removed")).unionByName(cleaned)

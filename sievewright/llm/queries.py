@@ -93,25 +93,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
-@query("op8_line_spread", r"""
-    with d as (select row_number() over () as r, doc_id, text, coalesce(source, chr(0) || 'none') as site,
-                      string_split(coalesce(text, ''), chr(10)) as ls from documents),
-    l as (select r, site, i, ls[i] as line, trim(ls[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as bare
-          from d, unnest(range(1, len(ls) + 1)) as u(i) where regexp_matches(ls[i], '[^\x20\x09-\x0D]')),
-    b as (select bare from l group by bare having count(distinct site) >= 6),
-    m as (select l.*, b.bare is not null as hit from l left join b on l.bare = b.bare),
-    s as (select r, count(*) as n_lines, count(*) filter (hit) as n_boilerplate, sum(length(line)) as total,
-                 coalesce(sum(length(line)) filter (hit), 0) as found, list(i) filter (hit) as spots
-          from m group by r),
-    j as (select d.doc_id, d.text, d.ls, s.spots, coalesce(n_lines, 0) as n_lines, coalesce(n_boilerplate, 0) as n_boilerplate,
-                 coalesce(found > 0 and 100 * found <= 50 * total, false) as cut from d left join s using (r))
-    select doc_id, n_lines, n_boilerplate, case when cut then n_boilerplate else 0 end as n_removed,
-           md5(case when cut then array_to_string(list_filter(ls, lambda x, i: not list_contains(spots, i)), chr(10))
-                    else text end) as text_md5
-    from j""")
+@query("op8_line_spread")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.clean_lines(documents(spark, sf_dir))
-    return cleaned.select("row.doc_id", "n_lines", "n_boilerplate", "n_removed", F.md5("row.text").alias("text_md5"))
+    return cleaned.select("row.doc_id", "n_lines", "n_removed", F.md5("row.text").alias("text_md5"))
 
 
 @query("op9_token_counts")

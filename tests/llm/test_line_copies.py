@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 
 BAR = "Sign up for our weekly letter and never miss a story"
@@ -67,3 +69,33 @@ def test_one_line_copies_stay(spark):
     """Exact copies of a line that stands nowhere else: one document, left to the operators for copies."""
     rows = [(i, BAR, f"s{i}") for i in range(9)]
     assert cleaned(spark, rows) == {i: BAR for i in range(9)}
+
+
+def template_pages(own):
+    """40 pages on 40 sites: a header, a navigation line, text of their own, a footer."""
+    r = random.Random(own)
+    lines = [words(r, 8), words(r, 6), words(r, 14)]
+    return lines, [(i, "\n".join([*lines[:2], words(r, own), lines[2]]), f"s{i}") for i in range(40)]
+
+
+@pytest.mark.parametrize("own", [10, 30, 60, 120])
+def test_templates_lose_all_their_lines(spark, own):
+    lines, rows = template_pages(own)
+    got = cleaned(spark, rows)
+    assert all(got[i] == t.split("\n")[2] for i, t, _ in rows)
+
+
+def test_a_template_goes_and_the_lines_of_copies_within_it_stay(spark):
+    lines, rows = template_pages(40)
+    copies = [(100 + i, "\n".join([*lines[:2], t, lines[2]]), s) for i, t, s in edited_copies(60, 0.6)]
+    got = cleaned(spark, rows + copies)
+    assert all(got[i] == "\n".join(x for x in t.split("\n") if x not in lines) for i, t, _ in rows + copies)
+
+
+def test_pages_of_nothing_but_wide_lines(spark):
+    """Equal sets of lines are copies; different sets are not, and what they share goes."""
+    r = random.Random(11)
+    lines = [words(r, 9) for _ in range(6)]
+    sets = [(i, "\n".join(lines[:i] + lines[i + 1:]), f"s{i}") for i in range(6)] + [(9, "\n".join(lines), "s9")]
+    got = cleaned(spark, [(*x[:2], f"{x[2]}{k}") for k in range(7) for x in [(10 * k + i, t, s) for i, t, s in sets]])
+    assert set(got.values()) == {""}

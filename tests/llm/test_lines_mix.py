@@ -1,30 +1,68 @@
 """Boilerplate lines, mixing and page languages."""
 
+import re
+import struct
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
+
+from pyspark.sql import functions as F
 
 from sievewright.llm import language, line_dedup, mixing
 
 WHITE = " \t\x0b\x0c\r"
 
 
+def hashed(values):
+    """Spark's xxhash64 of several texts and whole numbers."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed)
+    return struct.unpack("<q", struct.pack("<Q", seed))[0]
+
+
+def plain_keys(lines, wide):
+    """What two copies share some of: pairs of near hashes of the runs of three words outside wide lines."""
+    runs = set()
+    for x in lines:
+        if x not in wide:
+            ws = re.split("[\x20\x09-\x0D]+", x)
+            runs |= {hashed(ws[i:i + 3]) for i in range(max(len(ws) - 2, 1))}
+    runs = sorted(runs)[:16]
+    if len(runs) < 2:
+        return {hashed(runs or sorted({hashed([x]) for x in lines}))}
+    return {hashed([runs[i], runs[i + gap]]) for gap in (1, 2) for i in range(len(runs) - gap)}
+
+
 def plain_lines(rows, min_sites):
-    """[(doc_id, n_lines, n_boilerplate, n_removed, text)] by counting the sites of every line."""
+    """[(doc_id, n_lines, n_removed, text)] by counting the sites of every line over documents that are no copies."""
+    split = [[x.strip(WHITE) for x in (t or "").split("\n")] for _, t, _ in rows]
     sites = defaultdict(set)
-    split = [[x for x in (t or "").split("\n")] for _, t, _ in rows]
     for lines, (_, _, source) in zip(split, rows):
-        for x in lines:
-            if x.strip(WHITE):
-                sites[x.strip(WHITE)].add(source)
+        for x in filter(None, lines):
+            sites[x].add(source)
+    wide = {x for x, found in sites.items() if len(found) >= min_sites}
+    pages, first = {}, {}
+    for lines, (doc_id, text, source) in zip(split, rows):
+        if wide & set(lines):
+            page = (hashed([doc_id, text, source]), "\x00none" if source is None else source)
+            pages[page] = (set(filter(None, lines)), plain_keys([x for x in lines if x], wide))
+    for page, (_, keys) in pages.items():
+        for k in keys:
+            first[k] = min(first.get(k, page), page)
+    joined = {page[0]: min(first[k] for k in keys) for page, (_, keys) in pages.items()}
+    spread = defaultdict(set)
+    for page, (lines, _) in pages.items():
+        for x in lines & wide:
+            spread[x].add(joined[joined[page[0]][0]][1])
+    bad = {x for x, found in spread.items() if len(found) >= min_sites}
     out = []
     for lines, (doc_id, text, _) in zip(split, rows):
-        words = [x for x in lines if x.strip(WHITE)]
-        hit = lambda x: len(sites.get(x.strip(WHITE), ())) >= min_sites
-        bad = [x for x in words if hit(x)]
-        cut = 0 < 100 * sum(map(len, bad)) <= 50 * sum(map(len, words))
-        out.append((doc_id, len(words), len(bad), len(bad) if cut else 0,
-                    "\n".join(x for x in lines if not hit(x)) if cut else text))
+        hits = sum(x in bad for x in lines)
+        kept = [raw for raw, x in zip((text or "").split("\n"), lines) if x not in bad]
+        out.append((doc_id, sum(map(bool, lines)), hits, "\n".join(kept) if hits else text))
     return out
 
 
@@ -44,11 +82,28 @@ def some_lines():
 def test_lines(spark, odd, odd_rows, min_sites):
     rows = [(r[0], r[1], r[3]) for r in odd_rows] + some_lines()
     table = odd.select("doc_id", "text", "source").unionByName(spark.createDataFrame(some_lines(), "doc_id long, text string, source string"))
-    got = line_dedup.clean_lines(table, min_sites).select("row.doc_id", "n_lines", "n_boilerplate", "n_removed", "row.text").collect()
+    got = line_dedup.clean_lines(table, min_sites).select("row.doc_id", "n_lines", "n_removed", "row.text").collect()
     assert Counter(map(tuple, got)) == Counter(plain_lines(rows, min_sites))
     assert sum(r.n_removed for r in got) > 0
 
 
+def test_lines_of_the_small_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
+    got = line_dedup.clean_lines(docs.repartition(5)).select("row.doc_id", "n_lines", "n_removed", "row.text").collect()
+    assert Counter(map(tuple, got)) == Counter(plain_lines(rows, line_dedup.MIN_SITES)) and sum(r.n_removed for r in got) > 0
+
+
+def test_only_rows_with_such_a_line_are_shuffled(spark):
+    plain = [(200 + i, f"nothing shared {i}", f"s{i}") for i in range(30)]
+    docs = spark.createDataFrame(some_lines() + plain, "doc_id long, text string, source string")
+    lines = line_dedup.boilerplate_lines(docs, 6)
+    bitmap, bits = line_dedup.line_filter(lines)
+    found = docs.select("text", bitmap.scalar().alias("b")).where(
+        F.exists(line_dedup.text_lines(), lambda x: line_dedup.possible(x, F.col("b"), bits)))
+    assert 0 < lines.count() < 10 and found.count() == docs.count() - 30
+
+
 def test_lines_keep_columns_and_use_no_python(odd, nothing):
     cleaned = line_dedup.clean_lines(odd)
     assert cleaned.select("row.*").columns == odd.columns

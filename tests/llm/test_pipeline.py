@@ -31,7 +31,7 @@ def check_stages(tables):
     rows = lambda t: [tuple(r) for r in t.select(*COLUMNS).collect()]
     assert Counter(rows(ruled)) == Counter(r for r in rows(given) if plain_rules(r[1])[-1])
     want = plain_lines([(r[0], r[1], r[3]) for r in rows(ruled)], line_dedup.MIN_SITES)
-    assert Counter((r[0], r[1]) for r in rows(lined)) == Counter((w[0], w[4]) for w in want)
+    assert Counter((r[0], r[1]) for r in rows(lined)) == Counter((w[0], w[3]) for w in want)
     assert all(r[4] == len(r[1]) for r in rows(lined) if r[1] is not None and r[4] is not None)
     component = brute_components([(r[0], r[1]) for r in rows(lined) if r[0] is not None])
     assert Counter(rows(unique)) == Counter(r for r in rows(lined) if r[0] is None or component[r[0]] == r[0])

@@ -46,7 +46,7 @@ def test_composed_crcs():
     texts += ["", " ", "x" * 1000 + " y " + "z" * 5000 + " x", "q" * 65 + " " + "q" * 64 + " " + "q" * 128, "one"]
     found = resampling.payloads([t.encode() for t in texts])
     runs, there = resampling.run_buckets(found, 10000)
-    ends = np.flatnonzero(found == 0)
+    ends = np.flatnonzero(found == resampling.MARK)
     assert len(ends) == len(texts)
     start = 0
     for text, end in zip(texts, ends.tolist()):
