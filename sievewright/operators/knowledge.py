@@ -1,4 +1,4 @@
-"""Business notes: upserts, sparse text vectors and similarity search."""
+"""Business notes: upserts and similarity search."""
 
 from __future__ import annotations
 
@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from ..functions.text import BUCKETS, TOKEN, term_bucket, tokens
+from .vector_index import VectorIndex, best_matches, bucket_sizes, postings_of
+from .vectors import SCORE_DIGITS, embed, top_hits, vectors
 
-# Queries scored per pass; their matrix is what a task holds (QUERY_BLOCK x BUCKETS doubles).
+__all__ = ["VectorIndex", "cosine", "current_docs", "docs_for_tables", "embed", "hits_to_docs", "indexed_text", "latest", "search",
+           "similar_texts", "similar_vectors", "top_hits", "vectors"]
+
+# Dense queries scored per pass; their matrix is what a task holds.
 QUERY_BLOCK = 1024
 SCORE_ROWS = 256
-# Scores are compared after rounding, so copies of a text tie exactly.
-SCORE_DIGITS = 9
 
 
 def latest(log: DataFrame, key: str, seq: str = "seq") -> DataFrame:
@@ -40,37 +42,6 @@ def docs_for_tables(tables: DataFrame, docs: DataFrame) -> DataFrame:
     return tables.join(docs, "table_fq_name", "left")
 
 
-def vectors(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, buckets, tfs, norm): hashed bag of words of each text.
-
-    A text is one row, so its terms are counted in place: sorted buckets, the places where a
-    new bucket begins, and the distances between them. Nothing is shuffled. Texts without
-    terms have no vector.
-    """
-    buckets = F.sort_array(F.transform(tokens(F.col(text)), term_bucket))
-    hashed = texts.filter(F.col(text).rlike(TOKEN)).select(key, buckets.alias("b"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("b") - 1),
-                      lambda i: ~F.get("b", i).eqNullSafe(F.get("b", i - 1)))
-    counted = hashed.withColumn("at", starts).select(
-        key, F.transform("at", lambda s: F.get("b", s)).alias("buckets"),
-        F.transform("at", lambda s, j: (F.coalesce(F.get("at", j + 1), F.size("b")) - s).cast("long")).alias("tfs"))
-    squares = F.aggregate("tfs", F.lit(0.0), lambda s, n: s + n * n)
-    return counted.select(key, "buckets", "tfs", F.sqrt(squares).alias("norm"))
-
-
-def embed(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, bucket, tf, weight): the same vectors as postings of unit length."""
-    return vectors(texts, key, text).select(key, "norm", F.inline(F.arrays_zip("buckets", "tfs"))).select(
-        key, F.col("buckets").alias("bucket"), F.col("tfs").alias("tf"),
-        (F.col("tfs") / F.col("norm")).alias("weight"))
-
-
-def upsert_postings(postings: DataFrame, changed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Postings with the documents of `changed` replaced; the others are not touched."""
-    kept = postings.join(changed.select(key).distinct(), key, "left_anti")
-    return kept.unionByName(embed(changed, key).select(*postings.columns))
-
-
 def _best_per_query(scores: np.ndarray, keys: np.ndarray, qids: np.ndarray, k: int) -> pd.DataFrame:
     """The k best rows of each query column (all ties at the cut included)."""
     scores = np.round(scores, SCORE_DIGITS)
@@ -82,8 +53,14 @@ def _best_per_query(scores: np.ndarray, keys: np.ndarray, qids: np.ndarray, k: i
     return pd.DataFrame({"query_id": qids[cols], "doc_id": keys[rows], "score": scores[rows, cols]})
 
 
-def _scored(docs: DataFrame, queries: DataFrame, k: int, to_matrix, dims: int) -> DataFrame:
-    """Score all documents against blocks of queries; each Arrow batch keeps its own k best.
+def _dense_matrix(rows: pd.DataFrame) -> np.ndarray:
+    out = np.stack([np.asarray(v, dtype=float) for v in rows["vector"]]) if len(rows) else np.zeros((0, 1))
+    norms = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
+
+
+def similar_vectors(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """Top-k of given dense vectors (column `vector`) per query by cosine. Score all of them against blocks of queries; each Arrow batch keeps its own k best.
 
     `queries` rows are pulled block by block: a block is what one matrix holds, never the
     whole set.
@@ -104,7 +81,7 @@ def _scored(docs: DataFrame, queries: DataFrame, k: int, to_matrix, dims: int) -
         if part.empty:
             continue
         shared = spark.sparkContext.broadcast(
-            (part["query_id"].to_numpy(), to_matrix(part, dims).T.copy()))
+            (part["query_id"].to_numpy(), _dense_matrix(part).T.copy()))
 
         def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             qids, matrix = shared.value
@@ -112,7 +89,7 @@ def _scored(docs: DataFrame, queries: DataFrame, k: int, to_matrix, dims: int) -
             for batch in batches:
                 for at in range(0, len(batch), SCORE_ROWS):
                     piece = batch.iloc[at:at + SCORE_ROWS]
-                    found = _best_per_query(to_matrix(piece, dims) @ matrix, piece["doc_id"].to_numpy(), qids, k)
+                    found = _best_per_query(_dense_matrix(piece) @ matrix, piece["doc_id"].to_numpy(), qids, k)
                     best = found if best is None else pd.concat([best, found], ignore_index=True)
                     # Ranked like the final result, so exactly k per query are enough.
                     best = (best.sort_values(["score", "doc_id"], ascending=[False, True])
@@ -127,37 +104,10 @@ def _scored(docs: DataFrame, queries: DataFrame, k: int, to_matrix, dims: int) -
     return top_hits(out, k)
 
 
-def top_hits(hits: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k best positive scores per query, ties by document."""
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
-    return (hits.filter(F.col("score") > 0).withColumn("rank", F.row_number().over(order))
-            .filter(F.col("rank") <= k))
-
-
-def _sparse_matrix(rows: pd.DataFrame, dims: int) -> np.ndarray:
-    out = np.zeros((len(rows), dims))
-    sizes = [len(b) for b in rows["buckets"]]
-    if sum(sizes):
-        at = np.repeat(np.arange(len(rows)), sizes)
-        weights = np.concatenate(list(rows["tfs"])) / np.repeat(rows["norm"].to_numpy(), sizes)
-        out[at, np.concatenate(list(rows["buckets"])).astype(int)] = weights
-    return out
-
-
-def _dense_matrix(rows: pd.DataFrame, dims: int) -> np.ndarray:
-    out = np.stack([np.asarray(v, dtype=float) for v in rows["vector"]]) if len(rows) else np.zeros((0, dims))
-    norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
-
-
 def similar_texts(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Top-k documents per query by cosine; both sides are `vectors` rows (doc_id / query_id)."""
-    return _scored(docs, queries, k, _sparse_matrix, BUCKETS)
-
-
-def similar_vectors(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The same over given dense vectors (column `vector`)."""
-    return _scored(docs, queries, k, _dense_matrix, 1)
+    postings = cut_lineage(postings_of(docs))
+    return best_matches(postings, bucket_sizes(postings), postings_of(queries, "query_id"), k)
 
 
 def hits_to_docs(hits: DataFrame, docs: DataFrame) -> DataFrame:
@@ -166,16 +116,20 @@ def hits_to_docs(hits: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 5, table: str | None = None,
-           overfetch: bool = False) -> DataFrame:
+           overfetch: bool = False, index: VectorIndex | None = None) -> DataFrame:
     """Documents for query texts (query_id, text), best first.
 
     With a table, documents are filtered before ranking. `overfetch=True` ranks 3k documents
-    of all tables first and filters then, which may return fewer than k.
+    of all tables first and filters then, which may return fewer than k. A kept `index` over
+    `indexed_text(docs)` is read if given; without one the documents are indexed for this call.
     """
     chosen = docs if table is None or overfetch else docs.filter(F.col("table_fq_name") == table)
     fetch = k * 3 if table is not None and overfetch else k
-    index, asked = vectors(indexed_text(chosen)), vectors(queries, "query_id")
-    hits = hits_to_docs(similar_texts(index, asked, fetch), chosen)
+    if index is None:
+        hits = similar_texts(vectors(indexed_text(chosen)), vectors(queries, "query_id"), fetch)
+    else:
+        hits = index.search(queries, fetch, None if chosen is docs else chosen)
+    hits = hits_to_docs(hits, chosen)
     if table is not None and overfetch:
         again = Window.partitionBy("query_id").orderBy("rank")
         hits = (hits.filter(F.col("table_fq_name") == table)
