@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions.patterns import NAMED_PATTERNS, PATTERN_MATCH_SHARE
 from ...operators import suggest as P
-from ...operators.profile import candidate_grain, profile_columns, profile_table, top_values, value_counts
+from ...operators.profile import candidate_grain, frequent_values, profile_columns, profile_table
 from ...sources.base import table_metadata
 from ...session import cut_lineage
 from ..monitor import scan_report
@@ -131,7 +131,7 @@ def grain(spark, sf_dir):
          union all select 2, l_partkey::varchar, count(*) from lineitem group by 2"""))
 def top_values_query(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_quantity", "l_shipdate", "l_partkey")
-    return top_values(value_counts(df, [(i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]))
+    return frequent_values(df)
 
 
 # -- proposals -------------------------------------------------------------
