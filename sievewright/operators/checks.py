@@ -1,14 +1,15 @@
 """Rule compiler and check evaluation.
 
-All row-level rules of a table become one aggregate over one scan. Uniqueness
-rules share one shuffle of (rule, value) groups; each referential rule groups its
-column before it meets the distinct reference keys, so a value that fills a third
-of the table crosses the network once per task.
+All row-level rules of a table become one aggregate over one scan. Uniqueness and
+referential rules share one shuffle of (rule, digest of the value) groups, counted in
+each task first, so a value that fills a third of the table crosses the network once
+per task and a text never does. All reference keys are one table of digests beside them.
 """
 
 from __future__ import annotations
 
 import contextlib
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -33,6 +34,9 @@ SAMPLE_SIZE = 10
 # Rules per aggregate, so that the generated code stays small.
 RULES_PER_PASS = 100
 
+# Number of the measure that is the number of rows.
+ROWS = -1
+
 Resolver = Callable[[str], DataFrame]
 
 
@@ -76,14 +80,21 @@ class _RowCheck:
 
 @dataclass
 class _ValueCheck:
-    """A rule that groups the values of its column."""
+    """A rule that groups the values of its column by digest."""
 
     rule: Rule
     pos: int
-    keys: DataFrame | None = None  # one column `ref`; None for uniqueness
+    digest: tuple[Column, Column]
+    shown: Column  # text of the value
+    keys: DataFrame | None = None  # digests (d1, d2) of the reference; None for uniqueness
+    source: tuple = ()  # rules of equal source share their keys
     note: str = ""
 
 
+def _as(c: Column, dtype: T.DataType, common: T.DataType) -> Column:
+    return (c.cast("int") if isinstance(dtype, T.BooleanType) else c).cast(common)
+
+
 @dataclass
 class _Broken:
     rule: Rule
@@ -122,11 +133,20 @@ def reference_keys(ref: DataFrame, column: str) -> DataFrame:
             .filter(F.col("ref").isNotNull()).distinct())
 
 
+def value_digest(c: Column, dtype: T.DataType) -> tuple[Column, Column]:
+    """Two whole numbers per distinct value: the value itself if it is whole, else 128 bits of hash. Null for missing ones."""
+    if isinstance(dtype, T.IntegralType):
+        return c.cast("long"), F.when(c.isNotNull(), F.lit(0).cast("long"))
+    text = value_text(c, dtype)
+    return F.when(text.isNotNull(), F.xxhash64(text)), F.when(text.isNotNull(), F.xxhash64(F.lit("second"), text))
+
+
 class CheckPlan:
     """The compiled rules of one table, over one DataFrame."""
 
     def __init__(self, df: DataFrame, rules: list[Rule], *, batch_col: str | None = None,
-                 resolve: Resolver | None = None, as_of: Column | None = None):
+                 resolve: Resolver | None = None, as_of: Column | None = None, count_rows: bool = False):
+        self.count_rows = count_rows
         self.spark = df.sparkSession
         self.df = df
         self.batch_col = batch_col
@@ -178,7 +198,7 @@ class CheckPlan:
             latest = F.max(to_timestamp(c, dtype))
             self._row(pos, rule, F.count(to_timestamp(c, dtype)), latest, None)
         elif rule.rule_type == "uniqueness":
-            self.unique_checks.append(_ValueCheck(rule, pos))
+            self.unique_checks.append(_ValueCheck(rule, pos, value_digest(c, dtype), value_text(c, dtype)))
         else:
             self._compile_reference(pos, rule, c, dtype)
 
@@ -210,15 +230,31 @@ class CheckPlan:
 
     def _compile_reference(self, pos, rule, c, dtype) -> None:
         keys, note = self._load_reference(rule)
-        if keys is not None:
+        if keys is None:
+            # A list is a reference like any other, in the column's own type.
+            values = of_type(rule.params.get("ref_values") or [], dtype)
+            keys = self.spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField("ref", dtype)]))
+            source = (pos,)
+        else:
+            source = (rule.params["ref_table"], rule.params["ref_column"])
             if family(keys.schema["ref"].dataType) != family(dtype):
                 keys = keys.filter(F.lit(False)).select(F.lit(None).cast(dtype).alias("ref"))
-            self.ref_checks.append(_ValueCheck(rule, pos, keys, note))
-            return
-        # A list is a reference like any other, in the column's own type.
-        values = of_type(rule.params.get("ref_values") or [], dtype)
-        ref = self.spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField("ref", dtype)]))
-        self.ref_checks.append(_ValueCheck(rule, pos, ref, note))
+                source = (pos,)
+        theirs = keys.schema["ref"].dataType
+        common = self._common_type(dtype, theirs)
+        digest = value_digest(_as(nan_to_null(c, dtype), dtype, common), common)
+        refs = value_digest(_as(nan_to_null(F.col("ref"), theirs), theirs, common), common)
+        keys = keys.select(refs[0].alias("d1"), refs[1].alias("d2")).filter(F.col("d1").isNotNull())
+        self.ref_checks.append(_ValueCheck(rule, pos, digest, value_text(nan_to_null(c, dtype), dtype), keys,
+                                           (*source, common.simpleString()), note))
+
+    def _common_type(self, one: T.DataType, other: T.DataType) -> T.DataType:
+        """The type in which values of the two are compared; truth values count as whole numbers."""
+        one, other = (T.LongType() if isinstance(t, (T.IntegralType, T.BooleanType)) else t for t in (one, other))
+        if one == other:
+            return one
+        both = F.coalesce(F.lit(None).cast(one), F.lit(None).cast(other))
+        return self.spark.range(1).select(both.alias("v")).schema["v"].dataType
 
     def _load_reference(self, rule: Rule) -> tuple[DataFrame | None, str]:
         table, column = rule.params.get("ref_table"), rule.params.get("ref_column")
@@ -292,73 +328,76 @@ class CheckPlan:
 
     def _row_measures(self) -> list[DataFrame]:
         frames = []
-        for start in range(0, len(self.row_checks), RULES_PER_PASS):
+        for start in range(0, len(self.row_checks) or int(self.count_rows), RULES_PER_PASS):
             part = self.row_checks[start:start + RULES_PER_PASS]
-            aggs = []
+            aggs = [F.count(F.lit(1)).alias("rows")]
             for check in part:
                 aggs.append(check.total.alias(f"t{check.pos}"))
                 aggs.append(check.hits.alias(f"h{check.pos}"))
             wide = self.df.groupBy(*self._batch()).agg(*aggs)
             structs = [self._measured(c, F.col(f"t{c.pos}"), F.col(f"h{c.pos}")) for c in part]
+            if self.count_rows and not start:
+                structs.append(F.struct(F.lit(ROWS).alias("pos"), F.col("rows").alias("total"), F.lit(0).cast("long").alias("violations"),
+                                        F.lit(None).cast("double").alias("metric_value"), F.lit("").alias("message")))
             frames.append(wide.select(*self._keys(), F.inline(F.array(*structs))))
         return frames
 
-    def _value_groups(self, wanted: list[_ValueCheck]) -> list[tuple[list[_ValueCheck], DataFrame]]:
-        """Uniqueness rules with their (batch, pos, value, n), one shuffle for all rules on whole
-        numbers and one for all others, whose common type is text."""
-        def whole(check: _ValueCheck) -> bool:
-            return isinstance(self.df.schema[check.rule.column].dataType, T.IntegralType)
-
-        out = []
-        for integral in (True, False):
-            checks = [c for c in wanted if whole(c) == integral]
-            if not checks:
-                continue
-            cells = [F.struct(F.lit(c.pos).alias("pos"), self._value(c, integral).alias("value")) for c in checks]
-            out.append((checks, self.df.select(*self._batch(), F.inline(F.array(*cells)))
-                        .groupBy(*self._keys(), "pos", "value").agg(F.count(F.lit(1)).alias("n"))))
-        return out
-
-    def _value(self, check: _ValueCheck, integral: bool) -> Column:
-        c = field(check.rule.column)
-        return c.cast("long") if integral else value_text(c, self.df.schema[check.rule.column].dataType)
-
-    def _unique_measures(self) -> list[DataFrame]:
+    def _value_groups(self) -> DataFrame:
+        """(batch, pos, d1, d2, n): rows by rule and value, in one shuffle for all uniqueness and referential rules."""
+        cells = [F.struct(F.lit(c.pos).alias("pos"), c.digest[0].alias("d1"), c.digest[1].alias("d2"))
+                 for c in (*self.unique_checks, *self.ref_checks)]
+        return (self.df.select(*self._batch(), F.inline(F.array(*cells)))
+                .groupBy(*self._keys(), "pos", "d1", "d2").agg(F.count(F.lit(1)).alias("n")))
+
+    def _references(self) -> tuple[DataFrame, dict[int, int]]:
+        """All reference keys (part, d1, d2), written once so that their size is known, and the part of each rule."""
+        parts = {source: i for i, source in enumerate(dict.fromkeys(c.source for c in self.ref_checks))}
+        tables = {c.source: c.keys.select(F.lit(parts[c.source]).alias("part"), "d1", "d2") for c in self.ref_checks}
+        keys = functools.reduce(DataFrame.unionByName, tables.values()).distinct()
+        return keys, {c.pos: parts[c.source] for c in self.ref_checks}
+
+    def _value_judged(self) -> DataFrame:
+        """The groups with what is wrong with each: a repeated value, or one that is not in its reference."""
+        groups = self._value_groups()
+        live, bad = F.col("d1").isNotNull(), F.lit(False)
+        if self.unique_checks:
+            bad = F.col("pos").isin([c.pos for c in self.unique_checks]) & live & (F.col("n") > 1)
+        if self.ref_checks:
+            keys, parts = self._references()
+            part = F.lit(None).cast("int")
+            for pos, number in parts.items():
+                part = F.when(F.col("pos") == pos, F.lit(number)).otherwise(part)
+            keys = keys.withColumnsRenamed({"part": "__part", "d1": "__d1", "d2": "__d2"}).withColumn("found", F.lit(True))
+            groups = groups.withColumn("part", part).join(
+                keys, (F.col("part") == F.col("__part")) & (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2")), "left")
+            bad = bad | (F.col("pos").isin(list(parts)) & live & F.col("found").isNull())
+        return groups.withColumn("bad", bad).select(*self._keys(), "pos", "d1", "d2", "n", "bad")
+
+    def _value_measures(self) -> list[DataFrame]:
         """One row per batch with the counts of all rules, so an empty table has results too."""
-        frames = []
-        for checks, groups in self._value_groups(self.unique_checks):
-            aggs = []
-            for check in checks:
-                mine = (F.col("pos") == check.pos) & F.col("value").isNotNull()
-                aggs.append(F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)).alias(f"t{check.pos}"))
-                aggs.append(F.count_if(mine).alias(f"h{check.pos}"))
-            wide = groups.groupBy(*self._keys()).agg(*aggs)
-            cells = [self._measured(c, F.col(f"t{c.pos}"), F.col(f"h{c.pos}")) for c in checks]
-            frames.append(wide.select(*self._keys(), F.inline(F.array(*cells))))
-        return frames
-
-    def _reference_groups(self, check: _ValueCheck) -> DataFrame:
-        """(batch, value, n, found): the grouped column against the distinct keys.
-
-        Without batches both sides are partitioned by the value already, so the join adds no shuffle.
-        """
-        dtype = self.df.schema[check.rule.column].dataType
-        value = nan_to_null(field(check.rule.column), dtype)
-        groups = (self.df.select(*self._batch(), value.alias("value"))
-                  .groupBy(*self._keys(), "value").agg(F.count(F.lit(1)).alias("n")))
-        keys = check.keys.withColumn("found", F.lit(True))
-        return groups.join(keys, F.col("value") == F.col("ref"), "left")
-
-    def _reference_measures(self) -> list[DataFrame]:
-        frames = []
-        for check in self.ref_checks:
-            live = F.col("value").isNotNull()
-            wide = self._reference_groups(check).groupBy(*self._keys()).agg(
-                F.coalesce(F.sum(F.when(live, F.col("n"))), F.lit(0)).alias("total"),
-                F.coalesce(F.sum(F.when(live & F.col("found").isNull(), F.col("n"))), F.lit(0)).alias("hits"))
-            cell = self._measured(check, F.col("total"), F.col("hits"))
-            frames.append(wide.select(*self._keys(), F.inline(F.array(cell))))
-        return frames
+        if not (self.unique_checks or self.ref_checks):
+            return []
+        aggs, cells = [], []
+        for check in (*self.unique_checks, *self.ref_checks):
+            mine = (F.col("pos") == check.pos) & F.col("d1").isNotNull()
+            hits = (F.count_if(mine) if check.keys is None else F.coalesce(F.sum(F.when(mine & F.col("bad"), F.col("n"))), F.lit(0)))
+            aggs += [F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)).alias(f"t{check.pos}"), hits.alias(f"h{check.pos}")]
+            cells.append(self._measured(check, F.col(f"t{check.pos}"), F.col(f"h{check.pos}")))
+        wide = self._value_judged().groupBy(*self._keys()).agg(*aggs)
+        return [wide.select(*self._keys(), F.inline(F.array(*cells)))]
+
+    def _value_samples(self, wanted: list[_ValueCheck]) -> DataFrame:
+        """(batch, pos, value): texts of the violating values of some rules, each once. Only they are looked up."""
+        # The filter involves `n`, so it stays above the grouping, whose shuffle the measures read as well.
+        mine = F.when(F.col("bad") & F.col("pos").isin([c.pos for c in wanted]), F.col("n")) > 0
+        bad = self._value_judged().filter(mine).select(*self._keys(), "pos", "d1", "d2")
+        keys = [*self._keys(), "pos", "d1", "d2"]
+        bad = bad.withColumnsRenamed({k: f"__{k}" for k in keys})
+        # Null-safe: a batch may lack a name, and no filter for nulls reaches the grouping.
+        same = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+        cells = [F.struct(F.lit(c.pos).alias("pos"), c.digest[0].alias("d1"), c.digest[1].alias("d2"), c.shown.alias("value")) for c in wanted]
+        return (self.df.select(*self._batch(), F.inline(F.array(*cells))).join(bad, same, "left_semi")
+                .groupBy(*self._keys(), "pos", "d1", "d2").agg(F.min("value").alias("value")).select(*self._keys(), "pos", "value"))
 
     def _broken_measures(self) -> list[DataFrame]:
         if not self.broken:
@@ -377,8 +416,7 @@ class CheckPlan:
 
     def measures(self) -> DataFrame:
         """(batch, pos, total, violations, metric_value, message), one row per batch and rule."""
-        frames = (self._row_measures() + self._unique_measures() + self._reference_measures()
-                  + self._broken_measures())
+        frames = self._row_measures() + self._value_measures() + self._broken_measures()
         if not frames:
             cols = ", ".join([*(["batch_id string"] if self.batch_col else []),
                               "pos int, total long, violations long, metric_value double, message string"])
@@ -402,18 +440,9 @@ class CheckPlan:
         if rows:
             cells = F.array(*[F.struct(F.lit(c.pos).alias("pos"), c.violation.alias("value")) for c in rows])
             frames.append(self.df.select(*self._batch(), F.inline(cells)).filter(F.col("value").isNotNull()))
-        # The predicates below involve `n`, so they stay above the grouping and its shuffle is the one
-        # the measures use.
-        for _, groups in self._value_groups([c for c in self.unique_checks if wanted(c)]):
-            repeated = F.when(F.col("value").isNotNull(), F.col("n")) > 1
-            frames.append(groups.filter(repeated).select(
-                *self._keys(), "pos", F.col("value").cast("string").alias("value")))
-        for check in self.ref_checks:
-            if wanted(check):
-                dtype = self.df.schema[check.rule.column].dataType
-                absent = F.when(F.col("value").isNotNull() & F.col("found").isNull(), F.col("n")) > 0
-                frames.append(self._reference_groups(check).filter(absent).select(
-                    *self._keys(), F.lit(check.pos).alias("pos"), value_text(F.col("value"), dtype).alias("value")))
+        values = [c for c in (*self.unique_checks, *self.ref_checks) if wanted(c)]
+        if values:
+            frames.append(self._value_samples(values))
         if not frames:
             cols = ", ".join([*(["batch_id string"] if self.batch_col else []),
                               "pos int, sample_violations array<string>"])
@@ -477,7 +506,12 @@ def evaluate(df: DataFrame, rules: list[Rule], *, batch_id: str | None = None,
 
 
 def run_checks(df: DataFrame, rules: list[Rule], **kwargs) -> DataFrame:
-    """Evaluate now and keep the results in the shared folder.
+    """Evaluate now and keep the results in the shared folder."""
+    return run_and_count(df, rules, **kwargs)[0]
+
+
+def run_and_count(df: DataFrame, rules: list[Rule], **kwargs) -> tuple[DataFrame, int]:
+    """`run_checks`, and the number of rows, which the checks count on the way.
 
     If a predicate fails while the job runs, each custom rule is tried alone and the
     ones that fail become ERROR rows, so one bad rule never takes the others with it.
@@ -488,14 +522,16 @@ def run_checks(df: DataFrame, rules: list[Rule], **kwargs) -> DataFrame:
         # Without a batch column there is one row per rule.
         return cut_lineage(frame) if kwargs.get("batch_col") else local_copy(frame)[0]
 
-    def attempt(chosen: list[Rule]) -> DataFrame:
-        plan = CheckPlan(df, chosen, **kwargs)
-        measured = keep(plan.measures())
+    def attempt(chosen: list[Rule]) -> tuple[DataFrame, int]:
+        plan = CheckPlan(df, chosen, count_rows=True, **kwargs)
+        everything = keep(plan.measures())
+        rows = everything.filter(F.col("pos") == ROWS).agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+        measured = everything.filter(F.col("pos") != ROWS)
         # Ids of rules, not data: only these need a second look at the rows.
         dirty = {chosen[r.pos].rule_id
                  for r in measured.filter("violations > 0").select("pos").distinct().collect()}
         samples = plan.samples(dirty) if dirty else None
-        return keep(plan.results(measured, samples, **options))
+        return keep(plan.results(measured, samples, **options)), rows
 
     try:
         return attempt(rules)
@@ -511,9 +547,9 @@ def run_checks(df: DataFrame, rules: list[Rule], **kwargs) -> DataFrame:
             failed[rule.rule_id] = _first_line(exc)
     if not failed:
         raise RuntimeError("checks failed for a reason outside the custom predicates")
-    good = attempt([r for r in rules if r.rule_id not in failed])
+    good, rows = attempt([r for r in rules if r.rule_id not in failed])
     broken = CheckPlan(df, [], **{k: v for k, v in kwargs.items()})
     broken.rules = [r for r in custom if r.rule_id in failed]
     broken.broken = [_Broken(r, i, f"Check errored: {failed[r.rule_id]}")
                      for i, r in enumerate(broken.rules)]
-    return good.unionByName(broken.results(**options))
+    return good.unionByName(broken.results(**options)), rows

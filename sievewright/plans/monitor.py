@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import adapt, gate as G, incidents as I, knowledge as K, rules as R, suggest as P
-from ..operators.checks import run_checks
+from ..operators.checks import run_and_count
 from ..operators.profile import candidate_grain, profile_table
 from ..schemas import CHECK_RESULTS, rules_from_rows
 from ..session import cut_lineage, local_copy
@@ -151,11 +151,11 @@ class Monitor:
             (F.col("table_fq_name") == table) & (F.col("status") == "active")))
         rules = rules_from_rows(rules_now)
         seq = store.next_seq(table)
-        rows = df.count()
-        results = spark.createDataFrame([], CHECK_RESULTS)
         if rules:
-            results = run_checks(df, rules, batch_id=batch_id, seq=seq, resolve=self._resolve)
+            results, rows = run_and_count(df, rules, batch_id=batch_id, seq=seq, resolve=self._resolve)
             store.append("check_results", results, key)
+        else:
+            results, rows = spark.createDataFrame([], CHECK_RESULTS), df.count()
 
         changes = self._adapt(store, results, rules_now, key, now)
         decisions, verdicts = local_copy(G.gate(results, self.error_blocks))

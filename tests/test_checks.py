@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,7 +207,38 @@ def test_measures_and_samples_share_their_shuffles(spark, tmp_path):
     assert df.count() == 6
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert final.count("ReusedExchange") >= 2
+    # Both rules share one shuffle by value, which is read twice; the second scan looks up the texts of the samples.
+    assert "ReusedExchange" in final and final.count("FileScan") == 2
+
+
+def test_all_value_rules_take_one_scan_and_no_text_is_a_key(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(900).selectExpr("id % 90 as a", "concat('name ', id % 50) as b", "cast(id % 7 as double) as c", "id").write.parquet(path)
+    refs = {"k": spark.range(80).selectExpr("id", "concat('name ', id) as name", "cast(id as decimal(20, 2)) as d")}
+    rules = [Rule(f"r{i}", "t", c, "referential", 0.0, "warn", {"ref_table": "k", "ref_column": r})
+             for i, (c, r) in enumerate((("a", "id"), ("b", "name"), ("c", "d"), ("id", "id"), ("c", "id")))]
+    rules += [Rule("u1", "t", "b", "uniqueness", 1.0), Rule("u2", "t", "id", "uniqueness", 1.0)]
+    df = evaluate(spark.read.parquet(path), rules, resolve=refs.get, samples=False)
+    got = {r.rule_id: round(r.metric_value, 4) for r in df.collect()}
+    assert got == {"r0": round(100 / 900, 4), "r1": 0.0, "r2": 0.0, "r3": round(820 / 900, 4), "r4": 0.0, "u1": round(50 / 900, 4), "u2": 1.0}
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan") == 1
+    assert all("value" not in k and "name" not in k and "b#" not in k for k in re.findall(r"Exchange hashpartitioning\((.*?)\)", final))
+
+
+def test_samples_of_all_value_rules(spark):
+    df = spark.createDataFrame([(i, f"v{i % 4}", float(i % 3), i % 2 == 0) for i in range(40)] + [(None, None, float("nan"), None)],
+                               "a int, b string, c double, d boolean")
+    rules = [Rule("a", "t", "a", "referential", 0.0, "warn", {"ref_values": list(range(30))}),
+             Rule("b", "t", "b", "referential", 0.0, "warn", {"ref_values": ["v0", "v1"]}),
+             Rule("c", "t", "c", "referential", 0.0, "warn", {"ref_values": [0, 1.0]}),
+             Rule("d", "t", "d", "referential", 0.0, "warn", {"ref_values": [True]}),
+             Rule("u", "t", "b", "uniqueness", 1.0), Rule("w", "t", "a", "uniqueness", 1.0)]
+    got = {r.rule_id: r for r in evaluate(df, rules).collect()}
+    assert got["a"].sample_violations == [str(i) for i in range(30, 40)] and got["a"].metric_value == 0.25
+    assert got["b"].sample_violations == ["v2", "v3"] and got["c"].sample_violations == ["2.0"]
+    assert got["d"].sample_violations == ["false"] and got["d"].metric_value == 0.5
+    assert got["u"].sample_violations == ["v0", "v1", "v2", "v3"] and got["w"].sample_violations == [] and got["w"].metric_value == 1.0
 
 
 BIG = 2 ** 53
