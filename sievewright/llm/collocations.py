@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, bitmap_of, bounded_batches, passes, settle, text_slices
+from .common import FILTER_BITS, SMALL_BATCH, bitmap_of, bounded_batches, passes, settle, text_slices
 from .textops import mixed
 
 LEAST = 100
@@ -21,7 +22,12 @@ NO_LANG = "und"
 FLUSH = 1 << 20
 BUCKET_ROWS = 500_000
 # Words that a task keeps codes for.
-KNOWN = 400_000
+KNOWN = 200_000
+# Pairs of words are counted in slots, one for every few words within these bounds (base-2 logarithms).
+LEAST_SLOTS, MOST_SLOTS, WORDS_A_SLOT = 20, 27, 8
+CHUNK_BITS = 16
+# Sums of so many tasks are added up at once.
+TASKS = 512
 # Prefixes are counted in so many slots; a task reports slots with LOCAL_HOT suffixes, and one with HOT of them in all is
 # dealt out by a longer prefix.
 SLOT_BITS = 20
@@ -32,7 +38,9 @@ HOT = 200_000
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 KEYS = np.random.Generator(np.random.PCG64(13)).integers(0, 2**64, LONGEST, np.uint64, endpoint=False) | np.uint64(1)
 
-COUNTED = "lang string, word string, h long, depth int, slot int, n long"
+COUNTED = "lang string, word string, h long, n long"
+PAIRED = "depth int, slot int, n long, chunk int, task int, slots binary, counts binary"
+CHUNKED = "chunk int, slots binary, counts binary"
 ROUTED = "bucket int, words binary, codes binary, counts binary"
 FOUND = "key binary, n long"
 
@@ -70,13 +78,22 @@ class Coder:
         return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
 
 
-def suffixes(codes: np.ndarray) -> list[np.ndarray]:
-    """The first LONGEST codes of each suffix of two words or more, a column each; 0 from the end of its piece on."""
+def suffixes(codes: np.ndarray, kept=None) -> list[np.ndarray]:
+    """The first LONGEST codes of each suffix of two words or more, a column each; 0 from the end of its piece on.
+
+    A suffix ends before a pair of words that is not `kept` (codes and codes after them to true or false) as well.
+    """
     padded = np.concatenate([codes, np.zeros(LONGEST, np.int32)])
-    at = np.flatnonzero((padded[:len(codes)] > 0) & (padded[1:len(codes) + 1] > 0))
-    out = [padded[at], padded[at + 1]]
+    pair = np.zeros(len(padded), bool)
+    pair[:len(codes)] = (codes > 0) & (padded[1:len(codes) + 1] > 0)
+    if kept is not None:
+        at = np.flatnonzero(pair)
+        pair[at] = kept(padded[at], padded[at + 1])
+    at = np.flatnonzero(pair)
+    out, going = [padded[at], padded[at + 1]], np.ones(len(at), bool)
     for k in range(2, LONGEST):
-        out.append(np.where(out[-1] > 0, padded[at + k], 0))
+        going = going & pair[at + k - 1]
+        out.append(np.where(going, padded[at + k], 0))
     return out
 
 
@@ -102,51 +119,114 @@ def _counted(seed: int):
         codes = np.array([c for _, _, c in pairs], np.int64)
         return pa.RecordBatch.from_arrays(
             [pa.array([x[0] for x in pairs], pa.string()), pa.array([x[1] for x in pairs], pa.binary()).cast(pa.string()),
-             pa.array(hashes[codes]), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.int32()),
-             pa.array(counts[codes])], names=["lang", "word", "h", "depth", "slot", "n"])
+             pa.array(hashes[codes]), pa.array(counts[codes])], names=["lang", "word", "h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, counts = Coder(seed), np.zeros(1, np.int64)
-        slots = np.zeros((LONGEST - 2, 1 << SLOT_BITS), np.uint32)
         for part in text_slices(batches):
             for lang, texts in by_lang(part).items():
                 codes = coder.codes(lang, texts)
                 counts = np.append(counts, np.zeros(coder.size - len(counts), np.int64))
                 counts += np.bincount(codes, minlength=coder.size)
-                columns = suffixes(codes)
-                for at, prefix in enumerate(prefix_hashes(columns, coder.all_hashes())[1:-1]):
-                    slots[at] += np.bincount((prefix >> np.uint64(64 - SLOT_BITS)).view(np.int64),
-                                             minlength=1 << SLOT_BITS).astype(np.uint32)
             if coder.size > KNOWN:
                 yield words(coder, counts)
                 coder.clear()
                 counts = np.zeros(1, np.int64)
         if coder.size > 1:
             yield words(coder, counts)
-        depth, slot = np.nonzero(slots >= LOCAL_HOT)
-        if len(slot):
-            none = pa.nulls(len(slot), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, pa.nulls(len(slot), pa.int64()), pa.array((depth + 2).astype(np.int32)),
-                 pa.array(slot.astype(np.int32)), pa.array(slots[depth, slot].astype(np.int64))],
-                names=["lang", "word", "h", "depth", "slot", "n"])
     return run
 
 
-def word_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(lang, word, h, f) of all words, the reported prefix slots (depth, slot, n), and the seed of the hashes.
+def word_counts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(lang, word, h, f) of all words, and the seed of the hashes.
 
     No two words share a hash: if they did, the texts would be read again with another seed.
     """
     for seed in range(8):
-        counted = settle(docs.mapInArrow(_counted(seed), COUNTED), "counted")
-        words = settle(counted.where("slot is null").groupBy("lang", "word").agg(F.max("h").alias("h"), F.sum("n").alias("f")),
-                       "words")
+        words = settle(docs.mapInArrow(_counted(seed), COUNTED).groupBy("lang", "word").agg(
+            F.max("h").alias("h"), F.sum("n").alias("f")), "words")
         if not words.groupBy("h").count().where("count > 1").limit(1).count():
-            return words, counted.where("slot is not null").select("depth", "slot", "n"), seed
+            return words, seed
     raise RuntimeError("word hashes collide")
 
 
+def _paired(seed: int, wanted, slot_bits: int):
+    """Suffixes of each task by the slots of their prefixes: the large ones for routing, all of those of pairs."""
+    def table(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        types = {"depth": pa.int32(), "slot": pa.int32(), "n": pa.int64(), "chunk": pa.int32(), "task": pa.int32(),
+                 "slots": pa.binary(), "counts": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()],
+                                          names=list(types))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(seed, wanted.value)
+        pairs, large = np.zeros(1 << slot_bits, np.uint8), np.zeros((LONGEST - 2, 1 << SLOT_BITS), np.uint32)
+        for part in text_slices(batches):
+            for lang, texts in by_lang(part).items():
+                prefixes = prefix_hashes(suffixes(coder.codes(lang, texts)), coder.all_hashes())
+                for at, prefix in enumerate(prefixes[1:-1]):
+                    large[at] += np.bincount((prefix >> np.uint64(64 - SLOT_BITS)).view(np.int64), minlength=1 << SLOT_BITS).astype(np.uint32)
+                slots, counts = np.unique(prefixes[1] >> np.uint64(64 - slot_bits), return_counts=True)
+                slots = slots.astype(np.int64)
+                pairs[slots] = np.minimum(pairs[slots] + counts, 255)
+            if sum(map(len, coder.known.values())) > KNOWN:
+                coder.clear()
+        depth, slot = np.nonzero(large >= LOCAL_HOT)
+        if len(slot):
+            yield table(depth=(depth + 2).astype(np.int32), slot=slot.astype(np.int32), n=large[depth, slot].astype(np.int64))
+        task = TaskContext.get().partitionId()
+        for first in range(0, len(pairs), 1 << CHUNK_BITS):
+            part = pairs[first:first + (1 << CHUNK_BITS)]
+            used = np.flatnonzero(part)
+            if len(used):
+                yield table(chunk=[first >> CHUNK_BITS], task=[task], slots=[used.astype(np.uint16).tobytes()],
+                            counts=[part[used].tobytes()])
+    return run
+
+
+def _sums(rows: pa.Table) -> np.ndarray:
+    """The sums of one chunk of slots over several tasks."""
+    total = np.zeros(1 << CHUNK_BITS, np.int64)
+    for slots, counts in zip(rows.column("slots"), rows.column("counts")):
+        total[np.frombuffer(slots.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint8)
+    return total
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    """The sums as one row; beyond 255 they stay there."""
+    total = _sums(rows)
+    used = np.flatnonzero(total)
+    return pa.table({"chunk": pa.array([rows.column("chunk")[0].as_py()], pa.int32()),
+                     "slots": pa.array([used.astype(np.uint16).tobytes()], pa.binary()),
+                     "counts": pa.array([np.minimum(total[used], 255).astype(np.uint8).tobytes()], pa.binary())})
+
+
+def _reached(least: int):
+    def bits(rows: pa.Table) -> pa.Table:
+        packed = np.packbits(_sums(rows) >= min(least, 255), bitorder="little").tobytes()
+        return pa.table({"chunk": pa.array([rows.column("chunk")[0].as_py()], pa.int32()), "bits": pa.array([packed], pa.binary())})
+    return bits
+
+
+def pair_filter(chunks: DataFrame, slot_bits: int, least: int) -> np.ndarray:
+    """Bits of the slots of pairs with `least` suffixes (or 255), one a slot: no pair that occurs so often is missed."""
+    sums = (chunks.withColumn("task", F.floor(F.col("task") / TASKS)).groupBy("chunk", "task").applyInArrow(_added, CHUNKED)
+            .groupBy("chunk").applyInArrow(_reached(least), "chunk int, bits binary"))
+    size = 1 << (CHUNK_BITS - 3)
+    out = np.zeros(1 << (slot_bits - 3), np.uint8)
+    for row in sums.toLocalIterator():
+        out[row.chunk * size:(row.chunk + 1) * size] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def kept_pairs(bits: np.ndarray, slot_bits: int, coder: Coder):
+    def kept(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        slot = (prefix_hashes([first, second], coder.all_hashes())[1] >> np.uint64(64 - slot_bits)).astype(np.int64)
+        return (bits[slot >> 3] >> (slot & 7)) & 1 == 1
+    return kept
+
+
 def hot_slots(slots: DataFrame, hot: int) -> np.ndarray:
     """Which slots of prefixes of 2 to LONGEST - 1 words hold too many suffixes for one bucket: fixed in size."""
     out = np.zeros((LONGEST - 2, 1 << SLOT_BITS), bool)
@@ -164,7 +244,7 @@ def routed_depth(prefixes: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
     return depth
 
 
-def _routed(seed: int, wanted, hot, buckets: int):
+def _routed(seed: int, wanted, pairs, slot_bits: int, hot, buckets: int):
     def send(coder: Coder, columns: list[np.ndarray]) -> pa.RecordBatch:
         hashes = coder.all_hashes()
         prefixes = prefix_hashes(columns, hashes)
@@ -194,16 +274,17 @@ def _routed(seed: int, wanted, hot, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, held, size = Coder(seed, wanted.value), [], 0
+        kept = kept_pairs(pairs.value, slot_bits, coder)
         for part in text_slices(batches):
             for lang, texts in by_lang(part).items():
-                held.append(suffixes(coder.codes(lang, texts)))
+                held.append(suffixes(coder.codes(lang, texts), kept))
                 size += len(held[-1][0])
-            if size >= FLUSH or coder.size > KNOWN:
-                if size:
-                    yield send(coder, [np.concatenate(c) for c in zip(*held)])
+            full = sum(map(len, coder.known.values())) > KNOWN
+            if size and (size >= FLUSH or full):
+                yield send(coder, [np.concatenate(c) for c in zip(*held)])
                 held, size = [], 0
-                if sum(map(len, coder.known.values())) > KNOWN:
-                    coder.clear()
+            if full:
+                coder.clear()
         if size:
             yield send(coder, [np.concatenate(c) for c in zip(*held)])
     return run
@@ -266,17 +347,20 @@ def _sorted_buckets(hot, least: int):
     return bucket
 
 
-def phrase_counts(docs: DataFrame, words: DataFrame, frequent: DataFrame, slots: DataFrame, seed: int, least: int,
+def phrase_counts(docs: DataFrame, words: DataFrame, frequent: DataFrame, seed: int, least: int,
                   bucket_rows: int = BUCKET_ROWS, hot: int = HOT) -> DataFrame:
     """(key, f) of all phrases of 2 to LONGEST words that occur `least` times; a key is the hashes of the words."""
     spark = docs.sparkSession
     total = words.agg(F.sum("f")).first()[0] or 0
+    slot_bits = min(MOST_SLOTS, max(LEAST_SLOTS, (total // WORDS_A_SLOT).bit_length()))
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_rows))
     wanted = spark.sparkContext.broadcast(bitmap_of(frequent.select(
         F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("slot"))))
-    hot_ones = spark.sparkContext.broadcast(hot_slots(slots, hot))
-    routed = docs.mapInArrow(_routed(seed, wanted, hot_ones, buckets), ROUTED)
-    found = routed.groupBy("bucket").applyInArrow(_sorted_buckets(hot_ones, least), FOUND)
+    paired = settle(docs.mapInArrow(_paired(seed, wanted, slot_bits), PAIRED), "paired")
+    large = spark.sparkContext.broadcast(hot_slots(paired.where("slot is not null"), hot))
+    pairs = spark.sparkContext.broadcast(pair_filter(paired.where("chunk is not null"), slot_bits, least))
+    routed = docs.mapInArrow(_routed(seed, wanted, pairs, slot_bits, large, buckets), ROUTED)
+    found = routed.groupBy("bucket").applyInArrow(_sorted_buckets(large, least), FOUND)
     return settle(found.groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "phrases")
 
 
@@ -304,18 +388,19 @@ def collocations(docs: DataFrame, least: int = LEAST, best: int | None = BEST, p
     Null texts are empty, a null language is `und`; repeated rows count each time; other columns are ignored; texts
     without words, and empty tables, give no rows.
 
-    Words that occur less often end a suffix, as no candidate holds them. Suffixes of up to five words are dealt out by their
-    first two words, those of frequent beginnings by more; equal ones of a task travel as one. Parts of counts that
-    lie in several buckets are added up, so no cut or limit is on the way to a count.
+    Texts are read three times. Words that occur less often, and pairs of words that do, end a suffix, as no candidate holds
+    them; both are told by filters that miss no frequent one. Suffixes of up to five words are dealt out by their first two
+    words, those of frequent beginnings by more; equal ones of a task travel as one. Parts of counts that lie in
+    several buckets are added up, so no cut or limit is on the way to a count.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, SMALL_BATCH)
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), "text")
-    words, slots, seed = word_counts(docs)
+    words, seed = word_counts(docs)
     key = F.unhex(F.lpad(F.hex("h"), 16, "0"))
     frequent = settle(words.where(F.col("f") >= least).select("lang", "word", "h", "f", key.alias("key")), "frequent")
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    phrases = phrase_counts(docs, words, frequent, slots, seed, least, bucket_rows, hot)
+    phrases = phrase_counts(docs, words, frequent, seed, least, bucket_rows, hot)
 
     m = (F.length("key") / 8).cast("int").alias("m")
     counted = phrases.select("key", m, F.col("f").alias("a"))

@@ -15,14 +15,15 @@ from ..session import scratch_path
 
 # Texts of one Arrow batch, and the part of a batch that is worked on at once.
 BATCH_BYTES = 32 << 20
+SMALL_BATCH = 8 << 20
 SLICE_BYTES = 4 << 20
 # Bits of the membership filters that are broadcast: 8 MiB, whatever the size of the input.
 FILTER_BITS = 26
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Keep Arrow batches small in bytes; rows alone say nothing about texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
