@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from operator import itemgetter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,23 +15,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.chunks import numbered
-from .common import bounded_batches, settle, text_slices, worker_cache
+from .common import SMALL_BATCH, bounded_batches, settle, text_slices, worker_cache
 
 BUCKETS = 10_000
 SEED = 42
 LEAST_WORDS = 20
 PERCENT = 5
-# Bytes of text whose distinct words make one dictionary; longer words than LONG stand in it under a short name.
+# Bytes of text that are scanned at once, and the most words of a dictionary and their greatest length.
 PART_BYTES = 1 << 20
+WORDS = 1 << 14
 LONG = 64
 # CRC-32 of the usual reflected polynomial (fixed value).
 POLYNOMIAL = 0xEDB88320
 
 # Bytes of words as they are, A-Z as a-z, all others as a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-# The end of a text, as a word of the dictionary; FOLD leaves no such byte.
+# The end of a text, as a word of the dictionary, and its payload; FOLD leaves no such byte.
 END = b"\x00"
-NAMED = b"\x01"
+MARK = 1 << 62
 
 
 def _crc_tables():
@@ -70,29 +71,54 @@ def followed(first: np.ndarray, second: np.ndarray, length: np.ndarray) -> np.nd
     return out ^ second
 
 
-def _scanned(part: bytes) -> np.ndarray:
-    """Payloads of the words of ` w w w `: CRC and, from bit 32, length; 0 where a text ends.
+class Dictionary:
+    """An Aho-Corasick automaton over the words of some text that occur there more than once, with their payloads.
 
-    The distinct words of the part, each between its delimiters, are the dictionary. Neighbours share a delimiter,
-    so the automaton reports every word once, in order.
+    Words stand between their delimiters, and neighbours share one, so the automaton reports each word it knows once, in
+    order. It is bounded in words and their length; other words are those between two reports.
     """
-    import ahocorasick
-    words = {w: zlib.crc32(w) | len(w) << 32 for w in set(part.split())}
-    if END in words:
-        words[END] = 0
-    names = {w: NAMED + b"%d" % i for i, w in enumerate(w for w in words if len(w) > LONG)}
-    if names:
-        part = re.sub(rb"[^ ]{%d,}" % (LONG + 1), lambda m: names[m[0]], part)
-    automaton = ahocorasick.Automaton()
-    for word, payload in words.items():
-        automaton.add_word(f" {names.get(word, word).decode('latin-1')} ", payload)
-    automaton.make_automaton()
-    found = automaton.iter(part.decode("latin-1")) if words else ()
-    return np.fromiter(map(itemgetter(1), found), np.int64)
+
+    def __init__(self, text: bytes):
+        import ahocorasick
+        counts = Counter(w for w in text.split() if len(w) <= LONG)
+        self.automaton = ahocorasick.Automaton()
+        self.automaton.add_word(f" {END.decode()} ", MARK)
+        for word, n in counts.most_common(WORDS):
+            if n > 1 and word != END:
+                self.automaton.add_word(f" {word.decode('latin-1')} ", payload(word))
+        self.automaton.make_automaton()
+
+    def scan(self, part: bytes) -> tuple[np.ndarray, int]:
+        """Payloads of the words of ` w w w `, MARK at the end of a text, and how many words it did not know."""
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(part.decode("latin-1"))), np.int64).reshape(-1, 2)
+        last, out = found[:, 0], found[:, 1]
+        length = np.where(out == MARK, len(END), out >> 32)
+        before = np.concatenate([[0], last])
+        after = np.append(last - length - 1, len(part) - 1)
+        words, places = [], []
+        for i in np.flatnonzero(after - before > 1).tolist():  # two delimiters side by side hold no word
+            some = part[before[i]:after[i]].split()
+            words += some
+            places += [i] * len(some)
+        return np.insert(out, places, [payload(w) for w in words]), len(words)
+
+
+def payload(word: bytes) -> int:
+    """The CRC of a word and, from bit 32, its length."""
+    return zlib.crc32(word) | len(word) << 32
+
+
+def _scanned(part: bytes) -> np.ndarray:
+    """Payloads by the dictionary of this worker; one that knows less than half of a part is built anew from it."""
+    held = worker_cache("dictionary", lambda: [Dictionary(part)])
+    out, unknown = held[0].scan(part)
+    if 2 * unknown > len(out):
+        held[0] = Dictionary(part)
+    return out
 
 
 def payloads(texts: list[bytes]) -> np.ndarray:
-    """Payloads of the words of all texts in order, each text closed by 0."""
+    """Payloads of the words of all texts in order, each text closed by MARK."""
     data = b" " + b"".join(t.translate(FOLD) + b" " + END + b" " for t in texts)
     out, start = [np.zeros(0, np.int64)], 0
     while start < len(data) - 1:
@@ -106,7 +132,7 @@ def payloads(texts: list[bytes]) -> np.ndarray:
 
 def run_buckets(found: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the runs of one, two and three words that start at each payload (3 x n), and which exist."""
-    crc, length = (found & 0xFFFFFFFF).astype(np.uint32), found >> 32
+    crc, length = (found & 0xFFFFFFFF).astype(np.uint32), np.where(found == MARK, 0, found >> 32)
     runs, there = np.zeros((3, len(found)), np.int64), np.zeros((3, len(found)), bool)
     now, exists = crc, length > 0
     for k in range(3):
@@ -138,7 +164,7 @@ def _texts(part: pa.RecordBatch) -> list[bytes]:
 
 def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """How many runs of one to three words of all texts fall into each bucket; each task sends one row a bucket."""
-    bounded_batches(texts.sparkSession)
+    bounded_batches(texts.sparkSession, SMALL_BATCH)
     sums = (texts.select("text").mapInArrow(_counted(buckets), "bucket long, n long")
             .groupBy("bucket").agg(F.sum("n").alias("n")).toArrow())
     out = np.zeros(buckets, np.int64)
@@ -164,7 +190,7 @@ def _weighed(gain, seed: int):
         for part in text_slices(batches, limit=PART_BYTES):
             found = payloads(_texts(part))
             runs, there = run_buckets(found, len(gain.value))
-            ends = np.flatnonzero(found == 0)
+            ends = np.flatnonzero(found == MARK)
             sums = lambda each: np.diff(np.cumsum(each, dtype=np.int64)[ends], prepend=0)
             weight = sums(np.where(there, gain.value[runs], 0).sum(axis=0))
             score = weight + [noise(i, seed) for i in part.column("doc_id").to_pylist()]
