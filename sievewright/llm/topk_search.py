@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.chunks import numbered
-from .common import bounded_batches, settle
+from .common import SMALL_BATCH, bounded_batches, settle
 
 K = 10
 SCALE = 1024
@@ -159,7 +159,7 @@ def top_hits(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCAL
     broadcast and one pass over the vectors; a task keeps k hits a query, and Spark merges those of all tasks.
     """
     spark = vectors.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, SMALL_BATCH)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     valid = settle(vectors.select("vec_id", "embedding", is_query.alias("query")).where(F.col("embedding").isNotNull() & finite)
                    .select("query", "vec_id", "embedding", F.monotonically_increasing_id().alias("row")), "vectors")
