@@ -20,7 +20,7 @@ KINDS = ("email", "ip", "card", "phone")
 LEAST_SEEDS = 3
 LEAST_DOCS = 3
 CONFIDENT = 0.8
-ROUNDS = 3
+ROUNDS = 6
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -37,6 +37,7 @@ LOOSE = {
     "phone": re.compile(r"(?<![0-9A-Za-z+.(-])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[\x20./-]?[0-9]{2,5}){1,4}(?![0-9A-Za-z]|[.-][0-9])"),
 }
 WORD = re.compile(r"\S{1,40}")
+LABEL = re.compile(r"(?:^|\n)[^\S\n]*([^\W\d][^\n:]{0,30}):[^\S\n]*\Z")
 
 FOUND = ("row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
          "mentions array<struct<start:int,end:int,kind:string,seed:boolean,value:string,contexts:array<string>>>")
@@ -91,10 +92,21 @@ def written(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
 
 
-def contexts(text: str, start: int) -> list[str]:
-    """Lexical patterns: the last word before a place, and the last two, in lower case with digits as 0."""
-    words = [re.sub("[0-9]", "0", w.lower()) for w in WORD.findall(text, max(0, start - 90), start)[-2:]]
-    return [" ".join(words[-n:]) for n in (1, 2) if len(words) >= n]
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """Lexical patterns of a place: the last word and the last two before it, the next word, and the label of its line.
+
+    Words are in lower case with digits as 0.
+    """
+    plain = lambda words: [re.sub("[0-9]", "0", w.lower()) for w in words]
+    before = plain(WORD.findall(text, max(0, start - 90), start)[-2:])
+    out = [" ".join(before[-n:]) + " _" for n in (1, 2) if len(before) >= n]
+    after = WORD.match(text, end + 1) if text[end:end + 1].isspace() else None
+    if after:
+        out.append("_ " + plain([after[0]])[0])
+    label = LABEL.search(text, max(0, start - 60), start)
+    if label:
+        out.append(f"{label[1].lower()}: |")
+    return out
 
 
 def mentions(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[dict]:
@@ -104,7 +116,7 @@ def mentions(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[dict]:
 
     def add(kind, a, b, seed):
         value = re.sub(r"[^a-z0-9@]", "", text[a:b].lower())
-        out.append({"start": a, "end": b, "kind": kind, "seed": seed, "value": value, "contexts": contexts(text, a)})
+        out.append({"start": a, "end": b, "kind": kind, "seed": seed, "value": value, "contexts": contexts(text, a, b)})
 
     for kind in KINDS:
         for a, b in spans[kind]:
@@ -151,19 +163,25 @@ def pattern_scores(edges: DataFrame, rounds: int = ROUNDS, least_seeds: int = LE
 
     A pattern scores the mean confidence of its instances, as if it had one more that is worth nothing. An instance
     that is a seed of the pattern's kind is worth 1, any other 1 - (1 - a)(1 - b)... over the scores of the confident
-    patterns of the kind that hold it; at first 0. Rounds alternate between the two sides; each is one aggregate.
+    patterns of the kind that hold it; at first 0. A pattern needs `least_seeds` instances that are seeds or were held
+    with confidence in the round before: so what one pattern discovers induces the next. Rounds alternate between the two
+    sides until no pattern comes or goes, `rounds` at most; each is one aggregate.
     """
     worth = edges.select("kind", "context", "value", "docs", "seed", F.col("seed").cast("double").alias("worth"))
-    good = None
+    good, before = None, None
     for number in range(rounds):
         scored = worth.groupBy("kind", "context").agg(
-            (F.sum("worth") / (F.count("*") + 1)).alias("score"), F.count(F.when(F.col("seed"), 1)).alias("seeds"),
+            (F.sum("worth") / (F.count("*") + 1)).alias("score"), F.count_if(F.col("worth") >= confident).alias("seeds"),
             F.sum("docs").alias("docs"))
         after = settle(scored.where((F.col("seeds") >= least_seeds) & (F.col("docs") >= least_docs)
                                     & (F.col("score") >= confident)).select("kind", "context", "score"), "patterns")
         if good is not None:
             discard(good)
         good = after
+        now = tuple(good.agg(F.count("*"), F.sum(F.xxhash64("kind", "context") % 1_000_000_007)).first())
+        if now == before:
+            break
+        before = now
         if number + 1 < rounds:
             held = edges.where("not seed").join(good, ["kind", "context"]).groupBy("kind", "value").agg(
                 (1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("held"))
@@ -178,17 +196,19 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     Columns: doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the spans that the exact patterns find; spans
     (kind:start:end, code points, end exclusive) of those and of the ones that learnt patterns add; n_added. Base spans
-    always stay; an added span touches none of them. Patterns are the one or two words before a seed; the graph of
-    patterns and distinct values is scored by Spark, so copies of a document count once a value. A null or empty
-    text has no spans; rows are told apart by position, so repeated rows and ids do no harm; other columns are
+    always stay; an added span touches none of them. Patterns are the one or two words before a place, the word after it
+    and the label of its line; the graph of patterns and distinct values is scored by Spark, so copies of a document count
+    once a value, and values that confident patterns hold lead to further patterns. A null or empty text has no spans; rows are told apart by position, so repeated rows and ids do no harm; other columns are
     ignored; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     found = settle(docs.select("doc_id", "text").mapInArrow(_found, FOUND), "found")
     each = found.where(F.size("mentions") > 0).select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     # A value is one instance of a pattern however often it stands there; a seed anywhere is a seed.
-    edges = settle(each.select("row", "kind", "value", "seed", F.explode("contexts").alias("context"))
-                   .groupBy("kind", "context", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("docs")), "edges")
+    edges = each.select("kind", "value", "seed", F.explode("contexts").alias("context")).groupBy("kind", "context", "value").agg(
+        F.max("seed").alias("here"), F.count("*").alias("docs"))
+    seeds = edges.groupBy("kind", "value").agg(F.max("here").alias("seed"))
+    edges = settle(edges.drop("here").join(seeds, ["kind", "value"]), "edges")
     patterns = pattern_scores(edges)
     added = (each.where("not seed").select("row", "start", "end", "kind", F.explode("contexts").alias("context"))
              .join(patterns, ["kind", "context"]).groupBy("row")

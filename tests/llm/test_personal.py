@@ -80,3 +80,54 @@ def test_scores_spread_over_the_graph(spark):
     more = {r.context: r.score for r in pii.pattern_scores(edges, rounds=3, confident=0.7).collect()}
     assert set(once) == set(more) == {"call", "ring"}
     assert more["call"] > once["call"] and more["ring"] > once["ring"]
+
+
+def planted(seeds=160, n=30, few=4):
+    """Addresses written out after words that stand before real ones, and after words that stand before those only."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijk") for _ in range(6))
+    rows, loose = [], []
+    for i in range(seeds):
+        rows.append(f"{word()} contact mail {word()}{i}@{word()}.com {word()}")
+    first = [f"{word()}{i} [at] {word()}.org" for i in range(n)]
+    second = [f"{word()}{i} (at) {word()} (dot) net" for i in range(few)]
+    for x in first:
+        rows += [f"{word()} contact mail {x} {word()}", f"{word()} you reach me via {x} {word()}"]
+        loose += [(len(rows) - 2, x), (len(rows) - 1, x)]
+    for x in second:
+        rows.append(f"{word()} you reach me via {x} {word()}")
+        loose.append((len(rows) - 1, x))
+    rows += [f"{word()} {word()} we met {word()} [at] {word()} yesterday" for _ in range(n)]
+    rows += [f"{word()} about {r.randint(10, 99)} {r.randint(100, 999)} {r.randint(1000, 9999)} points" for _ in range(n)]
+    return rows, loose
+
+
+def test_what_is_discovered_induces_patterns(spark):
+    rows, loose = planted()
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    found = {(i, rows[i][int(a):int(b)]) for i, r in got.items() for k, a, b in (s.split(":") for s in r.spans.split(",") if s)
+             if (int(a), int(b)) not in [s for x in plain(rows[i]).values() for s in x]}
+    right = len(found & set(loose))
+    assert right == len(found) and right == len(loose)  # precision and recall of what the patterns add
+    assert sum(r.n_added for r in got.values()) == len(loose)
+    for i, r in got.items():
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(plain(rows[i])[k]) for k in pii.KINDS]
+
+
+def test_a_second_round_finds_what_the_first_cannot(spark):
+    rows = [("email", "mail _", f"s{i}", True, 1) for i in range(12)] + [("email", "mail _", f"u{i}", False, 1) for i in range(2)]
+    rows += [("email", "mail _", "u2", False, 1)] + [("email", "via _", f"u{i}", False, 1) for i in range(3)]
+    rows += [("phone", "via _", f"u{i}", False, 1) for i in range(3)]
+    edges = spark.createDataFrame(rows, "kind string, context string, value string, seed boolean, docs long")
+    names = lambda n: {(r.kind, r.context) for r in pii.pattern_scores(edges, rounds=n, confident=0.5).collect()}
+    assert names(1) == {("email", "mail _")} and names(2) == names(6) == {("email", "mail _"), ("email", "via _")}
+
+
+def test_contexts():
+    text = "Phone No: 0171 555 2368, then call  desk 12 now"
+    a = text.index("0171")
+    assert pii.contexts(text, a, a + 13) == ["no: _", "phone no: _", "phone no: |"]
+    a = text.index("12")
+    assert pii.contexts(text, a, a + 2) == ["desk _", "call desk _", "_ now"]
+    assert pii.contexts("x", 0, 1) == [] and pii.contexts("\n fax:\t7", 7, 8) == ["fax: _", "fax: |"]
