@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.coerce import na_to_null
 from ..operators.checks import field
 from .base import Source, hadoop_path
+from .records import records
 
 EXTENSIONS = (".csv", ".json", ".jsonl", ".parquet", ".tsv")
 
@@ -39,18 +40,39 @@ def _inferred_types(texts: DataFrame) -> T.StructType:
     return T.StructType(fields)
 
 
+def _split_bytes(spark: SparkSession) -> int:
+    return spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+
+def _largest_file(spark: SparkSession, path: str) -> int:
+    fs, root = hadoop_path(spark, path)
+    statuses = fs.listStatus(root) if fs.exists(root) and fs.getFileStatus(root).isDirectory() else (fs.globStatus(root) or ())
+    return max((status.getLen() for status in statuses if status.isFile()), default=0)
+
+
+def _parsed(found: DataFrame, columns: list[str], sep: str) -> DataFrame:
+    """Records as columns of text; the first one of each file is its header, empty lines are none."""
+    schema = ", ".join("`" + c.replace("`", "``") + "` string" for c in columns)
+    rows = found.where(~((F.col("block") == 0) & (F.col("at") == 0)) & (F.col("text") != ""))
+    return rows.select(F.from_csv("text", schema, {"sep": sep, "escape": '"', "mode": "PERMISSIVE"}).alias("row")).select(
+        *[F.col("row").getField(c).alias(c) for c in columns])
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None,
                    multiline: bool = True) -> DataFrame:
     """Header row, quoted by doubled quotes, missing-value words as NULL.
 
     Without a schema types are inferred after the missing-value words are gone. Quoted fields may hold line
-    breaks; `multiline=False` says that none does, so that Spark can split large files.
+    breaks; files of more than one split are cut into records by many tasks all the same (`records`).
+    `multiline=False` says that no field does.
     """
     reader = (spark.read.option("header", True).option("sep", sep).option("escape", '"')
               .option("multiLine", multiline))
     if schema is not None:
         reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]))
     raw = reader.csv(path)
+    if multiline and _largest_file(spark, path) > _split_bytes(spark):
+        raw = _parsed(records(spark, path, sep), raw.columns, sep)
     texts = raw.select(*[na_to_null(field(c)).alias(c) for c in raw.columns])
     typed = schema if schema is not None else _inferred_types(texts)
     return texts.select(*[
