@@ -9,7 +9,7 @@ from ...operators.gate import is_problem
 from ...session import cut_lineage
 from .checks import _PROBLEM, _WORST, monthly_results, oracle as results_oracle
 from .knowledge import notes, NOTES
-from .profiles import oracle as profile_oracle, proposal_columns, profiles
+from .profiles import ALL_PROPOSED, oracle as profile_oracle, proposal_columns, profiles
 from .registry import over, query, table, with_views
 
 # An answer per order: valid and invalid items in between prose.
@@ -171,18 +171,25 @@ def ticket_prompts(spark, sf_dir):
     return P.ticket_prompts(monthly_results(spark, sf_dir).filter(is_problem())).select("id", "prompt")
 
 
+# Every candidate as JSON, in the order of columns and of rule types.
+_CANDIDATES = f"""select c.table_fq_name, '[' || string_agg('{{"table":"' || c.table_fq_name || '","column":"' || c."column" || '","rule_type":"' || rule_type
+      || '","threshold":' || threshold || ',"severity":"' || severity || '","rationale":"' || rationale || '"}}', ','
+      order by position, list_position(['completeness', 'uniqueness', 'range', 'pattern'], rule_type)) || ']' as candidates
+    from ({ALL_PROPOSED}) c join profile p on p.table_fq_name = c.table_fq_name and p."column" = c."column" group by 1"""
+
+
 @query("suggestion_prompts", profile_oracle(f"""
     select id, 'Propose data quality rules for this table.' || chr(10) || chr(10) || 'DATA PROFILE:' || chr(10) || 'Table: ' || id || ' (' || n || ' rows)' || chr(10)
-      || lines || chr(10) || chr(10) || 'BUSINESS KNOWLEDGE:' || chr(10) || '(no business knowledge documents on file for this table)' as head from (
+      || lines || chr(10) || chr(10) || 'BUSINESS KNOWLEDGE:' || chr(10) || '(no business knowledge documents on file for this table)' || chr(10) || chr(10)
+      || 'STATISTICAL BASELINE CANDIDATES:' || chr(10) || candidates || chr(10) as prompt from (
       select table_fq_name as id, max(row_count) as n, string_agg('- ' || "column" || ' (' || case "column" when 'p_size' then 'int'
           when 'p_partkey' then 'bigint' when 'p_retailprice' then 'double' else 'string' end || '): null_rate=' || printf('%.2f%%', null_rate * 100)
           || ', distinct_rate=' || printf('%.2f%%', distinct_rate * 100) || ', pattern=' || coalesce(inferred_pattern, 'None')
           || ', candidate_key=' || case when is_candidate_key then 'True' else 'False' end, chr(10) order by position) as lines
-      from profile group by 1)""", ["part"]))
+      from profile group by 1) join ({_CANDIDATES}) on table_fq_name = id""", ["part"]))
 def suggestion_prompts(spark, sf_dir):
-    profile = cut_lineage(profiles(spark, sf_dir, ["part"]))
-    prompts = P.suggestion_prompts(profile, notes(spark, sf_dir), P.baseline_rules(profile))
-    return prompts.select("id", F.substring_index("prompt", "\n\nSTATISTICAL BASELINE", 1).alias("head"))
+    profile = profiles(spark, sf_dir, ["part"])
+    return P.suggestion_prompts(profile, notes(spark, sf_dir), P.baseline_rules(profile)).select("id", "prompt")
 
 
 RCA_ANSWERS = [("rule type: freshness", "Nothing arrived lately.\nConfidence: 80\nAction: rerun the load"),
