@@ -149,18 +149,29 @@ _LINES = """coalesce((select string_agg('- ' || title || ': ' || content, chr(10
     where n.table_fq_name = {t}), '(no business knowledge documents on file for this table)')"""
 
 
+# Threshold changes of some of the rules, more than a prompt shows for each; the text is valid in both engines.
+HISTORY = """select case n_nationkey % 3 when 0 then 'r06' when 1 then 'r03' else 'r07' end as rule_id,
+    cast(n_nationkey as double) / 2 as old_threshold, cast(n_nationkey as double) / 4 as new_threshold, cast(n_nationkey as double) as changed_at,
+    n_name as reason, n_nationkey % 2 = 0 as auto_adjusted, n_nationkey % 2 = 1 as required_reapproval from nation"""
+_CHANGES = """coalesce((select string_agg('- ' || changed_at || ': ' || old_threshold || ' -> ' || new_threshold || ' (' || reason || ')', chr(10)
+      order by changed_at) from (select *, row_number() over (partition by rule_id order by changed_at desc) as age from history) h
+    where h.rule_id = w.rule_id and age <= 5), '(no threshold history)')"""
+
+
+def _recent(spark, sf_dir):
+    return A.recent_history(over(spark, HISTORY, "nation", table(spark, sf_dir, "nation")))
+
+
 @query("build_prompts", results_oracle(f"""
     select table_fq_name || '|' || batch_id as id, 'A data quality check failed.' || chr(10) || chr(10) || 'Table: ' || table_fq_name || chr(10)
       || 'Column: ' || coalesce("column", 'None') || chr(10) || 'Rule type: ' || rule_type || chr(10) || 'Status: ' || status || chr(10)
       || 'Metric value: ' || metric_value || chr(10) || 'Threshold: ' || threshold || chr(10) || 'Message: ' || message || chr(10) || chr(10)
       || 'BUSINESS KNOWLEDGE:' || chr(10) || {_LINES.format(t="w.table_fq_name")} || chr(10) || chr(10)
-      || 'RECENT THRESHOLD HISTORY:' || chr(10) || '(no threshold history)' || chr(10) as prompt
-    from w""", w=_WORST, notes=NOTES))
+      || 'RECENT THRESHOLD HISTORY:' || chr(10) || {_CHANGES} || chr(10) as prompt
+    from w""", w=_WORST, notes=NOTES, history=HISTORY))
 def build_prompts(spark, sf_dir):
-    from ...schemas import THRESHOLD_HISTORY
     worst = I.worst_result(monthly_results(spark, sf_dir))
-    recent = A.recent_history(spark.createDataFrame([], THRESHOLD_HISTORY))
-    return P.rca_prompts(worst, notes(spark, sf_dir), recent).select("id", "prompt")
+    return P.rca_prompts(worst, notes(spark, sf_dir), _recent(spark, sf_dir)).select("id", "prompt")
 
 
 @query("ticket_prompts", results_oracle(f"""
@@ -202,7 +213,5 @@ RCA_ANSWERS = [("rule type: freshness", "Nothing arrived lately.\nConfidence: 80
       case rule_type when 'freshness' then 0.8::double when 'referential' then 0.7::double else 0.5::double end as confidence,
       case rule_type when 'freshness' then 'rerun the load' when 'referential' then 'load customers first' else '' end as suggested_action from w""", w=_WORST))
 def explain_failure(spark, sf_dir):
-    from ...schemas import THRESHOLD_HISTORY
     worst = I.worst_result(monthly_results(spark, sf_dir))
-    recent = A.recent_history(spark.createDataFrame([], THRESHOLD_HISTORY))
-    return P.explain_failures(worst, notes(spark, sf_dir), recent, lambda p: P.canned_responses(p, RCA_ANSWERS))
+    return P.explain_failures(worst, notes(spark, sf_dir), _recent(spark, sf_dir), lambda p: P.canned_responses(p, RCA_ANSWERS))
