@@ -24,7 +24,9 @@ BUNDLE = 16
 END_ID = 2
 # The linear program stops when no pattern is worth more than this (1: optimal).
 WORTH = 1.0002
-REMEMBERED = 1_000_000
+# Bytes of the codes that a worker remembers, with so many for each entry itself; longer chunks than KEEP are not kept.
+REMEMBERED = 192 << 20
+ENTRY = 160
 KEEP = 64
 # Signs that may follow a word without joining it (fixed values; no apostrophe, which starts contractions).
 SIGNS = ".,;:!?)#$%&*|"
@@ -45,6 +47,7 @@ class ChunkCodes:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = 0
 
     def _new(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """Codes of chunks that are not known; short ones are remembered."""
@@ -58,10 +61,14 @@ class ChunkCodes:
         fresh = {t: struct.pack(f"<{len(ids)}I", *ids) for t, ids in zip(texts, [c.ids for c in coded])}
         code = lambda p: fresh[p] if p in fresh else self.parts[p]
         found = {chunk: code(word) + code(tail) for chunk, (word, tail) in cut.items()}
+        if self.held > REMEMBERED:
+            self.known.clear()
+            self.parts.clear()
+            self.held = 0
         for known, some in ((self.known, found), (self.parts, fresh)):
-            if len(known) > REMEMBERED:
-                known.clear()
-            known.update((k, ids) for k, ids in some.items() if len(k) <= KEEP)
+            kept = {k: ids for k, ids in some.items() if len(k) <= KEEP}
+            known.update(kept)
+            self.held += sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY * len(kept)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -268,8 +275,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, step: i
     One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A document is its ids and
     the end id; a null or empty text is the end id alone. Documents longer than a sequence are cut into full ones
     and a rest. Lengths, exact up to SHORT steps and in steps of `step` tokens above, form a histogram, the only thing
-    the driver sees; short pieces are planned in bundles, which keeps capacity / step classes; the patterns planned over it are dealt to the pieces by their rank in their class. Ranks
-    come from counts by task, so no class passes through one task. Repeated rows and ids are packed as they come;
+    the driver sees; short pieces are planned in bundles, which keeps capacity / step classes; the patterns planned over it
+    are dealt to the pieces by their rank in their class. Ranks come from counts by task, so no class passes through one
+    task. Repeated rows and ids are packed as they come;
     other columns are ignored; an empty table gives no rows. `tokenizer_path` must exist on every executor.
     """
     spark = docs.sparkSession
