@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..session import scratch_path
 
 # Texts of one Arrow batch, and the part of a batch that is worked on at once.
@@ -39,6 +40,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_mark() -> int:
+    """A place in the list of scratch folders, for `discard_since`."""
+    return len(session._SCRATCH)
+
+
+def discard_since(mark: int, *kept: DataFrame) -> None:
+    """Delete the scratch folders made since the mark but for those of the kept tables."""
+    spark = kept[0].sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    names = {f.rsplit("/", 2)[-2] for df in kept for f in df.inputFiles()}
+    for folder in session._SCRATCH[mark:]:
+        if folder.rsplit("/", 1)[-1] not in names:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a settled table that nothing reads any more."""
     jvm = df.sparkSession._jvm

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard_since, scratch_mark, settle
 
 # A line on so many sites is boilerplate.
 MIN_SITES = 6
@@ -127,6 +127,7 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     Rows without such a line go straight through, told by a bitmap of those lines; only the others are shuffled.
     """
     wide = boilerplate_lines(docs, min_sites)
+    mark = scratch_mark()
     bitmap, bits = line_filter(wide)
     there = docs.select(F.struct("*").alias("row"), F.col("text"), F.col("source").cast("string").alias("site"), bitmap.scalar().alias("bits"))
     some = F.exists(text_lines(), lambda x: possible(x, F.col("bits"), bits))
@@ -142,6 +143,7 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     counted = independent_sites(keyed)
     boilerplate = settle(hits.join(counted.hint("merge"), "id").select(*KEY, "site").distinct().groupBy(*KEY)
                          .agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select(*KEY), "boilerplate")
+    discard_since(mark, pages, hits, boilerplate)
 
     cuts = hits.join(boilerplate, KEY, "left_semi").groupBy("id").agg(F.collect_set(F.struct(*KEY)).alias("cuts"))
     both = pages.select("row", "text", "id").join(cuts.hint("merge"), "id", "left").withColumn("lines", F.transform(

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, bounded_batches, discard, passes, settle, slot_of, text_slices, worker_cache
+from .common import (bitmap_of, bounded_batches, discard, discard_since, passes, scratch_mark, settle, slot_of, text_slices,
+                     worker_cache)
 from .components import connected_components
 from .textops import mixed, shingle_sets
 
@@ -227,6 +228,7 @@ def link_classes(docs: DataFrame, reps: DataFrame) -> DataFrame:
     shingles first, which loses no link; what is still larger goes star by star, HUBS new hubs a bucket and round, until
     nothing is left. So no round lists more pairs than a fixed multiple of its rows, and there is no limit on partners.
     """
+    mark = scratch_mark()
     members = reps.select(F.explode("bands").alias("key"), "rep", "n", F.col("n").alias("most"))
     shared = (members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
               .where("low < high").select("key"))
@@ -253,12 +255,29 @@ def link_classes(docs: DataFrame, reps: DataFrame) -> DataFrame:
         discard(members)
         members, divided = settle(left, "buckets"), True
         if more.limit(1).count():
-            links = settle(links.unionByName(more), "links")
-            labels = settle(connected_components(links), "labels")
+            labels = _relabelled(labels, more)
+        discard(more)
         discard(rest)
+    discard_since(mark, labels)
     return labels
 
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) with further links (u, v): only those between two components are contracted."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    joined = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(
+        F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v"))
+    merged = settle(connected_components(joined).withColumnsRenamed({"node": "of", "component": "least"}), "merged")
+    known = labels.join(merged, F.col("component") == F.col("of"), "left").select(
+        "node", F.coalesce("least", "component").alias("component"))
+    new = merged.join(labels, F.col("of") == F.col("node"), "left_anti").select(
+        F.col("of").alias("node"), F.col("least").alias("component"))
+    after = settle(known.unionByName(new), "labels")
+    discard(merged)
+    discard(labels)
+    return after
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs` (doc_id, text).
 
@@ -280,3 +299,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One row of `docs` (doc_id, text, more) of each group of near duplicates, the one of least doc_id, with its columns.
+
+    Every row counts on its own, whatever its doc_id: of rows that share an id, or have none, those with similar texts
+    are near duplicates of each other like any others; an id goes before none, ties to the first row. Rows without
+    words (null, empty or blank texts) are linked with nothing and stay. An empty table gives no rows.
+    """
+    # Rows get their numbers once and keep them in a table: scans on another number of executors may deal them otherwise.
+    rows = settle(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at")), "rows")
+    mark = scratch_mark()
+    classes = near_duplicates(rows.select(F.col("at").alias("doc_id"), "row.text")).select(
+        F.col("doc_id").alias("at"), F.col("component_id").alias("component"))
+    several = classes.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    members = settle(classes.join(several, "component"), "members")
+    # One plan at every size: what is dropped grows with the table, so neither side is broadcast.
+    named = members.join(rows.select("at", F.col("row.doc_id").alias("id")).hint("merge"), "at")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "at")
+    stays = named.groupBy("component").agg(F.min(order)["at"].alias("stays"))
+    dropped = settle(members.join(stays, "component").where("at <> stays").select("at"), "dropped")
+    discard_since(mark, dropped)
+    return rows.join(dropped.hint("merge"), "at", "left_anti").select("row.*")

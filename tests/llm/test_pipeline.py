@@ -26,6 +26,21 @@ def run_stages(spark, docs):
     return tables
 
 
+def check_unique(given, kept):
+    """One row of each component of rows, one of least id; rows without words stay."""
+    component = brute_components([(i, r[1]) for i, r in enumerate(given)])
+    groups = {}
+    for i, r in enumerate(given):
+        groups.setdefault(component[i], []).append(r)
+    least = lambda g: min((r[0] is None, r[0] or 0) for r in g)
+    left = Counter(kept)
+    for g in groups.values():
+        some = [r for r in g if (r[0] is None, r[0] or 0) == least(g) and left[r]]
+        assert some, g
+        left[some[0]] -= 1
+    assert not +left
+
+
 def check_stages(tables):
     given, ruled, lined, unique, mixed, packed = tables
     rows = lambda t: [tuple(r) for r in t.select(*COLUMNS).collect()]
@@ -33,8 +48,7 @@ def check_stages(tables):
     want = plain_lines([(r[0], r[1], r[3]) for r in rows(ruled)], line_dedup.MIN_SITES)
     assert Counter((r[0], r[1]) for r in rows(lined)) == Counter((w[0], w[3]) for w in want)
     assert all(r[4] == len(r[1]) for r in rows(lined) if r[1] is not None and r[4] is not None)
-    component = brute_components([(r[0], r[1]) for r in rows(lined) if r[0] is not None])
-    assert Counter(rows(unique)) == Counter(r for r in rows(lined) if r[0] is None or component[r[0]] == r[0])
+    check_unique(rows(lined), rows(unique))
     plan = mixing.mix_plan(unique)
     check_mix(*(t.collect() for t in plan))
     assert set(rows(mixed)) <= set(rows(unique)) and max(Counter(rows(mixed)).values(), default=0) <= 3 * max(
@@ -62,3 +76,12 @@ def test_run_is_the_stages(spark):
     whole = corpus_pipeline.run(spark, sf)
     assert Counter(map(tuple, whole.select("doc_id", "start", "ids_crc32").collect())) == Counter(
         map(tuple, run_stages(spark, spark.read.parquet(f"{sf}/documents.parquet"))[-1].select("doc_id", "start", "ids_crc32").collect()))
+
+
+def test_repeated_rows_and_rows_without_an_id(spark):
+    text = "one text of more than five words that stands in several rows"
+    rows = [(1, text), (1, text), (None, text), (None, text), (2, text), (None, "another text without an id of its own"),
+            (5, "a short one"), (5, "quite another text under the same id as that"), (None, None), (None, None), (7, " ")]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), "/nowhere").collect()]
+    assert Counter(got) == Counter([(1, text)] + rows[5:])
