@@ -31,10 +31,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of least id; documents without an id stay."""
-    dropped = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    # One plan at every size: the dropped ids grow with the table, so neither side is broadcast.
-    return docs.join(settle(dropped, "dropped").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates, the one of least id; repeated rows and rows without an id take part."""
+    return minhash.distinct_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
