@@ -16,8 +16,8 @@ def tokens(text: Column) -> Column:
 
 
 def term_bucket(term: Column) -> Column:
-    """Bucket 0..4095 of a term."""
-    return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % BUCKETS).cast("int")
+    """Bucket 0..4095 of a term: its first 32 bits of MD5 modulo 4096, which are three hexadecimal digits of them."""
+    return F.conv(F.substring(F.md5(term), 6, 3), 16, 10).cast("int")
 
 
 def strip(text: Column) -> Column:

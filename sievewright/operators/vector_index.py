@@ -18,14 +18,12 @@ from ..session import cut_lineage
 from .vectors import SCORE_DIGITS, top_hits, vectors
 
 PARTS = 64
-# A bucket is frequent if it has this share of the texts of the most frequent one; it decides the order of work only.
+# A bucket is frequent if it has this share of the texts of the most frequent one; frequent buckets are salted.
 FREQUENT = 1 / 8
-# Postings of one bucket that meet in one task at most, about.
+# Postings of one frequent bucket that meet in one task at most, about, where queries are too many to be broadcast.
 SALT_ROWS = 200_000
-# Texts per query, in multiples of k, that are scored in full first to find the least score worth looking for.
-SEEDS = 4
-# Scores are compared after rounding: bounds keep what could still round up to the least score.
-SLACK = 10.0 ** (1 - SCORE_DIGITS)
+# One text in so many is scored first, for a bound.
+PILOT = 64
 
 NO_BUCKET = -1
 
@@ -121,61 +119,25 @@ class VectorIndex:
 def best_matches(postings: DataFrame, sizes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best texts of each query by cosine, ties to the lesser doc_id; exact.
 
-    Query postings (query_id, bucket, tf, norm) meet those of the texts bucket by bucket, both as Spark tables. Rare
-    buckets are joined first. What the frequent ones may add to a pair is at most the product of the lengths of the two
-    vectors there, and only pairs that could reach the k-th best score get it computed. Texts that share frequent buckets
-    alone are looked up where that product could be enough. Postings of a bucket are salted by their number.
+    Postings of buckets that are asked for are dealt out by text, so a text meets all queries in one task and its products
+    with them are added up there. One text in PILOT is scored first: the k-th best score among those is a bound that the
+    k-th best of all cannot fall below, and no pair below it is ranked.
     """
-    sizes = sizes.withColumn("frequent", F.col("df") >= FREQUENT * F.max("df").over(Window.partitionBy(F.lit(0))))
-    sizes = F.broadcast(cut_lineage(sizes))  # at most BUCKETS rows
-    salts = F.greatest(F.ceil(F.col("df") / SALT_ROWS), F.lit(1)).cast("int")
-    asked = cut_lineage(asked.join(sizes, "bucket").select(
-        "query_id", "bucket", F.col("tf").alias("q_tf"), F.col("norm").alias("q_norm"), "df", "frequent", salts.alias("salts")))
-    postings = postings.join(sizes, "bucket").select(
-        "doc_id", "bucket", "tf", "norm", "frequent", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"))
-    rare, common = postings.where("not frequent"), postings.where("frequent")
-
-    def spread(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-
-    def share(frame: DataFrame, keys: list[str], tf: str, norm: str, name: str) -> DataFrame:
-        """Length of the part of each unit vector that lies in these buckets."""
-        return frame.groupBy(*keys).agg((F.sqrt(F.sum((F.col(tf) * F.col(tf)).cast("double"))) / F.first(norm)).alias(name))
-
-    q_common = share(asked.where("frequent"), ["query_id"], "q_tf", "q_norm", "q_share")
-    d_common = cut_lineage(share(common, ["doc_id"], "tf", "norm", "d_share"))
-    both = (spread(asked.where("not frequent")).join(rare.drop("frequent"), ["bucket", "salt"])
-            .groupBy("query_id", "doc_id").agg(F.sum(F.col("q_tf") * F.col("tf")).alias("dot"),
-                                               F.first("q_norm").alias("q_norm"), F.first("norm").alias("norm"))
-            .join(q_common, "query_id", "left").join(d_common, "doc_id", "left"))
-    partial = F.col("dot") / (F.col("q_norm") * F.col("norm"))
-    most = partial + F.coalesce(F.col("q_share") * F.col("d_share"), F.lit(0.0))
-    pairs = cut_lineage(both.select("query_id", "doc_id", "dot", "q_norm", "norm", most.alias("most")))
-
-    def full(some: DataFrame) -> DataFrame:
-        """The pairs (query_id, doc_id, dot, q_norm, norm) with their scores."""
-        more = (some.select("query_id", "doc_id").join(common.select("doc_id", "bucket", "tf"), "doc_id")
-                .join(asked.where("frequent").select("query_id", "bucket", "q_tf"), ["query_id", "bucket"])
-                .groupBy("query_id", "doc_id").agg(F.sum(F.col("q_tf") * F.col("tf")).alias("more")))
-        dot = F.col("dot") + F.coalesce("more", F.lit(0))
-        return some.join(more, ["query_id", "doc_id"], "left").select(
-            "query_id", "doc_id", F.round(dot / (F.col("q_norm") * F.col("norm")), SCORE_DIGITS).alias("score"))
-
-    order = Window.partitionBy("query_id").orderBy(F.desc("most"), "doc_id")
-    seeds = pairs.withColumn("at", F.row_number().over(order)).where(F.col("at") <= SEEDS * k).drop("at")
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    least = cut_lineage(full(seeds).withColumn("at", F.row_number().over(by_score)).where(F.col("at") == k)
-                        .select("query_id", F.col("score").alias("least")))
-    worth = pairs.join(least, "query_id", "left").where(F.col("most") >= F.coalesce("least", F.lit(0.0)) - SLACK)
-    found = full(worth.drop("least", "most"))
-
-    # Frequent buckets of a query that can matter alone: those before the rest of it is shorter than the least score.
-    rest = Window.partitionBy("query_id").orderBy("df", "bucket").rowsBetween(0, Window.unboundedFollowing)
-    reach = F.sqrt(F.sum((F.col("q_tf") * F.col("q_tf")).cast("double")).over(rest)) / F.col("q_norm")
-    needed = F.coalesce("least", F.lit(0.0)) - SLACK
-    alone = (asked.where("frequent").withColumn("reach", reach).join(least, "query_id", "left").where(F.col("reach") >= needed))
-    alone = (spread(alone).join(common.drop("frequent", "tf"), ["bucket", "salt"]).join(q_common, "query_id").join(d_common, "doc_id")
-             .where(F.col("q_share") * F.col("d_share") >= needed)
-             .select("query_id", "doc_id", F.lit(0).cast("long").alias("dot"), "q_norm", "norm").distinct()
-             .join(pairs.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"))
-    return top_hits(found.unionByName(full(cut_lineage(alone))), k)
+    frequent = F.col("df") >= FREQUENT * F.max("df").over(Window.partitionBy(F.lit(0)))
+    salts = F.when(frequent, F.greatest(F.ceil(F.col("df") / SALT_ROWS), F.lit(1))).otherwise(1).cast("int")
+    sizes = F.broadcast(cut_lineage(sizes.select("bucket", salts.alias("salts"))))  # at most BUCKETS rows
+    asked = asked.select("query_id", "bucket", F.col("tf").alias("q_tf"), F.col("norm").alias("q_norm")).join(sizes, "bucket")
+    asked = cut_lineage(asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"))
+    wanted = F.broadcast(cut_lineage(asked.groupBy("bucket").agg((F.max("salt") + 1).alias("salts"))))  # at most BUCKETS rows
+    postings = postings.select("doc_id", "bucket", "tf", "norm").join(wanted, "bucket").withColumn(
+        "salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).drop("salts")
+
+    def scored(some: DataFrame) -> DataFrame:
+        met = some.repartition("doc_id").join(asked, ["bucket", "salt"]).groupBy("query_id", "doc_id").agg(
+            F.sum(F.col("q_tf") * F.col("tf")).alias("dot"), F.first("q_norm").alias("q_norm"), F.first("norm").alias("norm"))
+        return met.select("query_id", "doc_id", F.round(F.col("dot") / (F.col("q_norm") * F.col("norm")), SCORE_DIGITS).alias("score"))
+
+    pilot = top_hits(scored(postings.where(F.pmod(F.xxhash64(F.lit("pilot"), "doc_id"), F.lit(PILOT)) == 0)), k)
+    least = cut_lineage(pilot.where(F.col("rank") == k).select("query_id", F.col("score").alias("least")))
+    worth = scored(postings).join(least, "query_id", "left").where(F.col("score") >= F.coalesce("least", F.lit(0.0)))
+    return top_hits(worth.drop("least"), k)

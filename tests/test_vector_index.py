@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -123,6 +124,24 @@ def test_search_stays_in_the_jvm(spark, tmp_path):
     assert not any(x in plan for x in ("Python", "Pandas", "InArrow", "Cartesian", "NestedLoop"))
 
 
+def test_pairs_are_added_up_where_the_text_is(spark, tmp_path):
+    """Postings are dealt out by text once; products of pairs are not dealt out, nor are postings joined by text."""
+    index = K.VectorIndex(spark, str(tmp_path / "index"), parts=4)
+    index.build(frame(spark, texts(3, 30)))
+    plan = index.search(frame(spark, ASKED, "query_id"), 3)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any(re.search(r"doc_id#\d+L? (=|<=>) ", line) for line in joins)
+
+
+def test_bound_from_some_texts(spark, tmp_path, monkeypatch, buckets):
+    docs = texts(4, 200)
+    index = K.VectorIndex(spark, str(tmp_path / "index"), parts=4)
+    index.build(frame(spark, docs))
+    for pilot in (1, 3, 10_000):
+        monkeypatch.setattr(V, "PILOT", pilot)
+        assert found(index, frame(spark, ASKED, "query_id"), 5) == brute(docs, ASKED, buckets, 5)
+
+
 def test_notes_by_a_kept_index(spark, tmp_path):
     notes = spark.createDataFrame(
         [("d1", "src.orders", "Amount rules", "Order amount may be negative for refunds."), ("d2", "src.orders", "Timezone", "All dates are UTC."),
