@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..operators import adapt, gate as G, incidents as I, knowledge as K, rules as R, suggest as P
 from ..operators.checks import run_and_count
@@ -25,7 +25,10 @@ Answerer = Callable[[DataFrame], DataFrame]
 
 @dataclass
 class BatchReport:
-    """What one batch led to; the frames are small and already computed."""
+    """What one batch led to, or a micro-batch of many; the frames are small and already computed.
+
+    For many batches `decision` is the gravest, `gate` has that of each.
+    """
 
     table_fq_name: str
     batch_id: str
@@ -38,6 +41,12 @@ class BatchReport:
     quarantined_rows: int = 0
 
 
+def _written_copy(df: DataFrame) -> tuple[DataFrame, int]:
+    """As `local_copy`, for frames that grow with the number of batches: they stay in the shared folder."""
+    kept = cut_lineage(df)
+    return kept, kept.count()
+
+
 class Monitor:
     def __init__(self, source: Source, store: StateStore, quarantine_root: str,
                  answer: Answerer = P.canned_responses, error_blocks: bool = False,
@@ -113,8 +122,11 @@ class Monitor:
 
     def run_stream(self, table: str, stream: DataFrame, checkpoint: str, query: str = "stream",
                    max_batches: int | None = None,
-                   on_report: Callable[[BatchReport], None] | None = None) -> int:
-        """The same step on every micro-batch; rules are read anew each time. Returns the batches processed.
+                   on_report: Callable[[BatchReport], None] | None = None, batch_col: str | None = None) -> int:
+        """The same step on every micro-batch; rules are read anew each time. Returns the micro-batches processed.
+
+        With `batch_col` each value of that column is a batch of its own, with its own results, decision, quarantine folder
+        and commit, however many of them a micro-batch holds; thresholds move once a micro-batch, after all its batches.
 
         A batch is known by its table, its id and the id that Spark keeps in the checkpoint: another stream, or the
         same one from a new checkpoint, is never taken for a replay. A replayed batch is not processed or counted.
@@ -129,7 +141,7 @@ class Monitor:
             # The checks pass over a micro-batch several times; the source is read once.
             kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
             try:
-                report = self._process(fq, kept, batch_id, batch_key(fq, batch_id, stream_id), store)
+                report = self._process(fq, kept, batch_id, batch_key(fq, batch_id, stream_id), store, batch_col)
             finally:
                 kept.unpersist()
             if on_report:
@@ -141,32 +153,54 @@ class Monitor:
     def _resolve(self, table: str) -> DataFrame:
         return self.source.table(table)
 
-    def _process(self, table: str, df: DataFrame, batch_id: str, key: str, store: StateStore) -> BatchReport:
+    def _process(self, table: str, df: DataFrame, batch_id: str, key: str, store: StateStore,
+                 batch_col: str | None = None) -> BatchReport:
         """Check, adapt, gate, report. What the checks return is one row per rule, kept as local rows.
 
-        `key` names the epochs of the batch in every log.
+        `key` names the epochs of the batch in every log. With `batch_col` there are many batches, whose ids begin with
+        `batch_id`; all have the same key, and what is one row per rule and batch is kept in the shared folder.
         """
+        keep = _written_copy if batch_col else local_copy
         spark, now = df.sparkSession, self.clock()
         rules_now, _ = local_copy(store.rules(before=key).filter(
             (F.col("table_fq_name") == table) & (F.col("status") == "active")))
         rules = rules_from_rows(rules_now)
-        seq = store.next_seq(table)
-        if rules:
+        seq, batches = store.next_seq(table), None
+        if batch_col:
+            df = df.withColumns({"batch_id": F.concat_ws("_", F.lit(batch_id), F.col(batch_col).cast("string")), "__at": F.col(batch_col)})
+            found = df.groupBy("batch_id").agg(F.min("__at").alias("at"), F.count(F.lit(1)).alias("row_count"))
+            # One row a batch.
+            place = F.row_number().over(Window.orderBy("at", "batch_id")) - 1
+            batches, df = cut_lineage(found.select("batch_id", (place + F.lit(seq)).cast("long").alias("seq"), "row_count")), df.drop("__at")
+        if rules and batch_col:
+            results, rows = run_and_count(df, rules, batch_col="batch_id", resolve=self._resolve)
+            results = cut_lineage(results.drop("seq").join(batches.select("batch_id", "seq"), "batch_id").select(*results.columns))
+            store.append("check_results", results, key)
+        elif rules:
             results, rows = run_and_count(df, rules, batch_id=batch_id, seq=seq, resolve=self._resolve)
             store.append("check_results", results, key)
         else:
             results, rows = spark.createDataFrame([], CHECK_RESULTS), df.count()
 
         changes = self._adapt(store, results, rules_now, key, now)
-        decisions, verdicts = local_copy(G.gate(results, self.error_blocks))
-        decision = decisions.first().decision if verdicts else "pass"
-        held = 0
+        decisions, verdicts = keep(G.gate(results, self.error_blocks))
+        if batch_col:
+            seen = {r.decision for r in decisions.select("decision").distinct().collect()}
+            decision = next((d for d in ("block", "pass_with_warnings") if d in seen), "pass")
+        else:
+            decision = decisions.first().decision if verdicts else "pass"
+        held, held_rows = 0, F.lit(0)
         if decision == "block":
-            held = write_quarantine(df.withColumn("batch_id", F.lit(batch_id)), self.quarantine_root, table)
-        store.append("gate_results", decisions.withColumn("quarantined_rows", F.lit(held)), key, verdicts)
+            blocked = G.held(df, decisions) if batch_col else df.withColumn("batch_id", F.lit(batch_id))
+            held = write_quarantine(blocked, self.quarantine_root, table)
+            held_rows = F.when(F.col("decision") == "block", F.col("row_count")).otherwise(0) if batch_col else F.lit(held)
+        gates = decisions.join(batches.select("batch_id", "row_count"), "batch_id") if batch_col else decisions
+        store.append("gate_results", gates.withColumn("quarantined_rows", held_rows), key, verdicts)
 
-        tickets = self._tickets(store, results, key, now)
+        tickets = self._tickets(store, results, key, now, keep)
         done = spark.createDataFrame([(table, batch_id, seq, rows, key)], LOGS["commits"])
+        if batch_col and rows:
+            done = batches.withColumns({"table_fq_name": F.lit(table), "key": F.lit(key)})
         store.append("commits", done, key)
         return BatchReport(table, batch_id, rows, decision, results, decisions, tickets, changes, held)
 
@@ -182,23 +216,24 @@ class Monitor:
         store.append("rule_events", R.threshold_events(changes, F.lit(self._seq())), key, moved)
         return changes
 
-    def _tickets(self, store: StateStore, results: DataFrame, key: str, now: float) -> DataFrame:
-        """Open tickets of this batch's incident: a new one, or the one that already covers it."""
-        problems, count = local_copy(results.filter(G.is_problem()))
+    def _tickets(self, store: StateStore, results: DataFrame, key: str, now: float,
+                 keep: Callable[[DataFrame], tuple[DataFrame, int]] = local_copy) -> DataFrame:
+        """Open tickets of each batch's incident: a new one, or the one that already covers it."""
+        problems, count = keep(results.filter(G.is_problem()))
         known = store.tickets(before=key)
         if not count:
             return known.limit(0)
-        rca, _ = local_copy(P.explain_failures(
+        rca, _ = keep(P.explain_failures(
             I.worst_result(problems), store.docs(), adapt.recent_history(store.read("threshold_history")),
             self.answer))
         responses = self.answer(P.ticket_prompts(problems, rca))
         tables = I.tables_named(problems, ["table_fq_name", "batch_id"]).select(
             F.concat_ws("|", "table_fq_name", "batch_id").alias("id"), "tables")
         texts = P.draft_ticket_text(responses, tables)
-        found, _ = local_copy(
+        found, _ = keep(
             I.incidents(problems).withColumn("id", F.concat_ws("|", "table_fq_name", "batch_id"))
             .join(texts, "id").withColumn("created_at", F.lit(now)))
-        fresh, opened = local_copy(I.create_tickets(found, known).withColumn("seq", F.lit(self._seq())))
+        fresh, opened = keep(I.create_tickets(found, known).withColumn("seq", F.lit(self._seq())))
         store.append("tickets", fresh, key, opened)
         store.append("outbox", I.webhook_payload(fresh), key, opened)
         return I.match_open(found.select("table_fq_name", "batch_id", "rule_ids"),

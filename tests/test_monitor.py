@@ -97,6 +97,27 @@ def test_stream_restarts_without_duplicates(spark, agent, tmp_path):
     assert agent.store.read("check_results").count() == 3
 
 
+def test_many_batches_in_one_micro_batch(spark, agent, tmp_path):
+    """Results, decisions, quarantine and commits stay per batch; the micro-batch is one step."""
+    folder, mark = str(tmp_path / "in"), str(tmp_path / "mark")
+    rows = spark.range(100).selectExpr("id", "cast(floor(id / 10) as long) as part", "if(id < 30 and id % 2 = 0, null, 'x') as email")
+    rows.coalesce(1).write.parquet(folder)
+    rows.createOrReplaceTempView("customers")
+    agent.add_rules(rules_to_rows(spark, [Rule("null", "lake.customers", "email", "completeness", 0.1, "critical", adaptive=False)]))
+    reports = []
+    run = lambda: agent.run_stream("customers", file_stream(spark, folder, rows.schema), mark, on_report=reports.append, batch_col="part")
+    assert run() == 1 and run() == 0 and len(reports) == 1
+    assert (reports[0].row_count, reports[0].decision, reports[0].quarantined_rows) == (100, "block", 30)
+    got = {r.batch_id: r for r in agent.store.read("check_results").collect()}
+    assert {b: (r.seq, r.metric_value, r.status) for b, r in got.items()} == {
+        f"stream_0_{i}": (i, 0.5 if i < 3 else 0.0, "fail" if i < 3 else "pass") for i in range(10)}
+    gates = {r.batch_id: (r.decision, r.quarantined_rows) for r in agent.store.read("gate_results").collect()}
+    assert gates == {f"stream_0_{i}": ("block", 10) if i < 3 else ("pass", 0) for i in range(10)}
+    assert sorted((r.batch_id, r.seq, r.row_count) for r in agent.store.read("commits").collect()) == [(f"stream_0_{i}", i, 10) for i in range(10)]
+    assert agent.list_tickets().count() == 1 and agent.store.next_seq("lake.customers") == 10
+    assert len(glob.glob(str(tmp_path / "held" / "lake_customers" / "batch_id=*"))) == 3
+
+
 def test_streams_do_not_shadow_each_other(spark, agent, tmp_path):
     """Another table under the same stream name, and a new checkpoint, are streams of their own."""
     folder = str(tmp_path / "in")
