@@ -1,14 +1,14 @@
 """Column and table profiles.
 
-A table is read twice. The first scan counts values by digest: one shuffle of (column, digest) groups of fixed width gives
-distinct counts, the most frequent values, pattern shares and the moments of numbers. Texts do not travel: the second
-scan, of text columns alone, fetches those of the most frequent values, known by their digests, and the extremes.
+The first scan counts values by digest: one shuffle of (column, digest) groups of fixed width gives distinct counts, the
+most frequent values, pattern shares and means. Texts do not travel: a second scan, of text columns alone, fetches those
+of the most frequent values, known by their digests, and the extremes. Squares around the mean are summed up over the
+rows of the numeric columns, without a shuffle; the many groups are not read again for them.
 """
 
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -84,23 +84,17 @@ class Measured:
         return F.timestamp_micros(whole).cast("string") if isinstance(self.dtype, T.TimestampType) else whole.cast("string")
 
     def cell(self) -> Column:
-        """struct(position, d1, d2, x, y, m, o): digest or number, a number to measure, pattern bits, order."""
-        no_long, no_double = F.lit(None).cast("long"), F.lit(None).cast("double")
-        d1, d2, x, y, bits, order = no_long, no_long, no_double, no_double, F.lit(0), [no_long] * ORDER
+        """struct(position, d1, x, y, text): a whole number, another number, a number to measure, a text to digest."""
+        d1, x, y, text = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("string")
         if self.whole is not None:
             d1 = self.whole
         elif is_floating(self.dtype):
             x = nan_to_null(self.raw, self.dtype).cast("double")
         else:
-            d1, d2 = (F.when(self.text.isNotNull(), d) for d in text_digest(self.text))
-            order = text_order(self.text)
+            text = self.text
             if is_numeric(self.dtype):
                 y = self.raw.cast("double")
-        if isinstance(self.dtype, T.StringType):
-            hits = [F.when(matches(self.raw, regex), F.lit(1 << i)).otherwise(0) for i, regex in enumerate(NAMED_PATTERNS.values())]
-            bits = F.when(self.raw.isNotNull(), functools.reduce(Column.bitwiseOR, hits)).otherwise(0)
-        return F.struct(F.lit(self.position).alias("position"), d1.alias("d1"), d2.alias("d2"), x.alias("x"), y.alias("y"),
-                        bits.cast("int").alias("bits"), *[o.alias(f"o{i}") for i, o in enumerate(order)])
+        return F.struct(F.lit(self.position).alias("position"), d1.alias("d1"), x.alias("x"), y.alias("y"), text.alias("text"))
 
 
 def text_digest(text: Column) -> tuple[Column, Column]:
@@ -126,7 +120,15 @@ def value_groups(df: DataFrame, columns: list[Measured]) -> DataFrame:
     What follows from the value is part of the key, so that every use of the groups reads one and the same shuffle.
     """
     order = [f"o{i}" for i in range(ORDER)]
-    return (df.select(F.inline(F.array(*[c.cell() for c in columns])))
+    cells = df.select(F.inline(F.array(*[c.cell() for c in columns])))
+    # Texts are digested behind the cells, by one piece of code for all columns: one for each would be too long to be compiled.
+    text, digested = F.col("text"), F.col("text").isNotNull()
+    d1, d2 = text_digest(text)
+    hits = [F.when(matches(text, regex), F.lit(1 << i)).otherwise(0) for i, regex in enumerate(NAMED_PATTERNS.values())]
+    named = digested & _chosen(c for c in columns if isinstance(c.dtype, T.StringType))
+    return (cells.select("position", F.when(digested, d1).otherwise(F.col("d1")).alias("d1"), F.when(digested, d2).alias("d2"), "x", "y",
+                         F.when(named, functools.reduce(Column.bitwiseOR, hits)).otherwise(0).cast("int").alias("bits"),
+                         *[o.alias(name) for name, o in zip(order, text_order(text))])
             .groupBy("position", "d1", "d2", "x", "y", "bits", *order).agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -165,12 +167,21 @@ def _statistics(groups: DataFrame, columns: list[Measured], k: int) -> DataFrame
         F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).alias("present"),
         F.count_if(here).alias("distinct"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("d1").alias("d_lo"),
         F.max("d1").alias("d_hi"), F.sum(weight).alias("numbers"), (F.sum(F.col("v") * F.col("n")) / F.sum(weight)).alias("mean"), *hits)
-    # Squares are summed around the mean, which the first sums have given.
-    apart = (groups.join(F.broadcast(sums.select("position", "mean")), "position").groupBy("position")
-             .agg(F.sum(F.col("n") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))).alias("squares")))
     top = _ranked(groups.drop("v"), columns, k).groupBy("position").agg(F.array_sort(F.collect_list(F.struct(
         "rank", "value", "n", "d1", "d2", *[f"o{i}" for i in range(ORDER)]))).alias("top"))
-    return sums.join(apart, "position", "left").join(top, "position", "left")
+    return sums.join(top, "position", "left")
+
+
+def _deviations(df: DataFrame, columns: list[Measured]) -> dict[int, float | None]:
+    """Sample standard deviation of each numeric column, from its rows; None below two numbers."""
+    numeric = [c for c in columns if is_numeric(c.dtype)]
+    out = {}
+    for at in range(0, len(numeric), COLUMNS_PER_PASS):
+        part = numeric[at:at + COLUMNS_PER_PASS]
+        number = [(nan_to_null(c.raw, c.dtype) if is_floating(c.dtype) else c.raw).cast("double") for c in part]
+        row = df.agg(*[F.stddev_samp(x).alias(f"s{c.position}") for c, x in zip(part, number)]).first()
+        out.update({c.position: row[f"s{c.position}"] for c in part})
+    return out
 
 
 def _same(value, other) -> bool:
@@ -264,13 +275,14 @@ def profile_columns(df: DataFrame, table: str = "") -> DataFrame:
     """One row per column of `df`, computed now."""
     rows = []
     spark = df.sparkSession
+    deviations = _deviations(df, measured(df))
     for one in _columns(df, measured(df), TOP_VALUES):
         c, facts = one["column"], one["facts"]
         n, present, distinct = (facts.get(x) or 0 for x in ("rows", "present", "distinct"))
         lo = hi = mean = dev = None
         if is_numeric(c.dtype) and facts.get("numbers"):
             lo, hi, mean = facts["lo"], facts["hi"], facts["mean"]
-            dev = math.sqrt(max(facts["squares"], 0.0) / (facts["numbers"] - 1)) if facts["numbers"] > 1 else 0.0
+            dev = deviations[c.position] if facts["numbers"] > 1 else 0.0
         rows.append((
             table, c.position, c.name, c.dtype.simpleString(), n, n - present, (n - present) / n if n else 0.0, distinct,
             distinct / n if n else 0.0, lo, hi, mean, dev, one["low"] if c.by_digest else None, one["high"] if c.by_digest else None,

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -84,6 +85,15 @@ def test_one_scan_counts_and_no_text_is_a_key(spark, tmp_path):
     assert keys and all(set(re.sub(r"#\d+L?", "", k).split(", ")) <= {"position", "d1", "d2", "x", "y", "bits", "o0", "o1", "o2", "o3"} for k in keys)
 
 
+def test_groups_are_read_for_sums_and_ranks_alone(spark):
+    """The spread comes from the rows: no join brings the means back to the groups."""
+    df = spark.range(500).selectExpr("id", "id / 7 as x", "cast(id % 9 as string) as a")
+    stats = P._statistics(P.value_groups(df, P.measured(df)), P.measured(df), 5)
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("count(1) AS n#") == 2 and "squares" not in plan
+    assert P._deviations(df, P.measured(df))[0] == pytest.approx(math.sqrt(500 * 501 / 12))
+
+
 def test_scans_of_a_profile(spark, tmp_path, monkeypatch):
     """Two at most: the counts, and the texts that belong to them."""
     path = str(tmp_path / "t")
