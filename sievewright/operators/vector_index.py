@@ -98,10 +98,12 @@ class VectorIndex:
 
     def _change(self, ids: DataFrame, new: DataFrame | None) -> list[int]:
         ids = cut_lineage(ids)
-        held = self.postings().join(ids, "doc_id", "left_semi").select("part")
-        touched = held if new is None else held.unionByName(new.select("part"))
-        # At most `parts` numbers.
-        parts = sorted(r.part for r in touched.distinct().collect())
+        # At most `parts` numbers; only parts without new postings are searched for old ones.
+        touched = set() if new is None else {r.part for r in new.select("part").distinct().collect()}
+        if len(touched) < self.parts:
+            others = self.postings().where(~F.col("part").isin(list(touched)))
+            touched |= {r.part for r in others.join(ids, "doc_id", "left_semi").select("part").distinct().collect()}
+        parts = sorted(touched)
         if parts:
             kept = self.postings().where(F.col("part").isin(parts)).join(ids, "doc_id", "left_anti")
             self._replace(kept if new is None else kept.unionByName(new, allowMissingColumns=False), parts)

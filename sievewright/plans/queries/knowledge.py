@@ -35,6 +35,11 @@ def doc_oracle(body: str, **extra: str) -> str:
 _DOC = "doc_id, table_fq_name, title, md5(content) as content_md5"
 
 
+def _rounded(weight):
+    """round(weight, 9) of weights from 0 to 1 as DuckDB has it, without a decimal for each."""
+    return F.floor(weight * 1e9 + 0.5) / 1e9
+
+
 def _shown(docs):
     return docs.select("doc_id", "table_fq_name", "title", F.md5("content").alias("content_md5"))
 
@@ -78,7 +83,7 @@ def postings_oracle(source: str, key: str, text: str) -> str:
                            e=postings_oracle("documents", "doc_id", "text")))
 def embed(spark, sf_dir):
     return K.embed(table(spark, sf_dir, "documents", "doc_id", "text")).select(
-        "doc_id", F.col("bucket").cast("long").alias("bucket"), "tf", F.round("weight", 9).alias("weight"))
+        "doc_id", F.col("bucket").cast("long").alias("bucket"), "tf", _rounded(F.col("weight")).alias("weight"))
 
 
 @query("l2_norms", with_views("select doc_id, round(sqrt(sum(weight * weight)), 9) as norm, count(*) as buckets from e group by 1",
@@ -98,7 +103,7 @@ def vector_upsert(spark, sf_dir):
     index = _index(spark, docs)
     index.upsert(docs.filter("lang = 'fr'").select("doc_id", F.concat(F.lit("neu "), "text").alias("text")))
     return index.postings().select("doc_id", F.col("bucket").cast("long").alias("bucket"), "tf",
-                                   F.round(F.col("tf") / F.col("norm"), 9).alias("weight"))
+                                   _rounded(F.col("tf") / F.col("norm")).alias("weight"))
 
 
 _HITS = """select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank from (

@@ -6,11 +6,12 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import term_bucket
-from sievewright.operators import knowledge as K, vector_index as V
+from sievewright.operators import knowledge as K, vector_index as V, vectors
 
 WORDS = [f"w{i}" for i in range(300)]
 
@@ -152,3 +153,37 @@ def test_notes_by_a_kept_index(spark, tmp_path):
     for options in ({}, {"table": "src.orders"}, {"table": "src.orders", "overfetch": True}):
         got, want = ([tuple(r) for r in K.search(notes, asked, 1, index=i, **options).orderBy("rank").collect()] for i in (index, None))
         assert got == want and len(got) == 1
+
+
+def test_terms_are_counted_in_arrow_batches(spark, buckets):
+    """A term costs no interpreted function; ids may repeat or be null, one text may have more terms than are counted at once."""
+    rows = [(1, "w1 the w1"), (1, "w2"), (None, "of of of"), (4, None), (5, " . "), (6, "The THE w3")]
+    frame_ = spark.createDataFrame(rows, "id long, body string").coalesce(1)
+    some = K.vectors(frame_, "id", "body")
+    assert "lambdafunction" not in some._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for i, text in rows:
+        bag = Counter(buckets[w] for w in re.findall(r"\w\w+", (text or "").lower()))
+        if bag:
+            want.append((i, sorted(bag), [bag[b] for b in sorted(bag)], math.sqrt(sum(n * n for n in bag.values()))))
+    assert [tuple(r) for r in some.collect()] == want
+
+
+def test_slices_of_a_batch(monkeypatch):
+    terms = [["a1", "b1"], [], ["b1"] * 7, ["c1", "a1", "c1"], ["é1"], []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(terms)], names=["doc_id", "terms"])
+    whole = pa.Table.from_batches(vectors._counted(iter([batch]))).to_pylist()
+    assert [sum(r["tfs"]) for r in whole] == [len(t) for t in terms] and whole[2]["norm"] == 7.0
+    for size in (1, 2, 3, 8):
+        monkeypatch.setattr(vectors, "TOKENS_AT_ONCE", size)
+        assert pa.Table.from_batches(vectors._counted(iter([batch]))).to_pylist() == whole
+        assert pa.Table.from_batches(vectors._counted(iter([batch.slice(2, 3)]))).to_pylist() == whole[2:5]
+
+
+def test_parts_with_new_postings_are_not_searched_for_old_ones(spark, tmp_path, monkeypatch):
+    index = K.VectorIndex(spark, str(tmp_path / "index"), parts=1)
+    index.build(frame(spark, {1: "w1 w2", 2: "w2"}))
+    scans, postings = [], K.VectorIndex.postings
+    monkeypatch.setattr(K.VectorIndex, "postings", lambda self: scans.append(1) or postings(self))
+    assert index.upsert(frame(spark, {2: "w3"})) == [0] and len(scans) == 1
+    assert sorted(r.doc_id for r in postings(index).collect()) == [1, 1, 2]
